@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from cadenza.llm import minhash
+from cadenza.llm import bpe, decontaminate, minhash, quality, secrets
 from cadenza.session import table
 
 
@@ -12,8 +12,28 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_decontamination": op8_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
