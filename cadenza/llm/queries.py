@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cadenza.llm import bpe, decontaminate, minhash, quality, secrets
+from cadenza.llm import bpe, decontaminate, minhash, quality, secrets, suffix
 from cadenza.session import table
 
 
@@ -12,6 +12,10 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), window=400)
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +34,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op8_decontamination": op8_decontamination,
