@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cadenza.llm import bpe, decontaminate, minhash, quality, secrets, suffix
-from cadenza.session import table
+from cadenza.llm import bpe, decontaminate, minhash, quality, secrets, store, suffix
+from cadenza.session import new_path, table
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
@@ -24,6 +24,12 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op7_token_store(spark, sf_dir):
+    path = new_path(spark, "store")
+    store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return store.read_digests(spark, path)
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +43,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
