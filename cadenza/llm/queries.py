@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cadenza.llm import bpe, decontaminate, minhash, quality, secrets, store, suffix
+from cadenza.llm import bpe, decontaminate, langid, minhash, quality, secrets, store, suffix
 from cadenza.session import new_path, table
 
 
@@ -24,6 +24,10 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark, sf_dir):
     path = new_path(spark, "store")
     store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
