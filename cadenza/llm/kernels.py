@@ -88,10 +88,13 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and for each row the index of its first word (n + 1 values)."""
+def words(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and for each row the index of its first word (n + 1 values).
+
+    outside may mark other bytes that end words.
+    """
     n = len(buf)
-    inside = ~_SPACE[buf]
+    inside = ~outside[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n, bool)

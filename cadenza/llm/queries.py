@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cadenza.llm import bpe, decontaminate, langid, minhash, quality, secrets, store, suffix
+from cadenza.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, store, suffix, urls
 from cadenza.session import new_path, table
 
 
@@ -16,6 +16,21 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), window=400)
 
 
+#: Rules of the query: (action, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op3_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +53,10 @@ def op8_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -45,11 +64,13 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
