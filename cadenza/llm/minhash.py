@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from cadenza.session import materialize
 
 #: Values in a band: the minimum and the maximum under each of three permutations.
 BAND = 6
+SKETCH_BITS = 2048
 
 
 def bands_for(percent: int, miss: float = 1e-6) -> int:
@@ -85,6 +88,38 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "__id long, shingles array<long>")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(__id, bits): SKETCH_BITS in longs, the parity of the smallest and largest values under as many permutations.
+
+    Two sets agree in a share of (1 + Jaccard) / 2 of the bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        seeds = _seeds(SKETCH_BITS // 2)
+        for batch in batches:
+            rows = []
+            for at in range(batch.num_rows):
+                values = kernels.column(batch, "shingles").slice(at, 1).flatten().to_numpy().view(np.uint64)
+                bits = kernels.mix(min_max(values, seeds)) & np.uint64(1)
+                rows.append(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+            listed = pa.array(rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([kernels.column(batch, "__id"), listed], names=["__id", "bits"])
+
+    return sets.mapInArrow(run, "__id long, bits array<long>")
+
+
+def _sum(terms):
+    return functools.reduce(operator.add, terms)
+
+
+def _near(a: str, b: str, percent: int):
+    """Whether two sketches agree as much as all but 2e-8 of pairs at the threshold do."""
+    p = (1 + percent / 100) / 2
+    least = SKETCH_BITS * p - 5.5 * math.sqrt(SKETCH_BITS * p * (1 - p))
+    differ = _sum([F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)])
+    return differ <= int(SKETCH_BITS - least)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     a = sets.select(F.col("__id").alias("a"), F.col("shingles").alias("sa"))
@@ -103,18 +138,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored.
 
     Candidates come from min-max bands that miss a pair at the threshold with probability 1e-6; every link is confirmed on
-    the full sets. In a bucket the members are first compared with the smallest one, then with the largest; only
-    where a bucket still holds several components are the members of different components compared with each other, so
-    no link is lost and a group of copies costs a number of pairs in proportion to its size.
+    the full sets. In a bucket all members are first compared with the one that meets the most others, then with the
+    smallest. Only where a bucket still holds several components, the members outside its largest one are compared
+    with all others of other components, each pair in the first bucket that it shares, if sketches of SKETCH_BITS bits
+    do not rule it out. So no link is lost, and a group of copies costs pairs in proportion to its size.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     found = materialize(signatures(docs, k, percent), "signatures")
     classes = found.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("__id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = found.select("__id", "bands", "n").join(classes.select(F.col("rep").alias("__id")), "__id", "left_semi")
-    rows = reps.dropDuplicates(["__id"]).select(F.col("__id").alias("rep"), "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    members = materialize(rows.join(shared, "band"), "members")
+    rows = reps.dropDuplicates(["__id"]).select(F.col("__id").alias("rep"), "n", F.posexplode("bands").alias("at", "band"))
+    shared = rows.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("size")).filter("size > 1")
+    members = materialize(rows.join(shared, "band"), "buckets")
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weights, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
+    members = materialize(members.join(hubs, "band"), "members")
     needed = members.select(F.col("rep").alias("__id")).distinct()
     sets = materialize(_full_sets(docs.join(needed, "__id", "left_semi").dropDuplicates(["__id"]), k), "sets")
 
@@ -128,37 +167,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return within(pairs.filter("a <> b").distinct().join(sizes, "b"))
 
     def labelled(links):
-        roots = connected_components(links, "a", "b")
-        there = members.select("band", "rep", "n", "high").join(
-            roots.select(F.col("node").alias("rep"), "component"), "rep", "left"
-        )
-        there = there.withColumn("component", F.coalesce("component", "rep"))
+        """Components of the links, and the members of buckets that hold several of them."""
+        roots = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "rep"), "roots")
+        there = members.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         split = there.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
         return roots, materialize(there.join(split.filter("c0 < c1").select("band"), "band"), "active")
 
-    tested = materialize(star(members, "low"), "pairs")
+    tested = materialize(star(members, "hub"), "pairs")
     links = materialize(_confirmed(tested, sets, percent), "links")
     roots, active = labelled(links)
     if active.limit(1).count():
-        ends = active.select("band", F.col("rep").alias("high"), F.col("component").alias("other"))
-        again = star(active.join(ends, ["band", "high"]).filter("component <> other"), "high")
+        ends = active.select("band", F.col("rep").alias("low"), F.col("component").alias("other"))
+        again = star(active.join(ends, ["band", "low"]).filter("component <> other"), "low")
         again = materialize(again.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(again)
         links = materialize(links.unionAll(_confirmed(again, sets, percent)), "links")
         roots, active = labelled(links)
     if active.limit(1).count():
-        apart = active.select("band", "component").distinct()
-        two = apart.select("band", F.col("component").alias("ca")).join(
-            apart.select("band", F.col("component").alias("cb")), "band"
+        sizes = active.groupBy("band", "component").count()
+        most = sizes.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        wanted = active.select(F.col("rep").alias("__id")).distinct()
+        about = _sketches(sets.join(wanted, "__id", "left_semi"))
+        about = about.join(found.select("__id", "bands").dropDuplicates(["__id"]), "__id")
+        about = materialize(about.withColumnRenamed("__id", "rep"), "sketches")
+        rows = active.join(most, "band").join(about, "rep")
+        side = lambda x: rows.select(
+            "band",
+            *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "at", "component", "bits", "bands")),
+            (F.col("component") == F.col("main")).alias(f"main_{x}"),
         )
-        side = lambda x: active.select(
-            "band", F.col("component").alias(f"c{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}")
+        earlier = [
+            (F.col("at_a") > i) & (F.col("bands_a")[i] == F.col("bands_b")[i]) for i in range(bands_for(percent) - 1)
+        ]
+        cross = side("a").filter("not main_a").join(side("b"), "band").filter(
+            (F.col("component_a") != F.col("component_b"))
+            & (F.col("main_b") | (F.col("rep_a") < F.col("rep_b")))
+            & _near("bits_a", "bits_b", percent)
+            & ~functools.reduce(operator.or_, earlier)
         )
-        cross = within(two.filter("ca < cb").join(side("a"), ["band", "ca"]).join(side("b"), ["band", "cb"]))
+        cross = within(cross.select(*(F.col(f"{c}_{x}").alias(y + x) for c, y in (("rep", ""), ("n", "n")) for x in "ab")))
         cross = cross.join(tested, ["a", "b"], "left_anti")
         links = materialize(links.unionAll(_confirmed(cross, sets, percent)), "links")
-        roots = connected_components(links, "a", "b")
-    by_class = classes.join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        roots = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
+    by_class = classes.join(roots, "rep", "left")
     by_class = by_class.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = found.select("__id", "k1", "k2", "n").join(by_class, ["k1", "k2", "n"], "left")
     component = F.coalesce("component", "__id")
