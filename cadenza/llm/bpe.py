@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cadenza.llm import kernels
 
@@ -150,7 +151,7 @@ def distinct_pieces(splitter: Splitter, texts: list[str]) -> tuple[list[str], np
 
 
 class Memory(dict):
-    """For a piece its number of ids, the ids joined by commas after one comma, and the bytes they decode to."""
+    """For a piece its number of ids, the ids joined by commas after one comma, the bytes they decode to, and the ids packed."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -158,7 +159,8 @@ class Memory(dict):
     def __missing__(self, piece: str):
         v = self.vocabulary
         ids = [v.special[piece]] if piece in v.special else v.encode_word(piece.encode())
-        self[piece] = got = (len(ids), "".join(f",{i}" for i in ids), b"".join(map(v.strings.__getitem__, ids)))
+        decoded = b"".join(map(v.strings.__getitem__, ids))
+        self[piece] = got = (len(ids), "".join(f",{i}" for i in ids), decoded, np.array(ids, "<i4").tobytes())
         return got
 
 
@@ -182,8 +184,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     its id. Null texts count as empty: no ids. One row for each input row; a null id stays null; other columns are
     ignored.
     """
-    docs = docs.selectExpr(f"cast(`{id_col}` as long) as __id", f"`{text_col}` as __text")
+    docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]):
         splitter, memory = tools(path)
@@ -192,16 +195,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 memory.clear()
             texts = [t or "" for t in kernels.column(part, "__text").to_pylist()]
             pieces, number, first = distinct_pieces(splitter, texts)
-            known = list(zip(*map(memory.__getitem__, pieces), strict=True)) or [(), (), ()]
-            counts, joined, decoded = (np.array(c, object)[number] for c in known)
-            rows = []
+            known = list(zip(*map(memory.__getitem__, pieces), strict=True)) or [(), (), (), ()]
+            counts, joined, decoded, packed = (np.array(c, object)[number] for c in known)
+            sizes = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[first]
+            shas, back_shas, backs = [], [], []
             for s, e in zip(first[:-1], first[1:], strict=True):
-                ids, back = "".join(joined[s:e])[1:], b"".join(decoded[s:e]).decode("utf-8", "replace")
-                row = (sum(counts[s:e]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                rows.append((*row, [int(i) for i in ids.split(",")] if ids else [], back) if with_ids else row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([kernels.column(part, "__id"), *columns], names=names[: len(columns) + 1])
+                back = b"".join(decoded[s:e]).decode("utf-8", "replace")
+                shas.append(hashlib.sha256("".join(joined[s:e])[1:].encode()).hexdigest())
+                back_shas.append(hashlib.sha256(back.encode()).hexdigest())
+                if with_ids:
+                    backs.append(back)
+            columns = [kernels.column(part, "__id"), pa.array(np.diff(sizes)), pa.array(shas), pa.array(back_shas)]
+            if with_ids:
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                columns += [pa.ListArray.from_arrays(sizes.astype(np.int32), flat), pa.array(backs, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))

@@ -1,19 +1,68 @@
-"""The corpus pipeline: each stage works on what the one before it kept."""
+"""The corpus pipeline: each stage works on what the one before it kept.
+
+Decisions belong to a document's id, so the first stage lets documents without an id go.
+"""
 
 from __future__ import annotations
 
-from cadenza.llm import minhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from cadenza.llm import bpe, decontaminate, minhash, quality, secrets
+from cadenza.session import materialize, table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that fail the quality rules go."""
+    kept = quality.judge(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays."""
-    found = minhash.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more.
+
+    Rows that repeat an id are copies too: one of them stays.
+    """
+    kept = minhash.near_duplicates(docs, k=5, percent=80)
+    # Without a shingle a document has no copies and stays; its component is its own id.
+    kept = materialize(kept.filter("kept").groupBy("doc_id").count(), "kept")
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if kept.filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold benchmark items go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Secrets in the texts are replaced by a mark; n_chars follows."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def byte_bpe(spark, docs, sf_dir):
+    """The token ids of every text that is left."""
+    found = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over the documents, each one's rows written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
