@@ -142,8 +142,12 @@ def token_vector(tokens: Column, size: int = 32) -> Column:
     """The tokens' sha1 bytes summed into the first 20 of `size` places, as a unit vector; no tokens count as 'unknown'."""
     tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("unknown")))
     hashes = F.transform(tokens, lambda t: F.sha1(t))
-    byte = lambda h, i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double")
-    sums = F.array(*[F.aggregate(hashes, F.lit(0.0), lambda s, h, i=i: s + byte(h, i)) if i < 20 else F.lit(0.0) for i in range(size)])
+
+    def total(i: int) -> Column:
+        byte = lambda h: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double")
+        return F.aggregate(hashes, F.lit(0.0), lambda s, h: s + byte(h)) if i < 20 else F.lit(0.0)
+
+    sums = F.array(*[total(i) for i in range(size)])
     norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(sums, lambda x: F.try_divide(x, norm))
 
