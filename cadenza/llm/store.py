@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +26,28 @@ from cadenza.session import materialize
 #: Ids hashed together by the rolling hash, and bounds of a chunk; the mean lies a little over 2 ** CUT_BITS.
 ROLL, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
 END_ID = 0
+#: Encoded pieces, and chunks, that a worker remembers before it forgets all.
+REMEMBER = 400_000
 _ROLL_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where a hash of the last ROLL ids has CUT_BITS zero bits, within bounds."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where a stream may be cut: the ends of all runs of ROLL ids whose hash begins with CUT_BITS zero bits."""
+    n = len(ids) - ROLL + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
     values = kernels.mix(ids.astype(np.uint64) + np.uint64(1))
-    rolling = np.zeros(max(0, n - ROLL + 1), np.uint64)
-    for k in range(ROLL if len(rolling) else 0):
-        rolling = rolling * _ROLL_MULTIPLIER + values[k : n - ROLL + 1 + k]
-    wanted = np.flatnonzero(kernels.mix(rolling) >> np.uint64(64 - CUT_BITS) == 0) + ROLL
+    rolling = np.zeros(n, np.uint64)
+    for k in range(ROLL):
+        rolling *= _ROLL_MULTIPLIER
+        rolling += values[k : n + k]
+    return np.flatnonzero(kernels.mix(rolling) >> np.uint64(64 - CUT_BITS) == 0) + ROLL
+
+
+def cuts(marked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids with these marks: neither too short, but for the last, nor too long."""
     out, last = [], 0
-    for to in [*wanted.tolist(), n]:
+    for to in [*marked, n]:
         while to - last > LONGEST:
             last += LONGEST
             out.append(last)
@@ -47,6 +57,17 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def chunk_ends(streams: list[np.ndarray]) -> list[list[int]]:
+    """cuts() of every stream; they are hashed together, and runs that cross from one to the next do not count."""
+    ends = np.cumsum([0, *map(len, streams)])
+    found = marks(np.concatenate(streams)) if streams else np.zeros(0, np.int64)
+    own = np.searchsorted(ends, found, "left") - 1
+    inside = found - ends[own] >= ROLL
+    found, own = found[inside] - ends[own[inside]], own[inside]
+    at = np.searchsorted(own, np.arange(len(streams) + 1))
+    return [cuts(found[at[k] : at[k + 1]].tolist(), len(s)) for k, s in enumerate(streams)]
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Hash pairs level by level; an odd one moves up. No leaves: the hash of nothing."""
     level = leaves
@@ -57,26 +78,44 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 @lru_cache(1)
 def _tools(path: str):
+    """The tokenizer, a splitter, the bytes of each id's string, and the worker's memory of encoded pieces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return tokenizer, bpe.Splitter(special), {}
+    vocab = tokenizer.get_vocab()
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        sizes[i] = len(token)  # a byte-level string has a character for each byte
+    return tokenizer, bpe.Splitter(special), sizes, {}
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The library's ids of every text: it encodes each distinct piece between its own word boundaries once."""
-    tokenizer, splitter, memory = _tools(path)
+    """The library's ids of every text: it encodes each distinct piece between its own word boundaries once.
+
+    New pieces go to the library as one pre-split input; where each one's ids end follows from the ids' byte counts.
+    """
+    tokenizer, splitter, sizes_of, memory = _tools(path)
     pieces, number, first = bpe.distinct_pieces(splitter, texts)
-    if len(memory) > bpe.REMEMBER:
+    if len(memory) > REMEMBER:
         memory.clear()
     new = [p for p in pieces if p not in memory]
-    for piece, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        memory[piece] = np.array(got.ids, "<u4").tobytes()
-    coded = [memory[p] for p in pieces]
+    for k in range(0, len(new), 8192):
+        part = new[k : k + 8192]
+        ids = np.array(tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        wanted = np.cumsum([len(p.encode()) for p in part])
+        got = np.cumsum(sizes_of[ids])
+        ends = np.searchsorted(got, wanted) + 1
+        if not np.array_equal(got[ends - 1], wanted):
+            raise ValueError("the tokenizer's ids do not cover its input")
+        data, last = ids.tobytes(), 0
+        for piece, to in zip(part, (4 * ends).tolist(), strict=True):
+            memory[piece] = data[last:to]
+            last = to
+    coded = list(map(memory.__getitem__, pieces))
     flat = np.frombuffer(b"".join(coded), "<u4")
-    sizes = np.array([len(c) // 4 for c in coded], np.int64)
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     begins = np.cumsum(sizes) - sizes
     lengths = sizes[number]
     ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -86,13 +125,18 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """Deflated little-endian ids, after a byte that tells their width: 2 where all fit, else 4."""
+    """Little-endian ids as one zstandard frame, after a byte that tells their width: 2 where all fit, else 4."""
     width = 2 if len(ids) == 0 or ids.max() < 1 << 16 else 4
-    return bytes([width]) + zlib.compress(ids.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + _squeezer().compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype("<u4")
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype("<u4")
+
+
+@lru_cache(1)
+def _squeezer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
 
 
 ROWS = "is_chunk boolean, key binary, n long, ids binary, doc_id long, chunks array<binary>"
@@ -106,14 +150,14 @@ def _rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         seen: set[bytes] = set()
         kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
         for part in kernels.slices(batches, "__text"):
-            if len(seen) > bpe.REMEMBER:
+            if len(seen) > REMEMBER:
                 seen.clear()
             texts = [t or "" for t in kernels.column(part, "__text").to_pylist()]
             rows = []
-            for doc, ids in zip(kernels.column(part, "__id").to_pylist(), encode_texts(tokenizer_path, texts), strict=True):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+            streams = [np.append(ids, np.uint32(END_ID)).astype("<u4") for ids in encode_texts(tokenizer_path, texts)]
+            for doc, ids, ends in zip(kernels.column(part, "__id").to_pylist(), streams, chunk_ends(streams), strict=True):
                 last, chunks = 0, []
-                for to in cuts(ids):
+                for to in ends:
                     sha = hashlib.sha256(ids[last:to].tobytes()).digest()
                     if sha not in seen:
                         rows.append((True, sha, to - last, pack(ids[last:to]), None, None))
