@@ -331,15 +331,16 @@ def remove_repeats(
     key = F.xxhash64("__text")
     docs = docs.select("__own", F.coalesce("__own", key).alias("__id"), key.alias("__hash"), "__text")
     found = materialize(_anchors(docs, window), "anchors")
-    shared = found.join(found.groupBy("print").count().filter("count > 1").select("print"), "print")
-    shared = materialize(shared, "shared")
+    # The list is written, so that the join shuffles both sides and adaptive execution may split a hot anchor.
+    several = materialize(found.groupBy("print").count().filter("count > 1").select("print"), "prints")
+    shared = materialize(found.join(several, "print"), "shared")
     kinds = shared.groupBy("print", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("__id", "__hash", "first", "last")).alias("rep")
     )
     kinds = materialize(kinds, "contexts")
     copies = shared.join(kinds.filter("n > 1").select("print", "context"), ["print", "context"])
     copies = copies.select("__id", "__hash", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    several = kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = materialize(kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     places = kinds.join(several, "print").select("print", "kinds", "n", "rep.*")
     size = F.col("last") - F.col("first") + window
     total = places.agg(F.sum(size).alias("n")).first()["n"] or 0
