@@ -136,7 +136,7 @@ def test_bpe_is_the_librarys_on_odd_strings():
 def test_secret_kinds():
     import zlib
 
-    body = "a" * 30
+    body = "Zz" * 15
     value, digits = zlib.crc32(body.encode()), ""
     while value:
         value, d = divmod(value, 62)
@@ -144,7 +144,7 @@ def test_secret_kinds():
     good = f"x ghp_{body}{digits.rjust(6, '0')} "
     automaton = secrets._automaton()
     assert [secrets.KINDS[k] for _, _, k in secrets.scan(good, automaton)] == ["forge"]
-    assert secrets.scan(good.replace("aaa", "aab", 1), automaton) == []
+    assert secrets.scan(good.replace("ZzZ", "ZzY", 1), automaton) == []
     assert secrets.scan("tokKen = abcdefgh ſecret=abcdefgh", automaton) == []
     assert secrets.scan("password=abc token=12345678", automaton) == [(13, 27, 0)]
     assert secrets._merged([(0, 5, 0), (3, 9, 2), (20, 21, 0)]) == [(0, 9), (20, 21)]
