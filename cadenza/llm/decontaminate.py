@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.session import materialize
+from cadenza.session import broadcast_up_to, materialize
 
 # Words read as units of measure.
 UNITS = (
@@ -22,6 +22,8 @@ WINDOW = 10
 LITERAL = 6
 #: A table of at most so many windows (16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The ids of documents with hits (8 bytes each) likewise: up to so many, the texts are read again without a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -81,12 +83,11 @@ def contaminated(
     )
     templates = templates.filter(F.size(F.filter("template", lambda t: ~t.startswith("<"))) >= literal)
     templates = materialize(templates.dropDuplicates(["item", "item_at", "h"]), "templates")
-    keys = templates.select("h").distinct()
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = broadcast_up_to(templates.select("h").distinct(), BROADCAST_ROWS)
     canon = docs.select("key", canonical(tokens(F.col("__text"))).alias("canon"))
     hits = materialize(_windows(canon, window).join(keys, "h").distinct(), "hits")
-    texts = docs.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates()
+    found = broadcast_up_to(materialize(hits.select("key").distinct(), "found"), BROADCAST_IDS)
+    texts = docs.join(found, "key", "left_semi").dropDuplicates()
     texts = texts.select("key", tokens(F.col("__text")).alias("words"))
     pairs = hits.join(texts, "key").select("key", "at", "h", F.slice("words", F.col("at") + 1, window).alias("doc_words"))
     pairs = pairs.join(templates, "h").filter(canonical(F.col("doc_words")) == F.col("template"))
