@@ -9,13 +9,16 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, decontaminate, minhash, quality, secrets
-from cadenza.session import materialize, table
+from cadenza.session import broadcast_up_to, materialize, table
+
+#: Ids of a stage's decisions (8 bytes each) are broadcast up to this number; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that fail the quality rules go."""
-    kept = quality.judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = materialize(quality.judge(docs).filter("kept").select("doc_id").distinct(), "kept")
+    return docs.join(broadcast_up_to(kept, BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -26,7 +29,8 @@ def near_dedup(spark, docs, sf_dir):
     kept = minhash.near_duplicates(docs, k=5, percent=80)
     # Without a shingle a document has no copies and stays; its component is its own id.
     kept = materialize(kept.filter("kept").groupBy("doc_id").count(), "kept")
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    ids = broadcast_up_to(kept.select("doc_id"), BROADCAST_IDS)
+    out = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
     if kept.filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out
@@ -34,8 +38,8 @@ def near_dedup(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     """Documents that hold benchmark items go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaked")
+    return docs.join(broadcast_up_to(found, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark, docs, sf_dir):
