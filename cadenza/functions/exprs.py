@@ -182,3 +182,20 @@ def metric_line(name: str, value: Column, **labels: Column) -> Column:
     """name{label="value",…} value"""
     pairs = [F.concat(F.lit(f'{k}="'), escaped_label(v.cast("string")), F.lit('"')) for k, v in labels.items()]
     return F.concat(F.lit(name + "{"), F.concat_ws(",", *pairs), F.lit("} "), value.cast("string"))
+
+
+def attribute_tokens(attributes: Column) -> Column:
+    """All values of a map of lists as one list of lower-case tokens, in key order."""
+    ordered = F.array_sort(F.map_entries(attributes))
+    return F.flatten(F.transform(ordered, lambda e: F.transform(e["value"], lambda x: F.lower(x))))
+
+
+def merged_json(json: Column, more: Column) -> Column:
+    """A flat JSON object with the entries of a map added; the map's win."""
+    read = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(read, lambda k, v: ~F.map_contains_key(more, k))
+    return F.to_json(F.map_concat(kept, more))
+
+
+def first_or(values: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(other))

@@ -113,3 +113,14 @@ def history(metrics: DataFrame) -> DataFrame:
     """(label, dataset, created, metrics…): the largest value of each metric in a run, a column for each."""
     names = ("recall", "ndcg", "coverage", "cold")
     return metrics.groupBy("label", "dataset").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in names], F.max("created").alias("created"))
+
+
+def sizes(tables: DataFrame) -> DataFrame:
+    """(tier, tables, bytes) of tables by storage tier."""
+    return tables.groupBy("tier").agg(F.count("*").alias("tables"), F.sum("bytes").alias("bytes"))
+
+
+def missing_members(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """One row: how many wanted keys are not there, and whether none is missing."""
+    out = wanted.select(key).distinct().join(have.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))
+    return out.withColumn("complete", F.col("missing") == 0)

@@ -274,7 +274,33 @@ def stream_session_items(spark, d):
     return L.demo(spark, _stream_events(spark, d), "items").select("session_key", "item", F.unix_seconds("first_at").alias("first_at"), F.unix_seconds("last_at").alias("last_at"), "plays")
 
 
+def attribute_tokens(spark, d):
+    rows = run(spark, d, "SELECT p_partkey AS id, p_brand, p_name FROM {part}")
+    tokens = X.attribute_tokens(F.create_map(F.lit("b"), F.split("p_name", " "), F.lit("a"), F.array("p_brand")))
+    return rows.select("id", F.array_join(tokens, "|").alias("tokens"))
+
+
+def merged_props(spark, d):
+    more = F.create_map(F.lit("kind"), F.col("event_type"))
+    out = run(spark, d, "SELECT event_id, event_type, props FROM {events}").select("event_id", X.merged_json(F.col("props"), more).alias("j"))
+    return out.select("event_id", F.get_json_object("j", "$.k").cast("bigint").alias("k"), F.get_json_object("j", "$.kind").alias("kind"))
+
+
+def favourite_words(spark, d):
+    rows = run(spark, d, "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_name END AS v FROM {part}")
+    return rows.select("id", X.first_or(F.split("v", " "), "other").alias("favourite"))
+
+
+def tier_sizes(spark, d):
+    return O.sizes(run(spark, d, "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'hot' ELSE 'cold' END AS tier, o_orderkey AS bytes FROM {orders}"))
+
+
+def unordered_parts(spark, d):
+    return O.missing_members(run(spark, d, "SELECT p_partkey AS item FROM {part}"), run(spark, d, "SELECT l_partkey AS item FROM {lineitem} WHERE l_quantity > 10"), "item")
+
+
 QUERIES = {f.__name__: f for f in (
+    attribute_tokens, merged_props, favourite_words, tier_sizes, unordered_parts,
     top_by_popularity, related_suppliers, newest_orders, completeness, name_search, map_points, map_cells, second_page, artist_names, visible_lists,
     capacity_append, online_users, genre_sync, featured_genres, pending_features, seeded_profiles, partial_dates, slugs, token_vectors, normalized_lists, rounded_places,
     round_scores, leaderboard, fuzzy_matches, contained_matches, hydration_seeds, claimed_items, hydration_outcomes, retry_times, run_progress, run_eta, partition_states,
@@ -288,6 +314,11 @@ _POINTS_OF = "(CASE WHEN song THEN 100 ELSE 0 END + CASE WHEN artist THEN 50 ELS
 _RELEASES = f"rel AS (SELECT name, CAST(regexp_extract(name, 'dump-(\\d+)-', 1) AS INT) AS number, regexp_extract(name, '(full|incremental)$', 1) AS mode, strptime(regexp_extract(name, '-(\\d{{8}}-\\d{{6}})-', 1), '%Y%m%d-%H%M%S') AS released FROM ({plain(NAMES)}) WHERE name NOT LIKE '%-x')"
 
 ORACLE_SQL = {
+    "attribute_tokens": "SELECT p_partkey AS id, lower(p_brand || '|' || replace(p_name, ' ', '|')) AS tokens FROM part",
+    "merged_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events",
+    "favourite_words": "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN string_split(p_name, ' ')[1] ELSE 'other' END AS favourite FROM part",
+    "tier_sizes": "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'hot' ELSE 'cold' END AS tier, count(*) AS tables, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders GROUP BY 1",
+    "unordered_parts": "SELECT count(*) AS missing, count(*) = 0 AS complete FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)",
     "top_by_popularity": "SELECT * FROM (SELECT p_brand, p_partkey, CAST(n AS BIGINT) AS number, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY n DESC NULLS FIRST, p_partkey) AS INT) AS rank FROM (SELECT *, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS n FROM part)) WHERE rank <= 5",
     "related_suppliers": "SELECT * FROM (SELECT a.s_suppkey AS node, b.s_suppkey AS other, CAST(1 AS BIGINT) AS shared, CAST(row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_suppkey) AS INT) AS rank FROM supplier a JOIN supplier b ON b.s_nationkey = a.s_nationkey AND b.s_suppkey <> a.s_suppkey) WHERE rank <= 5",
     "newest_orders": "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INT) AS rank FROM orders) WHERE rank <= 5",
