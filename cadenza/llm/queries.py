@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from cadenza.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, store, suffix, urls
+from cadenza.llm.oracles import ORACLE_SQL as ORACLE_SQL
+from cadenza.llm.rules import URL_RULES
 from cadenza.session import new_path, table
 
 
@@ -16,16 +18,6 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), window=400)
 
 
-#: Rules of the query: (action, host, path).
-URL_RULES = [
-    ("block", "com", "/en/"),
-    ("allow", "example.com", "/en/7"),
-    ("allow", "net", "/de/"),
-    ("block", "example.net", "/de/8"),
-    ("block", "org", "/es/"),
-]
-
-
 def op3_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
@@ -73,5 +65,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
