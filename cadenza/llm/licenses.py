@@ -15,6 +15,8 @@ from cadenza.llm import kernels
 # Notices of each licence family, one paragraph each. Words in braces vary.
 TEMPLATES = {
     "mit": (
+        "MIT License",
+        "The MIT License",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "This project is available under the terms of the MIT License.",
@@ -23,6 +25,8 @@ TEMPLATES = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "apache": (
+        "Apache License 2.0",
+        "Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Released under the Apache 2.0 license.",
@@ -30,45 +34,59 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "gpl": (
+        "GNU General Public License",
+        "GNU GPL",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is licensed under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ),
     "lgpl": (
+        "GNU Lesser General Public License",
+        "GNU LGPL",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ),
     "bsd": (
+        "BSD License",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD 2-clause license.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ),
     "mpl": (
+        "Mozilla Public License",
+        "Mozilla Public License 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc-by-nc": (
+        "CC BY-NC 4.0",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC-SA 4.0.",
     ),
     "cc-by-sa": (
+        "CC BY-SA 4.0",
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
     "cc-by": (
+        "CC BY 4.0",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
     "cc0": (
+        "CC0 1.0",
         "Released under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
         "Dedicated to the public domain under the Creative Commons Zero license.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "Copyright 2024 Example Inc. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),
@@ -82,6 +100,8 @@ VARIANTS, STEPS, RATE, DECAY = 24, 300, 4.0, 1e-4
 #: Share of held-back unknown paragraphs that the calibrated limit lets pass, and the share of a template's word pairs
 #: (or of the paragraph's, where it is the shorter) that confirms a prediction.
 FALSE_SHARE, CONFIRM = 0.001, 0.6
+#: Word pairs that must be shared; a line or template with fewer is confirmed only by the same words in the same order.
+LEAST_PAIRS = 3
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -129,7 +149,8 @@ def _examples(negatives: list[str]) -> tuple[list[str], np.ndarray]:
             texts.append(template)
             classes.append(k)
             for _ in range(VARIANTS):
-                kept = [w for w in words if rng.random() > 0.08] or words
+                # a template too short for a comparison of pairs keeps all its words
+                kept = [w for w in words if len(words) <= LEAST_PAIRS or rng.random() > 0.08] or words
                 around = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 1 + max(1, len(words) // 3)))]
                 cut = rng.integers(0, len(around) + 1)
                 texts.append(" ".join([*around[:cut], *kept, *around[cut:]]))
@@ -175,17 +196,24 @@ def sample(docs: DataFrame) -> list[str]:
     return [x[:2000] for x in lines if not re.search("licen[sc]|copyright|rights reserved|creative commons|gnu|spdx", x, re.I)][:NEGATIVES]
 
 
-def _pairs(text: bytes) -> set[tuple[bytes, bytes]]:
-    words = _WORD.findall(text)
+def _pairs(words: list[bytes]) -> set[tuple[bytes, bytes]]:
     return set(zip(words[:-1], words[1:], strict=True))
 
 
-def confirmed(line: bytes, family: int, templates: list[list[set]]) -> bool:
-    """Whether enough of a template's word pairs are in the lower-cased line, or of the line's in the template."""
-    mine = _pairs(line)
-    for pairs in templates[family]:
+def _known() -> list[list[tuple[list[bytes], set]]]:
+    """The words and word pairs of each family's templates."""
+    words = [[_WORD.findall(t.lower().encode()) for t in TEMPLATES[f]] for f in FAMILIES]
+    return [[(w, _pairs(w)) for w in of_family] for of_family in words]
+
+
+def confirmed(line: bytes, family: int, templates: list[list[tuple[list[bytes], set]]]) -> bool:
+    """Whether enough of a template's word pairs are in the lower-cased line, or of the line's in the template; where
+    either has too few pairs, whether the words are the same."""
+    words = _WORD.findall(line)
+    mine = _pairs(words)
+    for theirs, pairs in templates[family]:
         shared, least = len(mine & pairs), min(len(mine), len(pairs))
-        if least and shared >= CONFIRM * least and shared >= min(3, len(pairs)):
+        if (shared >= max(CONFIRM * least, LEAST_PAIRS)) if least >= LEAST_PAIRS else words == theirs:
             return True
     return False
 
@@ -211,7 +239,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]):
         weights, limit = sent.value["weights"], sent.value["limit"]
-        templates = [[_pairs(t.lower().encode()) for t in TEMPLATES[f]] for f in FAMILIES]
+        templates = _known()
         for part in kernels.slices(batches, "__text"):
             buf, offsets = kernels.flatten(kernels.column(part, "__text"))
             low = kernels.lower_ascii(buf)
