@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +140,7 @@ def _squeezer() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3)
 
 
+MANIFESTS = "file int, first_id long, last_id long, start long, n_docs long, n_tokens long, root binary"
 ROWS = "is_chunk boolean, key binary, n long, ids binary, doc_id long, chunks array<binary>"
 
 
@@ -206,8 +208,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     placed = ordered.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, "file")
     placed = placed.select("file", "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "chunks")
     _with_roots(placed).sortWithinPartitions("file", "start").write.parquet(f"{path}/recipes")
-    written = docs.sparkSession.read.parquet(f"{path}/recipes")
-    by_file = written.groupBy("file").agg(
+    _manifests(docs.sparkSession.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifests")
+
+
+def _manifests(recipes: DataFrame) -> DataFrame:
+    """A row for each file's range of recipes, with the Merkle root over their roots."""
+    by_file = recipes.groupBy("file").agg(
         F.min("doc_id").alias("first_id"),
         F.max("doc_id").alias("last_id"),
         F.min("start").alias("start"),
@@ -215,7 +221,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         F.sum("n_tokens").alias("n_tokens"),
         F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda r: r["root"]).alias("roots"),
     )
-    _rooted(by_file).write.parquet(f"{path}/manifests")
+    return _rooted(by_file)
 
 
 def _with_roots(recipes: DataFrame) -> DataFrame:
@@ -235,9 +241,29 @@ def _rooted(manifests: DataFrame) -> DataFrame:
             roots = pa.array([merkle_root(leaves) for leaves in kernels.column(batch, "roots").to_pylist()], pa.binary())
             yield batch.set_column(batch.schema.get_field_index("roots"), "root", roots)
 
-    return manifests.mapInArrow(
-        run, "file int, first_id long, last_id long, start long, n_docs long, n_tokens long, root binary"
-    )
+    return manifests.mapInArrow(run, MANIFESTS)
+
+
+def _unlike(recipes: DataFrame, path: str, schema: str) -> DataFrame:
+    """No rows, of this schema; an error where the recipes' manifests, built again, differ from the stored ones."""
+    spark = recipes.sparkSession
+    try:
+        stored = spark.read.schema(MANIFESTS).parquet(f"{path}/manifests")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], MANIFESTS)
+    fields = [c.split()[0] for c in MANIFESTS.split(", ")]
+    sides = [df.select("file", F.struct(*fields).alias(side)) for df, side in ((_manifests(recipes), "built"), (stored, "stored"))]
+    unlike = sides[0].join(sides[1], "file", "full").filter(~F.col("built").eqNullSafe(F.col("stored"))).select("file")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                raise ValueError(f"the recipes of file {batch.column(0)[0].as_py()} differ from their manifest")
+        yield from ()
+
+    return unlike.mapInArrow(run, schema)
 
 
 def _shift(length: int) -> int:
@@ -300,7 +326,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored chunks alone.
 
     A document's crc32 comes from those of its chunks, so that no chunk's bytes are shuffled; a missing chunk, a changed
-    one, a wrong length or a wrong Merkle root is an error.
+    one, a wrong length or a wrong Merkle root is an error, as are recipes of a file that differ from its manifest in
+    number, tokens, range or root.
     """
     recipes, parts = _parts(spark, path, False)
     listed = F.array_sort(F.collect_list(F.struct("at", "sha", "n", "crc")))
@@ -319,12 +346,17 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             out = [kernels.column(batch, c) for c in ("doc_id", "start", "n_tokens")]
             yield pa.RecordBatch.from_arrays([*out, pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    kept = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return whole.mapInArrow(run, kept).unionAll(_unlike(recipes, path, kept))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document's ids, put together from its chunks."""
+    """(doc_id, start, n_tokens, ids): every document's ids, put together from its chunks; the errors of read_digests."""
     recipes, parts = _parts(spark, path, True)
     listed = F.array_sort(F.collect_list(F.struct("at", "ids")))
     joined = parts.groupBy("start").agg(F.flatten(F.transform(listed, lambda c: c["ids"])).alias("ids"))
-    return recipes.select("doc_id", "start", "n_tokens").join(joined, "start").select("doc_id", "start", "n_tokens", "ids")
+    lost = F.raise_error(F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit(" cannot be rebuilt")))
+    ids = F.when(F.size("ids") == F.col("n_tokens"), F.col("ids")).otherwise(lost.cast("array<long>")).alias("ids")
+    whole = recipes.select("doc_id", "start", "n_tokens").join(joined, "start").select("doc_id", "start", "n_tokens", ids)
+    rooted = _with_roots(recipes.drop("root"))  # the chunks' roots, whatever the recipes say
+    return whole.unionAll(_unlike(rooted, path, "doc_id long, start long, n_tokens long, ids array<long>"))
