@@ -12,7 +12,12 @@ from cadenza.session import materialize
 
 #: Rules up to this number are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_RULES = 100_000
+#: The prefix form of rel that the SQL knows; CANONICAL takes the word anywhere in the value.
 LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+CANONICAL = (
+    r"""(?is)<link\b[^>]*[\s"'/]rel\s*=\s*"""
+    r"""(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>"""
+)
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
@@ -42,24 +47,47 @@ def key_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), F.when(rest == "", "/").otherwise(rest)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from / on with its . and .. segments followed."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array(F.lit("")),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.array_append(done, s)),
+    )
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
 def _targets(tags: Column, pattern: str, url: Column) -> Column:
-    """The absolute urls that tags point at, read from the url of their page."""
+    """The absolute urls that tags point at, read from the url of their page; null for other schemes and no target."""
     found = F.transform(tags, lambda t: F.replace(F.regexp_extract(t, pattern, 1), F.lit("&amp;"), F.lit("&")))
     scheme = F.substring_index(url, "://", 1)
-    return F.transform(
-        found,
-        lambda t: F.when(t.contains("://"), t)
-        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
-        .when(t.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), t)),
-    )
+    site, folder = F.concat(scheme, F.lit("://"), host_of(url)), F.regexp_extract(path_of(url), r"(?s)\A.*/", 0)
+
+    def resolved(t: Column) -> Column:
+        path, tail = F.regexp_extract(t, r"\A[^?#]*", 0), F.regexp_extract(t, r"(?s)\A[^?#]*(.*)", 1)
+        return (
+            F.when((t == "") | (host_of(url) == ""), F.lit(None))
+            .when(t.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+            .when(t.startswith("/"), F.concat(site, _without_dots(path), tail))
+            .when(t.startswith("?"), F.concat(site, path_of(url), t))
+            .when(~t.startswith("#") & ~t.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"),
+                  F.concat(site, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), tail))
+        )
+
+    return F.transform(found, resolved)
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(source, target) of the canonical links and immediate redirects that pages declare."""
     url, html = F.col(url_col), F.col(html_col)
-    canonical = _targets(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), HREF, url)
+    canonical = _targets(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), HREF, url)
     refresh = _targets(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), REFRESH_URL, url)
-    found = pages.filter(html.contains("canonical") | html.rlike("(?i)refresh"))
+    found = pages.filter(html.rlike("(?i)canonical|refresh"))
     found = found.select(url.alias("source"), F.explode(F.concat(canonical, refresh)).alias("target"))
     return found.filter("target is not null and source is not null")
 
