@@ -42,13 +42,32 @@ def canonical(words: Column) -> Column:
     )
 
 
-def _windows(df: DataFrame, window: int) -> DataFrame:
-    """One row for each template window: (key, at, template hash)."""
-    starts = F.when(F.size("canon") >= window, F.sequence(F.lit(1), F.size("canon") - window + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("canon", i, window)))
-    return df.select("key", F.posexplode(hashes).alias("at", "h"))
+def plain(words: Column) -> Column:
+    """The tokens without marks, which depend on what stands before a copy."""
+    return F.transform(words, lambda t: F.translate(t, MARK, ""))
+
+
+def _starts(size: Column) -> Column:
+    none = F.array().cast("array<int>")
+    return F.when(F.size("canon") >= size, F.sequence(F.lit(1), F.size("canon") - size + 1)).otherwise(none)
+
+
+def _hash_at(column: str, size: int):
+    return lambda i: F.xxhash64(F.slice(column, i, size))
+
+
+def _windows(df: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """One row for each window of each kind, (size, exact): (key, size, exact, at, hash)."""
+    hashes = []
+    for size, exact in kinds:
+        column = "plain" if exact else "canon"
+        found = F.transform(_starts(F.lit(size)), _hash_at(column, size))
+        hashes.append(F.struct(F.lit(size).alias("size"), F.lit(exact).alias("exact"), found.alias("hashes")))
+    if len(kinds) == 1:
+        size, exact = kinds[0]
+        return df.select("key", F.lit(size).alias("size"), F.lit(exact).alias("exact"), F.posexplode(found).alias("at", "h"))
+    df = df.select("key", F.explode(F.array(*hashes)).alias("k"))
+    return df.select("key", "k.size", "k.exact", F.posexplode("k.hashes").alias("at", "h"))
 
 
 def contaminated(
@@ -66,42 +85,65 @@ def contaminated(
     Numbers, names and units become placeholders; a window of `window` tokens of a document counts when its template is
     one of the item's and at least `literal` of its tokens are literal. Over all windows that a document shares with an
     item each slot value of the item must stand for one value in the document and the other way round, within a run of
-    windows at one distance (a copy of the item); a run that fails this is dropped. Only contaminated documents are
+    windows at one distance (a copy of the item); a run that fails this is dropped. A window of the item with fewer
+    literal tokens counts where all its tokens are the same, and an item of fewer tokens than a window is one window of
+    its own, which counts where its tokens are the same or, with `literal` of them literal, as a template. Only contaminated documents are
     returned, one row for each id (repeated rows are one): item_ids ascending, n_windows the windows counted, n_slots
-    the filled slots compared. Null or short texts, and items shorter than a window, match nothing; an empty benchmark
-    gives an empty result. Other columns are ignored; rows without an id are not reported.
+    the filled slots compared (none in windows whose tokens are the same). Null texts and items without a token match
+    nothing; an empty benchmark gives an empty result. Other columns are ignored; rows without an id are not reported.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("__text")).filter("key is not null")
     items = benchmark.select(F.col(item_col).alias("key"), tokens(F.col(item_text)).alias("words"))
     items = items.withColumn("canon", canonical(F.col("words")))
-    templates = _windows(items, window).join(items, "key").select(
+    items = items.withColumn("plain", plain(F.col("words"))).filter("size(words) > 0")
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
+    items = items.select("*", F.explode(_starts(F.col("size"))).alias("start"))
+    cut = {c: F.slice(c, F.col("start"), F.col("size")) for c in ("words", "canon", "plain")}
+    enough = F.size(F.filter("template", lambda t: ~t.startswith("<"))) >= literal
+    exact = F.when(~enough, F.array(F.lit(True))).when(F.col("size") < window, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    templates = items.select(
         F.col("key").alias("item"),
-        F.col("at").alias("item_at"),
-        "h",
-        F.slice("words", F.col("at") + 1, window).alias("item_words"),
-        F.slice("canon", F.col("at") + 1, window).alias("template"),
+        (F.col("start") - 1).alias("item_at"),
+        "size",
+        cut["words"].alias("item_words"),
+        cut["canon"].alias("template"),
+        cut["plain"].alias("item_plain"),
     )
-    templates = templates.filter(F.size(F.filter("template", lambda t: ~t.startswith("<"))) >= literal)
-    templates = materialize(templates.dropDuplicates(["item", "item_at", "h"]), "templates")
-    keys = broadcast_up_to(templates.select("h").distinct(), BROADCAST_ROWS)
+    templates = templates.select("*", F.explode(exact).alias("exact"))
+    templates = templates.withColumn("h", F.when(F.col("exact"), F.xxhash64("item_plain")).otherwise(F.xxhash64("template")))
+    templates = materialize(templates.dropDuplicates(["item", "item_at", "h", "exact"]), "templates")
+    # At most two kinds for each size up to a window's.
+    kinds = sorted((r["size"], r["exact"]) for r in templates.select("size", "exact").distinct().collect()) or [(window, False)]
+    keys = broadcast_up_to(templates.select("h", "size", "exact").distinct(), BROADCAST_ROWS)
     canon = docs.select("key", canonical(tokens(F.col("__text"))).alias("canon"))
-    hits = materialize(_windows(canon, window).join(keys, "h").distinct(), "hits")
+    if any(exact for _, exact in kinds):
+        canon = docs.select("key", tokens(F.col("__text")).alias("words"))
+        canon = canon.select("key", canonical(F.col("words")).alias("canon"), plain(F.col("words")).alias("plain"))
+    hits = materialize(_windows(canon, kinds).join(keys, ["h", "size", "exact"]).distinct(), "hits")
     found = broadcast_up_to(materialize(hits.select("key").distinct(), "found"), BROADCAST_IDS)
     texts = docs.join(found, "key", "left_semi").dropDuplicates()
     texts = texts.select("key", tokens(F.col("__text")).alias("words"))
-    pairs = hits.join(texts, "key").select("key", "at", "h", F.slice("words", F.col("at") + 1, window).alias("doc_words"))
-    pairs = pairs.join(templates, "h").filter(canonical(F.col("doc_words")) == F.col("template"))
+    doc_words = F.slice("words", F.col("at") + 1, F.col("size")).alias("doc_words")
+    pairs = hits.join(texts, "key").select("key", "at", "h", "size", "exact", doc_words)
+    same = F.when(F.col("exact"), plain(F.col("doc_words")) == F.col("item_plain")).otherwise(canonical(F.col("doc_words")) == F.col("template"))
+    pairs = pairs.join(templates, ["h", "size", "exact"]).filter(same)
     slots = F.filter(
         F.arrays_zip(F.col("template").alias("kind"), F.col("item_words").alias("mine"), F.col("doc_words").alias("theirs")),
         lambda s: s["kind"].startswith("<"),
     )
-    found = pairs.select("key", "item", (F.col("at") - F.col("item_at")).alias("shift"), "at", slots.alias("slots"))
+    found = pairs.select("key", "item", (F.col("at") - F.col("item_at")).alias("shift"), "at", "exact", slots.alias("slots"))
     run = ["key", "item", "shift"]
+    copied = found.filter("exact").select(*run, "at").distinct()
+    found = found.filter("not exact")
     filled = found.select(*run, F.explode("slots").alias("s")).select(*run, "s.kind", "s.mine", "s.theirs").distinct()
     forward = filled.groupBy(*run, "kind", "mine").count().groupBy(*run).agg(F.max("count").alias("most"), F.sum("count").alias("n_slots"))
     back = filled.groupBy(*run, "kind", "theirs").count().groupBy(*run).agg(F.max("count").alias("back"))
     judged = found.groupBy(*run).agg(F.countDistinct("at").alias("n")).join(forward, run, "left").join(back, run, "left")
     judged = judged.filter("coalesce(most, 1) = 1 and coalesce(back, 1) = 1")
+    if any(exact for _, exact in kinds):
+        counted = found.join(judged, run, "left_semi").select(*run, "at")
+        copied = copied.join(counted, [*run, "at"], "left_anti").groupBy(*run).agg(F.count("*").alias("n"))
+        judged = judged.select(*run, "n", "n_slots").unionByName(copied, allowMissingColumns=True)
     return judged.groupBy("key").agg(
         F.array_sort(F.collect_set("item")).alias("item_ids"),
         F.sum("n").alias("n_windows"),
