@@ -1,4 +1,8 @@
-"""Repeated substrings by suffix arrays over shards of the places that can repeat."""
+"""Repeated substrings by suffix arrays over shards of the places that can repeat.
+
+Hashes only choose which places are worth a comparison and which of them are one class of equal places; that a string
+repeats is read from a suffix array's common prefixes, of which every class sends two members.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernels
-from cadenza.session import materialize
+from cadenza.session import broadcast_up_to, materialize
 
-#: Bytes hashed at each place for the choice of anchors.
-GRAM = 32
-#: Text of one suffix array.
-SHARD_BYTES = 1 << 20
-#: An anchor with more different contexts than this goes by window hashes, which any number of tasks can share.
-GROUP_LIMIT = 3000
-#: A reduced string with more symbols than this is ranked by doubling; buckets would be nearly empty.
-ALPHABET_LIMIT = 2048
+#: Symbols hashed at each place for the choice of anchors: bytes, and words.
+GRAM, GRAM_WORDS = 32, 4
+#: Text of one suffix array, and of one group of places that have to share it; larger groups are divided.
+SHARD_BYTES, GROUP_BYTES = 1 << 20, 1 << 19
+#: Alphabets up to this size are induced bucket by bucket; in larger ones most buckets are nearly empty.
+BUCKETS = 1024
+#: Ids of documents with a place to look up (16 bytes each) are broadcast up to this number; else a shuffle joins them.
+BROADCAST_IDS = 1_000_000
+BYTES, WORDS = 0, 1
 
 
 # --- suffix array by induced sorting -------------------------------------------------------------------------------
@@ -57,8 +62,9 @@ def _waves(text: np.ndarray, places: np.ndarray, symbol: int) -> list[np.ndarray
     return out
 
 
-def _induce(text: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, induced from the leftmost-S ones in the order given."""
+def _by_buckets(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes in order, induced from the leftmost-S ones in the order given, one symbol's bucket after another."""
+    k = int(text.max()) + 1
     seeds: list[list[np.ndarray]] = [[] for _ in range(k)]
     larger: list[list[np.ndarray]] = [[] for _ in range(k)]
     smaller: list[list[np.ndarray]] = [[] for _ in range(k)]
@@ -79,55 +85,104 @@ def _induce(text: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
     return np.concatenate(out[::-1])
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    rank, step, n = names.astype(np.int64) + 1, 1, len(names)
-    while True:
-        then = np.zeros(n, np.int64)
-        then[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 2) + then
-        order = np.argsort(key, kind="stable")
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], np.diff(key[order]) != 0]))
-        if rank[order[-1]] == n:
-            return order
-        step *= 2
+def _along(text: np.ndarray, places: np.ndarray, ends: np.ndarray, rank: np.ndarray, ends_first: bool) -> np.ndarray:
+    """The places in order; each one's suffix runs on to the next place until it meets one of the ends, whose ranks are
+    known (rank, by place). At equal symbols an end is the smaller one if ends_first.
 
+    All symbols' buckets are filled together: places are ranked by their first symbol, then by where twice as many
+    symbols lead each time, until a run has met its end.
+    """
+    m, size = len(places), len(places) + len(ends)
+    both = np.concatenate([places, ends])
+    slot = np.zeros(len(text) + 1, np.int64)
+    slot[both] = np.arange(size)
+    to = np.concatenate([slot[places + 1], np.arange(m, size)])
+    key = text[both].astype(np.int64) * 2
+    key[:m] += ends_first
+    key[m:] += not ends_first
+    key *= len(text)
+    key[m:] += rank[ends]
+    order = np.argsort(key)
+    head = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    now = np.empty(size, np.int64)  # the place in order of the first one of equal rank
+    now[order] = np.maximum.accumulate(np.where(head, np.arange(size), 0))
+    while not head.all():
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))  # only these are sorted again
+        mine = order[tied]
+        key = now[mine] * size + now[to[mine]]
+        again = np.argsort(key)
+        key, mine = key[again], mine[again]
+        order[tied] = mine
+        head[tied[1:]] = key[1:] != key[:-1]
+        now[mine] = np.maximum.accumulate(np.where(head[tied], tied, 0))
+        to = to[to]
+    return both[order[order < m]]
+
+
+def _by_chains(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes in order, induced from the leftmost-S ones in the order given, all buckets of a type at once."""
+    n = len(text)
+    rank = np.zeros(n, np.int64)
+    rank[lms] = np.arange(len(lms))
+    larger = np.flatnonzero(~is_s)
+    if not len(larger):
+        return lms
+    order_l = _along(text, larger, lms, rank, False)
+    rank[order_l] = np.arange(len(order_l))
+    smaller = np.flatnonzero(is_s[:-1])
+    met = larger[is_s[larger - 1]] if larger[0] else larger[1:][is_s[larger[1:] - 1]]
+    order_s = _along(text, smaller, met, rank, True) if len(smaller) else smaller
+    order_s = np.concatenate([[n - 1], order_s])
+    both = np.concatenate([order_l, order_s])  # in a bucket those of type L come first
+    return both[np.argsort(text[both], kind="stable")]
 
-def _prefix(text: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(kernels.mix(text.astype(np.uint64) + np.uint64(1)) * kernels.powers(len(text) + 1)[0][:-1], out=out[1:])
-    return out
+
+def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    return _by_buckets(text, lms) if int(text.max()) < BUCKETS else _by_chains(text, is_s, lms)
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many of the first symbols at places a and b are equal, at most lengths (each at least 1)."""
+    at = np.cumsum(lengths) - lengths
+    inside = np.arange(lengths.sum()) - np.repeat(at, lengths)
+    unlike = text[np.repeat(a, lengths) + inside] != text[np.repeat(b, lengths) + inside]
+    return np.minimum.reduceat(np.where(unlike, inside, np.repeat(lengths, lengths)), at) if len(a) else lengths
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffix array of symbols 0 to k - 1, whose last one is the only 0."""
-    n, k = len(text), int(text.max()) + 1
+    """The suffix array of symbols 0 to k - 1, whose last one is the only 0.
+
+    The leftmost-S substrings are put in order by a first induction, named, and their string is sorted by recursion if a
+    name repeats; a second induction from the sorted ones gives all suffixes.
+    """
+    n = len(text)
     if n < 3:
         return np.arange(n)[::-1].copy()
     after = np.sign(text[1:].astype(np.int64) - text[:-1])  # 1: smaller than its successor, so of type S
     change = np.flatnonzero(after)
     is_s = np.ones(n, bool)
-    is_s[:-1] = after[change[np.searchsorted(change, np.arange(n - 1))]] > 0
+    is_s[:-1] = np.repeat(after[change] > 0, np.diff(change, prepend=-1))  # equal ones as the next unlike one
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    rough = _induce(text, k, lms)
+    rough = _induce(text, is_s, lms)
     marked = np.zeros(n, bool)
     marked[lms] = True
     order = rough[marked[rough]]
     ends = np.zeros(n, np.int64)
     ends[lms] = np.append(lms[1:] + 1, n)
-    prefix = _prefix(text)
-    hashes, lengths = kernels.span_hash(prefix, order, ends[order]), ends[order] - order
+    lengths = ends[order] - order
+    new = np.diff(lengths, prepend=-1) != 0
+    same = np.flatnonzero(~new)
+    new[same] = _equal(text, order[same - 1], order[same], lengths[same]) < lengths[same]
     names = np.zeros(n, np.int64)
-    names[order] = np.cumsum((np.diff(hashes, prepend=hashes[:1]) != 0) | (np.diff(lengths, prepend=lengths[:1]) != 0))
-    reduced = names[lms]
-    if reduced.max() + 1 < len(lms):
-        small = reduced.max() < ALPHABET_LIMIT and len(lms) > 8 * ALPHABET_LIMIT
-        order = lms[suffix_array(reduced.astype(np.uint16)) if small else _doubled(reduced)]
-    return _induce(text, k, order)
+    names[order] = np.cumsum(new) - 1
+    if names[order[-1]] + 1 < len(lms):
+        order = lms[suffix_array(names[lms])]
+    return _induce(text, is_s, order)
 
 
-def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each place the length of the prefix its suffix shares with the one before it in order.
+def permuted_lcp(text: np.ndarray, sa: np.ndarray, window: int) -> np.ndarray:
+    """For each place the length of the prefix its suffix shares with the one before it in order; values below window
+    may be too large by a chance of hashes, others are compared symbol by symbol.
 
     Where the symbols before the two suffixes are equal the value is one less than that of the place before; only the
     others are searched, by prefix hashes.
@@ -139,23 +194,25 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     reducible = (at > 0) & (phi > 0)
     reducible[reducible] = text[at[reducible] - 1] == text[phi[reducible] - 1]
     first = np.flatnonzero(~reducible)
-    prefix, found = _prefix(text), np.zeros(len(first), np.int64)
+    prefix, found = np.zeros(n + 1, np.uint64), np.zeros(len(first), np.int64)
+    np.cumsum(kernels.mix(text.astype(np.uint64) + np.uint64(1)) * kernels.powers(n + 1)[0][:-1], out=prefix[1:])
     live = np.flatnonzero(phi[first] >= 0)
     i, j = first[live], phi[first[live]]
     room = n - np.maximum(i, j)
-    low, step = np.zeros(len(live), np.int64), np.full(len(live), 8, np.int64)
+    low, step = np.zeros(len(live), np.int64), np.full(len(live), window, np.int64)
 
     def same(which, length):
         a, b = i[which], j[which]
         return kernels.span_hash(prefix, a, a + length) == kernels.span_hash(prefix, b, b + length)
 
-    growing = np.arange(len(live))
-    high = room + 1
+    growing = np.flatnonzero(room >= window)  # a shorter common prefix than the window is as good as none
+    high = np.full(len(live), 1)
     while len(growing):
         to = np.minimum(step[growing], room[growing])
         equal = same(growing, to)
         low[growing[equal]] = to[equal]
-        high[growing[~equal]] = to[~equal]
+        high[growing[equal]] = to[equal] + 1
+        high[growing[~equal]] = np.where(low[growing[~equal]] > 0, to[~equal], 1)
         growing = growing[equal & (to < room[growing])]
         step[growing] *= 8
     open_ = np.flatnonzero(high - low > 1)
@@ -165,6 +222,8 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
         low[open_[equal]] = middle[equal]
         high[open_[~equal]] = middle[~equal]
         open_ = open_[high[open_] - low[open_] > 1]
+    sure = np.flatnonzero(low >= window)
+    low[sure] = _equal(text, i[sure], j[sure], low[sure])
     found[live] = low
     last = np.maximum.accumulate(np.where(reducible, -1, at))
     values = np.zeros(n, np.int64)
@@ -172,19 +231,29 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.maximum(values[last] - (at - last), 0)
 
 
-def repeated(segments: list[bytes], window: int) -> list[np.ndarray]:
-    """For each segment whether the window that starts at each place also starts at another place of any segment."""
-    joined = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)  # UTF-8 never has this byte
-    text = joined.astype(np.uint16) + 2
-    text[joined == 255] = 1
-    text = np.append(text, 0).astype(np.uint16)
+def repeated(segments: list[np.ndarray], window: int, owners: list | None = None) -> list[np.ndarray]:
+    """For each segment of symbols (2 or more) whether the window that starts at each place also starts at another place
+    of any segment, and with owners, at a place of a segment with another owner."""
+    starts = np.cumsum([0, *(len(s) + 1 for s in segments)])
+    text = np.ones(starts[-1] + 1, np.int64)
+    text[-1] = 0
+    for s, x in zip(starts, segments, strict=False):
+        text[s : s + len(x)] = x
+    if text.max() < 1 << 16:
+        text = text.astype(np.uint16)
     sa = suffix_array(text)
-    lcp = permuted_lcp(text, sa)
-    enough = lcp >= window
-    twice = enough.copy()
-    twice[sa[:-1]] |= enough[sa[1:]]
-    starts = np.cumsum([0, *(len(s) + 1 for s in segments[:-1])])
-    return [twice[s : s + max(0, len(x) - window + 1)] for s, x in zip(starts, segments, strict=True)]
+    enough = permuted_lcp(text, sa, window) >= window
+    if owners is None:
+        twice = enough.copy()
+        twice[sa[:-1]] |= enough[sa[1:]]
+    else:
+        numbers = {o: k for k, o in enumerate(dict.fromkeys(owners))}
+        own = np.repeat([*map(numbers.__getitem__, owners), -1], [*np.diff(starts), 1])[sa]
+        heads = np.flatnonzero(~enough[sa])
+        unlike = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
+        twice = np.zeros(len(text), bool)
+        twice[sa] = np.repeat(unlike, np.diff(np.append(heads, len(sa))))
+    return [twice[s : s + max(0, len(x) - window + 1)] for s, x in zip(starts, segments, strict=False)]
 
 
 # --- which places can repeat ---------------------------------------------------------------------------------------
@@ -200,23 +269,31 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def anchored_runs(buf: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: row, first and last window start in the row, fingerprint, context hash.
+def _middle(window: int, gram: int) -> int:
+    """Windows whose anchor lies at most so far from their start are looked for apart from the others."""
+    return (window - gram) // 2
+
+
+def anchored_runs(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share an anchor, over rows of symbols with hashes: row, anchor, first and last window start
+    in the row, fingerprint, halves and context hash.
 
     A window's anchor is its leftmost gram with the smallest hash, so equal windows have equal anchors at equal places.
+    Halves are 32 bits each of the symbols that all windows share whose anchor is near their start (high bits) or is not.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    gram = min(GRAM, window)
-    if len(buf) < window:
+    none = tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 3)
+    if len(values) < window:
         return none
-    prefix = kernels.prefix_hash(buf)
-    at = np.arange(len(buf) - gram + 1)
+    n = len(values)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * kernels.powers(n + 1)[0][:n], out=prefix[1:])
+    at = np.arange(n - gram + 1)
     grams = kernels.mix(kernels.span_hash(prefix, at, at + gram))
-    bits = np.uint64(len(buf).bit_length())
+    bits = np.uint64(n.bit_length())
     least = _sliding_min((grams >> bits << bits) | at.astype(np.uint64), window - gram + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     starts = np.arange(len(anchor))
-    row = np.searchsorted(offsets, starts, "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(starts)]
     ok = starts + window <= offsets[row + 1]
     changed = np.ones(len(starts), bool)
     changed[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | ~ok[:-1]
@@ -226,29 +303,72 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np
     ends = np.ones(len(starts), bool)
     ends[:-1] = changed[1:] | ~ok[1:]
     last = np.flatnonzero(ok & ends)
-    shape = (anchor[first] - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
+    anchor, row, half = anchor[first], row[first], _middle(window, gram)
+    shape = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
     context = kernels.mix(kernels.span_hash(prefix, first, last + window) + kernels.mix(shape))
-    base = offsets[row[first]]
-    return row[first], first - base, last - base, grams[anchor[first]], context
+    near, far = last >= anchor - half, first < anchor - half
+    right = np.where(near, kernels.mix(kernels.span_hash(prefix, anchor, np.where(near, anchor + window - half, anchor))), 0)
+    left = np.where(far, kernels.mix(kernels.span_hash(prefix, np.where(far, anchor - half - 1, anchor), anchor + gram)), 0)
+    halves = right >> np.uint64(32) << np.uint64(32) | left >> np.uint64(32)
+    base = offsets[row]
+    return row, anchor - base, first - base, last - base, grams[anchor], halves, context
+
+
+def _pieces(buf: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows' bytes, a long row in pieces that overlap by a window less one: (place in the row, bytes, offsets)."""
+    if len(offsets) > 2 or len(buf) <= 4 * kernels.SLICE_BYTES:
+        yield 0, buf, offsets
+        return
+    for s in range(0, len(buf) - window + 1, kernels.SLICE_BYTES):
+        piece = buf[s : s + kernels.SLICE_BYTES + window - 1]
+        yield s, piece, np.array([0, len(piece)])
+
+
+ANCHORS = "__id long, __hash long, kind int, at int, first int, last int, start int, size int, print long, halves long, context long"
 
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
+def _anchors(docs: DataFrame, window: int, passage: int) -> DataFrame:
+    """The runs of all documents, in bytes and in words, each with the place and size of its bytes."""
+    names = [c.split()[0] for c in ANCHORS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]):
         for part in kernels.slices(batches, "__text"):
-            row, first, last, print_, context = anchored_runs(*kernels.flatten(kernels.column(part, "__text")), window)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    kernels.column(part, "__id").take(pa.array(row)),
-                    kernels.column(part, "__hash").take(pa.array(row)),
-                    pa.array(first),
-                    pa.array(last),
-                    pa.array(print_.view(np.int64)),
-                    pa.array(context.view(np.int64)),
-                ],
-                names=["__id", "__hash", "first", "last", "print", "context"],
-            )
-
-    return docs.mapInArrow(run, "__id long, __hash long, first long, last long, print long, context long")
+            buf, offsets = kernels.flatten(kernels.column(part, "__text"))
+            found = []
+            for base, piece, cuts in _pieces(buf, offsets, window):
+                row, at, first, last, *hashes = anchored_runs(kernels._VALUES[piece], cuts, window, min(GRAM, window))
+                found.append((row, BYTES, at + base, first + base, last + base, first + base, last - first + window, *hashes))
+            if passage:
+                starts, ends, cuts = kernels.words(buf, offsets)
+                values = kernels.mix(kernels.span_hash(kernels.prefix_hash(buf), starts, ends) + (ends - starts).astype(np.uint64))
+                row, at, first, last, print_, *hashes = anchored_runs(values, cuts, passage, min(GRAM_WORDS, passage))
+                begin = starts[cuts[row] + first]
+                size = ends[cuts[row] + last + passage - 1] - begin
+                found.append((row, WORDS, at, first, last, begin - offsets[row], size, ~print_, *hashes))
+            for row, kind, *columns in found:
+                ints = [pa.array(c.astype(np.int32)) for c in columns[:5]]
+                longs = [pa.array(c.view(np.int64)) for c in columns[5:]]
+                own = [kernels.column(part, c).take(pa.array(row)) for c in ("__id", "__hash")]
+                kinds = pa.array(np.full(len(row), kind, np.int32))
+                yield pa.RecordBatch.from_arrays([*own, kinds, *ints, *longs], names=names)
+
+    return docs.mapInArrow(run, ANCHORS)
+
+
+# --- deciding by suffix arrays -------------------------------------------------------------------------------------
+#
+# A part is a stretch of one class's bytes: its group (key), the class (c1, c2) and the kind, the document (__id, __hash),
+# its first and last window (lo, hi) counted from the class's first one, the anchor (off, counted likewise), the least
+# and the greatest distance of an anchor that the group is for (near, far), and the bytes.
+PARTS = "key long, c1 long, c2 long, kind int, __id long, __hash long, lo int, hi int, off int, near int, far int, bytes binary"
+SPANS = "c1 long, c2 long, s int, e int"
+
+
+def _symbols(kind: int, data: list[bytes]) -> list[np.ndarray]:
+    if kind == BYTES:
+        return [np.frombuffer(d, np.uint8).astype(np.uint16) + 2 for d in data]
+    numbers: dict[bytes, int] = {}
+    return [np.array([numbers.setdefault(w, len(numbers) + 2) for w in d.split()], np.int64) for d in data]
 
 
 def _spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,104 +376,197 @@ def _spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-SPANS = "__id long, __hash long, start long, end long"
+def _by_suffix_array(parts: DataFrame, sizes: dict) -> DataFrame:
+    """Runs of repeated windows, counted from the class's first one, of parts whose groups are small enough."""
 
-
-def _by_suffix_array(contexts: DataFrame, window: int) -> DataFrame:
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        flags = repeated([bytes(b) for b in shard["bytes"]], window)
+        kind = int(shard["kind"].iloc[0])
+        owners = list(zip(shard["__id"], shard["__hash"], strict=True)) if kind == WORDS else None
+        flags = repeated(_symbols(kind, shard["bytes"].tolist()), sizes[kind], owners)
         rows = []
-        places = zip(*(shard[c].tolist() for c in ("__id", "__hash", "first", "n")), flags, strict=True)
-        for doc, key, first, n, flag in places:
-            if n == 1:
-                rows += [(doc, key, first + s, first + e - 1 + window) for s, e in zip(*_spans_of(flag), strict=True)]
-        return pd.DataFrame(rows, columns=["__id", "__hash", "start", "end"], dtype="int64")
+        for c1, c2, lo, flag in zip(shard["c1"].tolist(), shard["c2"].tolist(), shard["lo"].tolist(), flags, strict=True):
+            rows += [(c1, c2, lo + s, lo + e) for s, e in zip(*_spans_of(flag), strict=True)]
+        out = pd.DataFrame(rows, columns=["c1", "c2", "s", "e"]).drop_duplicates()
+        return out.astype({"c1": "int64", "c2": "int64", "s": "int32", "e": "int32"})
+
+    return parts.groupBy("kind", "shard").applyInPandas(run, SPANS)
 
-    return contexts.groupBy("shard").applyInPandas(run, SPANS)
 
+def _divided(parts: DataFrame, sizes: dict) -> DataFrame:
+    """Each part as two, for the nearer and the farther anchors; the new group's key is the symbols all its windows share."""
+    schema = PARTS + ", piece long"
 
-def _by_window_hash(contexts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                rows = []
-                for doc, key, first, n, data in zip(*(kernels.column(part, c).to_pylist() for c in ("__id", "__hash", "first", "n", "bytes")), strict=True):
-                    at = np.arange(len(data) - window + 1)
-                    prefix = kernels.prefix_hash(np.frombuffer(data, np.uint8))
-                    h = kernels.mix(kernels.span_hash(prefix, at, at + window)).view(np.int64)
-                    rows.append(pd.DataFrame({"__id": doc, "__hash": key, "start": first + at, "n": n, "h": h}))
-                yield pa.RecordBatch.from_pandas(pd.concat(rows), preserve_index=False)
+            rows = []
+            for r in batch.to_pylist():
+                window = sizes[r["kind"]]
+                joint, units = (b"", [r["bytes"][i : i + 1] for i in range(len(r["bytes"]))]) if r["kind"] == BYTES else (b" ", r["bytes"].split())
+                middle = (r["near"] + r["far"]) // 2
+                for near, far in ((r["near"], middle), (middle + 1, r["far"])):
+                    lo, hi = max(r["lo"], r["off"] - far), min(r["hi"], r["off"] - near)
+                    if near > far or lo > hi:
+                        continue
+                    mine = joint.join(units[lo - r["lo"] : hi - r["lo"] + window])
+                    core = joint.join(units[r["off"] - near - r["lo"] : r["off"] - far + window - r["lo"]])
+                    short = lambda *x: int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+                    rows.append(r | {"key": short(r["key"], near, far, core), "lo": lo, "hi": hi, "near": near, "far": far, "bytes": mine, "piece": short(r["off"] - lo, mine)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*batch.schema, pa.field("piece", pa.int64())]))
+
+    return parts.mapInArrow(run, schema)
+
+
+def _decided(parts: DataFrame, sizes: dict) -> DataFrame:
+    """Runs of repeated windows of all parts. A group too large for one suffix array is divided by the distance from
+    window to anchor, as far as single distances, where all windows of a group are equal; equal parts become one class,
+    of which two members go on."""
+    groups = materialize(parts.groupBy("key").agg(F.sum(F.length("bytes")).alias("n"), F.max(F.col("far") - F.col("near")).alias("range")), "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    large = groups.filter((F.col("n") > GROUP_BYTES) & (F.col("range") > 0)).select("key")  # at most total / GROUP_BYTES rows
+    any_large = large.limit(1).count()
+    small = parts.join(broadcast_up_to(large, BROADCAST_IDS), "key", "left_anti") if any_large else parts
+    shard = F.pmod(F.hash("key"), F.lit(max(1, -(-total // SHARD_BYTES)))).alias("shard")
+    spans = _by_suffix_array(small.select("*", shard), sizes)
+    if not any_large:
+        return spans
+    pieces = materialize(_divided(parts.join(broadcast_up_to(large, BROADCAST_IDS), "key", "left_semi").select(*parts.columns), sizes), "pieces")
+    member = F.struct("__id", "__hash", "c1", "c2", "kind", "lo", "hi", "off", "near", "far", "bytes")
+    classes = pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("two"))
+    two = F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))
+    classes = classes.select("key", "piece", F.explode(two).alias("m"))
+    fields = [F.col(f"m.{c}") for c in ("kind", "__id", "__hash", "lo", "hi", "off", "near", "far", "bytes")]
+    # Windows are counted from the part's own first one, as parts of one class begin at different windows of theirs.
+    own = classes.select("key", F.col("key").alias("c1"), F.col("piece").alias("c2"), *fields)
+    own = own.select("key", "c1", "c2", "kind", "__id", "__hash", F.lit(0).alias("lo"), (F.col("hi") - F.col("lo")).alias("hi"), (F.col("off") - F.col("lo")).alias("off"), "near", "far", "bytes")
+    found = _decided(materialize(own, "parts"), sizes).withColumnsRenamed({"c1": "key", "c2": "piece"})
+    back = pieces.select("key", "piece", "c1", "c2", "lo").join(found, ["key", "piece"])
+    return spans.unionAll(back.select("c1", "c2", (F.col("s") + F.col("lo")).alias("s"), (F.col("e") + F.col("lo")).alias("e")))
+
+
+def _parts_of(docs: DataFrame, classes: DataFrame, sizes: dict) -> DataFrame:
+    """The parts of classes that can repeat: two members of a class with several, and one member of each class in every
+    group of classes that share their near or far half."""
+    grams = {kind: min(gram, sizes[kind]) for kind, gram in ((BYTES, GRAM), (WORDS, GRAM_WORDS))}
+    by_kind = lambda value: F.when(F.col("kind") == BYTES, value(BYTES)).otherwise(value(WORDS))
+    half = by_kind(lambda kind: max(0, _middle(sizes[kind], grams[kind])))
+    farthest = by_kind(lambda kind: max(0, sizes[kind] - grams[kind]))
+    width, off = F.col("width"), F.col("off")
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.greatest(F.lit(0), off - half).cast("int").alias("lo"), width.alias("hi"), F.lit(0).alias("near"), half.alias("far")),
+        F.struct(F.lit(1).alias("side"), F.lit(0).alias("lo"), F.least(width, off - half - 1).cast("int").alias("hi"), (half + 1).alias("near"), farthest.alias("far")),
+    )
+    stretches = classes.select("c1", "c2", "halves", F.explode(sides).alias("s")).select("c1", "c2", "halves", "s.*").filter("lo <= hi")
+    shared = F.when(F.col("side") == 0, F.shiftright("halves", 32)).otherwise(F.col("halves").bitwiseAND(0xFFFFFFFF))
+    stretches = materialize(stretches.select("c1", "c2", "lo", "hi", "near", "far", F.xxhash64("c1", "side", shared).alias("key")), "stretches")
+    several = materialize(stretches.groupBy("key").count().filter("count > 1").select("key"), "keys")
+    stretches = stretches.join(several, "key").groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "lo", "hi", "near", "far")).alias("stretches"))
+    classes = classes.join(stretches, ["c1", "c2"], "left").filter("n > 1 or stretches is not null")
+    alone = F.array(F.struct(F.xxhash64("c1", "c2").alias("key"), F.lit(0).alias("lo"), width.alias("hi"), F.lit(0).alias("near"), farthest.alias("far")))
+    none = F.filter(alone, lambda s: F.lit(False))
+    several = F.col("n") > 1
+    one = F.concat(F.when(several, alone).otherwise(none), F.coalesce("stretches", none))
+    places = F.filter(
+        F.array(F.struct(F.col("one").alias("m"), one.alias("stretches")), F.struct(F.col("two").alias("m"), F.when(several, alone).otherwise(none).alias("stretches"))),
+        lambda p: F.size(p["stretches"]) > 0,
+    )
+    places = classes.select("c1", "c2", "kind", "off", F.explode(places).alias("p")).select("c1", "c2", "kind", "off", "p.m.*", "p.stretches")
+    places = materialize(places, "places")
+    ids = places.select("__id", "__hash").distinct()
+    texts = docs.select("__id", "__hash", F.col("__text").cast("binary").alias("data"))
+    texts = texts.join(broadcast_up_to(materialize(ids, "ids"), BROADCAST_IDS), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    read = places.join(texts, ["__id", "__hash"])
+    read = read.select("c1", "c2", "kind", "off", "__id", "__hash", "stretches", F.substring("data", F.col("start") + 1, F.col("size")).alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.binary()]
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                data, window = r["bytes"], sizes[r["kind"]]
+                words = data.split() if r["kind"] == WORDS else None
+                for s in r["stretches"]:
+                    e = s["hi"] + window
+                    mine = data[s["lo"] : e] if words is None else b" ".join(words[s["lo"] : e])
+                    rows.append((s["key"], r["c1"], r["c2"], r["kind"], r["__id"], r["__hash"], s["lo"], s["hi"], r["off"], s["near"], s["far"], mine))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return read.mapInArrow(run, PARTS)
 
-    windows = contexts.mapInArrow(run, "__id long, __hash long, start long, n long, h long")
-    twice = windows.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1")
-    found = windows.filter("n = 1").join(twice, "h")
-    return found.select("__id", "__hash", "start", (F.col("start") + window).alias("end"))
 
+def _covered(spans, kind: int, n: int, window: int) -> np.ndarray:
+    """Which of n symbols the windows of these runs cover."""
+    step = np.zeros(n + 1, np.int32)
+    for span in spans or ():
+        if span["kind"] == kind:
+            step[span["start"]] += 1
+            step[min(n, span["stop"] - 1 + window)] -= 1
+    return np.cumsum(step[:-1]) > 0
 
-def _cut(joined: DataFrame, id_col: str, with_kept: bool) -> DataFrame:
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+def _cut(joined: DataFrame, id_col: str, sizes: dict, with_kept: bool) -> DataFrame:
+    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
     def run(batches: Iterator[pa.RecordBatch]):
         for part in kernels.slices(batches, "__text"):
             rows = []
             buf, offsets = kernels.flatten(kernels.column(part, "__text"))
             for s, e, spans in zip(offsets[:-1], offsets[1:], kernels.column(part, "spans").to_pylist(), strict=True):
-                text, step = buf[s:e], np.zeros(e - s + 1, np.int32)
-                for span in spans or ():
-                    step[span["start"]] += 1
-                    step[span["end"]] -= 1
-                gone = np.cumsum(step[:-1]) > 0
+                text, spans, words = buf[s:e], spans or (), 0
+                gone = _covered(spans, BYTES, e - s, sizes[BYTES])
+                stops = [span["stop"] for span in spans if span["kind"] == WORDS]
+                if stops:
+                    words = int(_covered(spans, WORDS, max(stops) - 1 + sizes[WORDS], sizes[WORDS]).sum())
                 kept = text[~gone].tobytes()
-                rows.append((e - s, int(gone.sum()), len(_spans_of(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                rows.append((e - s, int(gone.sum()), len(_spans_of(gone)[0]), hashlib.sha256(kept).hexdigest(), words, kept))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            columns = [kernels.column(part, "__id"), *columns][: 6 if with_kept else 5]
+            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"]
+            columns = [kernels.column(part, "__id"), *columns][: 7 if with_kept else 6]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     return joined.mapInArrow(run, schema + (", kept binary" if with_kept else ""))
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, with_kept: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, passage: int = 51, with_kept: bool = False
 ) -> DataFrame:
     """Remove every byte of the UTF-8 texts that a string of `window` bytes covers which starts anywhere else too:
-    (id_col, n_bytes, n_removed, n_spans, kept_sha256), and with with_kept the remaining bytes. One row per input row.
-
-    Each run of windows that share an anchor (the gram with the smallest hash) is a context; equal windows have equal
-    anchors. A context that occurs twice is removed whole. Where one anchor has different contexts, one of each kind is
-    packed into a shard with other anchors', and the shard's suffix array and permuted common prefixes tell which
-    windows repeat; an anchor with over GROUP_LIMIT contexts goes by hashes of its windows instead, in any number of tasks.
-    Null counts as empty; texts shorter than the window lose nothing; repeated rows are copies of each other; a null id
-    stays null; other columns are ignored.
+    (id_col, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words), and with with_kept the remaining bytes. One row
+    per input row. n_passage_words counts the words that a run of `passage` words covers which another document has too
+    (words [^\\x20\\x09-\\x0D]+, whatever space is between them); such passages may be shorter than the window and are
+    reported, not removed. passage 0 leaves them out.
+
+    Each run of windows that share an anchor (the gram with the smallest hash) has a context, its bytes or words; equal
+    windows have equal anchors. Runs with one context are a class. Two members of each class with several go into a
+    shard, and so does one of each class that shares the half about an anchor with another class; the shards' suffix
+    arrays and permuted common prefixes tell which windows repeat, for all members of the class.
+
+    Null counts as empty; texts shorter than the window lose nothing; texts longer than a few slices are anchored piece
+    by piece; repeated rows are copies of each other, but one document for n_passage_words; a null id stays null; other
+    columns are ignored.
     """
+    sizes = {BYTES: window, WORDS: passage}
     docs = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
     key = F.xxhash64("__text")
     docs = docs.select("__own", F.coalesce("__own", key).alias("__id"), key.alias("__hash"), "__text")
-    found = materialize(_anchors(docs, window), "anchors")
+    found = materialize(_anchors(docs, window, passage), "anchors")
     # The list is written, so that the join shuffles both sides and adaptive execution may split a hot anchor.
     several = materialize(found.groupBy("print").count().filter("count > 1").select("print"), "prints")
     shared = materialize(found.join(several, "print"), "shared")
-    kinds = shared.groupBy("print", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("__id", "__hash", "first", "last")).alias("rep")
-    )
-    kinds = materialize(kinds, "contexts")
-    copies = shared.join(kinds.filter("n > 1").select("print", "context"), ["print", "context"])
-    copies = copies.select("__id", "__hash", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    several = materialize(kinds.groupBy("print").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    places = kinds.join(several, "print").select("print", "kinds", "n", "rep.*")
-    size = F.col("last") - F.col("first") + window
-    total = places.agg(F.sum(size).alias("n")).first()["n"] or 0
-    shard = F.pmod(F.hash("print"), F.lit(max(1, -(-total // SHARD_BYTES)))).alias("shard")
-    contexts = places.join(docs.select("__id", "__hash", F.col("__text").cast("binary").alias("data")).dropDuplicates(["__id", "__hash"]), ["__id", "__hash"])
-    contexts = contexts.select(
-        "__id", "__hash", "first", "n", "kinds", shard, F.col("data").substr((F.col("first") + 1).cast("int"), size.cast("int")).alias("bytes")
-    )
-    contexts = materialize(contexts, "bytes")
-    spans = copies.unionAll(_by_suffix_array(contexts.filter(F.col("kinds") <= GROUP_LIMIT), window))
-    large = contexts.filter(F.col("kinds") > GROUP_LIMIT)
-    if large.limit(1).count():
-        spans = spans.unionAll(_by_window_hash(large, window))
-    spans = spans.groupBy("__id", "__hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, ["__id", "__hash"], "left").select(F.col("__own").alias("__id"), "__text", "spans")
-    return _cut(joined, id_col, with_kept)
+    member = F.struct("__id", "__hash", "first", "start", "size")
+    classes = shared.groupBy(F.col("print").alias("c1"), F.col("context").alias("c2")).agg(
+        F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("two"), F.first("kind").alias("kind"),
+        F.first("halves").alias("halves"), F.first(F.col("last") - F.col("first")).alias("width"), F.first(F.col("at") - F.col("first")).alias("off"),
+    )
+    parts = materialize(_parts_of(docs, materialize(classes, "classes"), sizes), "parts")
+    runs = materialize(_decided(parts, sizes).distinct(), "runs").withColumnsRenamed({"c1": "print", "c2": "context"})
+    spans = shared.select("__id", "__hash", "kind", "first", "print", "context").join(runs, ["print", "context"])
+    spans = spans.select("__id", "__hash", F.struct("kind", (F.col("first") + F.col("s")).alias("start"), (F.col("first") + F.col("e")).alias("stop")).alias("span"))
+    spans = materialize(spans.groupBy("__id", "__hash").agg(F.collect_set("span").alias("spans")), "spans")
+    ids = broadcast_up_to(spans.select("__id", "__hash"), BROADCAST_IDS)
+    touched = docs.join(ids, ["__id", "__hash"], "left_semi").join(spans, ["__id", "__hash"])
+    whole = docs.join(ids, ["__id", "__hash"], "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    names = [F.col("__own").alias("__id"), "__text", "spans"]
+    return _cut(touched.select(*names).unionAll(whole.select(*names)), id_col, sizes, with_kept)

@@ -96,11 +96,11 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_suffix_by_window_hashes_is_the_same(spark, docs, monkeypatch):
+def test_suffix_by_divided_groups_is_the_same(spark, docs, monkeypatch):
     extra = spark.createDataFrame([(20, "x" + story(200, 8) + "y"), (21, "z" + story(200, 8) + "w"), (22, story(300, 8)[100:900])], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionAll(extra)
     usual = sorted(map(tuple, suffix.remove_repeats(rows).collect()), key=repr)
-    monkeypatch.setattr(suffix, "GROUP_LIMIT", 0)
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 0)
     assert sorted(map(tuple, suffix.remove_repeats(rows).collect()), key=repr) == usual
 
 
