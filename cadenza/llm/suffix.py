@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernels
@@ -24,8 +25,11 @@ GRAM, GRAM_WORDS = 32, 4
 SHARD_BYTES, GROUP_BYTES = 1 << 20, 1 << 19
 #: Alphabets up to this size are induced bucket by bucket; in larger ones most buckets are nearly empty.
 BUCKETS = 1024
-#: Ids of documents with a place to look up (16 bytes each) are broadcast up to this number; else a shuffle joins them.
-BROADCAST_IDS = 1_000_000
+#: Rows of one or two hashes (anchors that repeat, documents to look up) are broadcast up to this number; else a shuffle
+#: joins them.
+BROADCAST_ROWS = 2_000_000
+#: Neighbouring classes that the same two documents stand for are compared together, in stretches up to this size.
+STRETCH = 1 << 16
 BYTES, WORDS = 0, 1
 
 
@@ -305,7 +309,7 @@ def anchored_runs(values: np.ndarray, offsets: np.ndarray, window: int, gram: in
     last = np.flatnonzero(ok & ends)
     anchor, row, half = anchor[first], row[first], _middle(window, gram)
     shape = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
-    context = kernels.mix(kernels.span_hash(prefix, first, last + window) + kernels.mix(shape))
+    context = kernels.mix(kernels.span_hash(prefix, first, last + window) + kernels.mix(shape)) | np.uint64(1)
     near, far = last >= anchor - half, first < anchor - half
     right = np.where(near, kernels.mix(kernels.span_hash(prefix, anchor, np.where(near, anchor + window - half, anchor))), 0)
     left = np.where(far, kernels.mix(kernels.span_hash(prefix, np.where(far, anchor - half - 1, anchor), anchor + gram)), 0)
@@ -424,12 +428,12 @@ def _decided(parts: DataFrame, sizes: dict) -> DataFrame:
     total = groups.agg(F.sum("n")).first()[0] or 0
     large = groups.filter((F.col("n") > GROUP_BYTES) & (F.col("range") > 0)).select("key")  # at most total / GROUP_BYTES rows
     any_large = large.limit(1).count()
-    small = parts.join(broadcast_up_to(large, BROADCAST_IDS), "key", "left_anti") if any_large else parts
+    small = parts.join(broadcast_up_to(large, BROADCAST_ROWS), "key", "left_anti") if any_large else parts
     shard = F.pmod(F.hash("key"), F.lit(max(1, -(-total // SHARD_BYTES)))).alias("shard")
     spans = _by_suffix_array(small.select("*", shard), sizes)
     if not any_large:
         return spans
-    pieces = materialize(_divided(parts.join(broadcast_up_to(large, BROADCAST_IDS), "key", "left_semi").select(*parts.columns), sizes), "pieces")
+    pieces = materialize(_divided(parts.join(broadcast_up_to(large, BROADCAST_ROWS), "key", "left_semi").select(*parts.columns), sizes), "pieces")
     member = F.struct("__id", "__hash", "c1", "c2", "kind", "lo", "hi", "off", "near", "far", "bytes")
     classes = pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("two"))
     two = F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))
@@ -443,9 +447,34 @@ def _decided(parts: DataFrame, sizes: dict) -> DataFrame:
     return spans.unionAll(back.select("c1", "c2", (F.col("s") + F.col("lo")).alias("s"), (F.col("e") + F.col("lo")).alias("e")))
 
 
-def _parts_of(docs: DataFrame, classes: DataFrame, sizes: dict) -> DataFrame:
-    """The parts of classes that can repeat: two members of a class with several, and one member of each class in every
-    group of classes that share their near or far half."""
+def _pairs(classes: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Two members of every class of bytes with several, those of neighbouring classes put together: the places to read,
+    of stretches (c1, with c2 0), and which stretch has which class where."""
+    several = classes.filter((F.col("n") > 1) & (F.col("kind") == BYTES))
+    delta = F.col("two.first") - F.col("one.first")
+    rows = several.select("c1", "c2", "width", "one", "two", F.col("one.first").alias("first"), F.xxhash64("one.__id", "one.__hash", "two.__id", "two.__hash", delta).alias("pair"))
+    # A window frame holds the classes of two documents at one shift, which their lengths bound.
+    along = Window.partitionBy("pair").orderBy("first")
+    apart = F.coalesce(F.lag(F.col("first") + F.col("width")).over(along) + 1 < F.col("first"), F.lit(True))
+    apart = apart | (F.floor(F.col("first") / STRETCH) != F.floor(F.lag("first").over(along) / STRETCH))
+    rows = rows.withColumn("number", F.sum(apart.cast("int")).over(along))
+    rows = rows.withColumn("sid", F.xxhash64("pair", "number"))
+    stretches = rows.groupBy("sid").agg(
+        F.min("first").alias("first"), F.max(F.col("first") + F.col("width")).alias("last"), F.min(F.struct("first", "one", "two")).alias("m"),
+        F.collect_list(F.struct("c1", "c2", "first", "width")).alias("members"),
+    )
+    stretches = materialize(stretches, "stretches")
+    whole = F.array(F.struct(F.col("sid").alias("key"), F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"), F.lit(0).alias("near"), F.lit(0).alias("far")))
+    place = lambda side: stretches.select(
+        F.col("sid").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(BYTES).alias("kind"), F.lit(0).alias("off"),
+        f"m.{side}.__id", f"m.{side}.__hash", f"m.{side}.start", (F.col("last") - F.col("first") + window).alias("size"), whole.alias("stretches"),
+    )
+    members = stretches.select("sid", F.col("first").alias("base"), F.explode("members").alias("c")).select("sid", "c.c1", "c.c2", (F.col("c.first") - F.col("base")).alias("at"), "c.width")
+    return place("one").unionAll(place("two")), members
+
+
+def _halves(classes: DataFrame, sizes: dict) -> DataFrame:
+    """The places to read of one member of every class that shares its near or far half with another class."""
     grams = {kind: min(gram, sizes[kind]) for kind, gram in ((BYTES, GRAM), (WORDS, GRAM_WORDS))}
     by_kind = lambda value: F.when(F.col("kind") == BYTES, value(BYTES)).otherwise(value(WORDS))
     half = by_kind(lambda kind: max(0, _middle(sizes[kind], grams[kind])))
@@ -455,25 +484,21 @@ def _parts_of(docs: DataFrame, classes: DataFrame, sizes: dict) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.greatest(F.lit(0), off - half).cast("int").alias("lo"), width.alias("hi"), F.lit(0).alias("near"), half.alias("far")),
         F.struct(F.lit(1).alias("side"), F.lit(0).alias("lo"), F.least(width, off - half - 1).cast("int").alias("hi"), (half + 1).alias("near"), farthest.alias("far")),
     )
-    stretches = classes.select("c1", "c2", "halves", F.explode(sides).alias("s")).select("c1", "c2", "halves", "s.*").filter("lo <= hi")
+    halves = classes.select("c1", "c2", "halves", F.explode(sides).alias("s")).select("c1", "c2", "halves", "s.*").filter("lo <= hi")
     shared = F.when(F.col("side") == 0, F.shiftright("halves", 32)).otherwise(F.col("halves").bitwiseAND(0xFFFFFFFF))
-    stretches = materialize(stretches.select("c1", "c2", "lo", "hi", "near", "far", F.xxhash64("c1", "side", shared).alias("key")), "stretches")
-    several = materialize(stretches.groupBy("key").count().filter("count > 1").select("key"), "keys")
-    stretches = stretches.join(several, "key").groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "lo", "hi", "near", "far")).alias("stretches"))
-    classes = classes.join(stretches, ["c1", "c2"], "left").filter("n > 1 or stretches is not null")
-    alone = F.array(F.struct(F.xxhash64("c1", "c2").alias("key"), F.lit(0).alias("lo"), width.alias("hi"), F.lit(0).alias("near"), farthest.alias("far")))
-    none = F.filter(alone, lambda s: F.lit(False))
-    several = F.col("n") > 1
-    one = F.concat(F.when(several, alone).otherwise(none), F.coalesce("stretches", none))
-    places = F.filter(
-        F.array(F.struct(F.col("one").alias("m"), one.alias("stretches")), F.struct(F.col("two").alias("m"), F.when(several, alone).otherwise(none).alias("stretches"))),
-        lambda p: F.size(p["stretches"]) > 0,
-    )
-    places = classes.select("c1", "c2", "kind", "off", F.explode(places).alias("p")).select("c1", "c2", "kind", "off", "p.m.*", "p.stretches")
+    halves = materialize(halves.select("c1", "c2", "lo", "hi", "near", "far", F.xxhash64("c1", "side", shared).alias("key")), "halves")
+    several = materialize(halves.groupBy("key").count().filter("count > 1").select("key"), "keys")
+    halves = halves.join(broadcast_up_to(several, BROADCAST_ROWS), "key", "left_semi")
+    halves = halves.groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "lo", "hi", "near", "far")).alias("stretches"))
+    return classes.join(halves, ["c1", "c2"]).select("c1", "c2", "kind", "off", "one.__id", "one.__hash", "one.start", "one.size", "stretches")
+
+
+def _parts_of(docs: DataFrame, places: DataFrame, sizes: dict) -> DataFrame:
+    """The places' bytes, cut into their stretches."""
     places = materialize(places, "places")
-    ids = places.select("__id", "__hash").distinct()
+    ids = materialize(places.select("__id", "__hash").distinct(), "ids")
     texts = docs.select("__id", "__hash", F.col("__text").cast("binary").alias("data"))
-    texts = texts.join(broadcast_up_to(materialize(ids, "ids"), BROADCAST_IDS), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    texts = texts.join(broadcast_up_to(ids, BROADCAST_ROWS), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
     read = places.join(texts, ["__id", "__hash"])
     read = read.select("c1", "c2", "kind", "off", "__id", "__hash", "stretches", F.substring("data", F.col("start") + 1, F.col("size")).alias("bytes"))
 
@@ -482,49 +507,67 @@ def _parts_of(docs: DataFrame, classes: DataFrame, sizes: dict) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.binary()]
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                data, window = r["bytes"], sizes[r["kind"]]
-                words = data.split() if r["kind"] == WORDS else None
-                for s in r["stretches"]:
-                    e = s["hi"] + window
+            columns = (kernels.column(batch, c).to_pylist() for c in ("c1", "c2", "kind", "__id", "__hash", "off", "stretches", "bytes"))
+            for c1, c2, kind, doc, key, off, stretches, data in zip(*columns, strict=True):
+                words = data.split() if kind == WORDS else None
+                for s in stretches:
+                    e = s["hi"] + sizes[kind]
                     mine = data[s["lo"] : e] if words is None else b" ".join(words[s["lo"] : e])
-                    rows.append((s["key"], r["c1"], r["c2"], r["kind"], r["__id"], r["__hash"], s["lo"], s["hi"], r["off"], s["near"], s["far"], mine))
+                    rows.append((s["key"], c1, c2, kind, doc, key, s["lo"], s["hi"], off, s["near"], s["far"], mine))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return read.mapInArrow(run, PARTS)
 
 
-def _covered(spans, kind: int, n: int, window: int) -> np.ndarray:
-    """Which of n symbols the windows of these runs cover."""
-    step = np.zeros(n + 1, np.int32)
-    for span in spans or ():
-        if span["kind"] == kind:
-            step[span["start"]] += 1
-            step[min(n, span["stop"] - 1 + window)] -= 1
-    return np.cumsum(step[:-1]) > 0
+def _runs(docs: DataFrame, classes: DataFrame, sizes: dict) -> DataFrame:
+    """The runs of repeated windows of every class, counted from its first one. Words that a class of two documents has
+    need no array; all bytes are decided by one."""
+    pairs, members = _pairs(classes, sizes[BYTES])
+    parts = materialize(_parts_of(docs, pairs.unionAll(_halves(classes, sizes)), sizes), "parts")
+    found = materialize(_decided(parts, sizes).distinct(), "found")
+    low, high = F.greatest("s", "at") - F.col("at"), F.least(F.col("e"), F.col("at") + F.col("width") + 1) - F.col("at")
+    paired = members.join(found.filter("c2 = 0").select(F.col("c1").alias("sid"), "s", "e"), "sid")
+    paired = paired.select("c1", "c2", low.cast("int").alias("s"), high.cast("int").alias("e")).filter("s < e")
+    words = classes.filter((F.col("kind") == WORDS) & (F.struct("one.__id", "one.__hash") != F.struct("two.__id", "two.__hash")))
+    words = words.select("c1", "c2", F.lit(0).alias("s"), (F.col("width") + 1).cast("int").alias("e"))
+    return found.filter("c2 <> 0").unionAll(paired).unionAll(words).distinct()
+
+
+def _covered(base: np.ndarray, n: int, first: np.ndarray, stop: np.ndarray, window: int) -> np.ndarray:
+    """Which of n symbols the windows that start from base + first to before base + stop cover."""
+    step = np.bincount(base + first, minlength=n + 1) - np.bincount(base + stop - 1 + window, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
 
 
 def _cut(joined: DataFrame, id_col: str, sizes: dict, with_kept: bool) -> DataFrame:
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
+    def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+
     def run(batches: Iterator[pa.RecordBatch]):
         for part in kernels.slices(batches, "__text"):
-            rows = []
             buf, offsets = kernels.flatten(kernels.column(part, "__text"))
-            for s, e, spans in zip(offsets[:-1], offsets[1:], kernels.column(part, "spans").to_pylist(), strict=True):
-                text, spans, words = buf[s:e], spans or (), 0
-                gone = _covered(spans, BYTES, e - s, sizes[BYTES])
-                stops = [span["stop"] for span in spans if span["kind"] == WORDS]
-                if stops:
-                    words = int(_covered(spans, WORDS, max(stops) - 1 + sizes[WORDS], sizes[WORDS]).sum())
-                kept = text[~gone].tobytes()
-                rows.append((e - s, int(gone.sum()), len(_spans_of(gone)[0]), hashlib.sha256(kept).hexdigest(), words, kept))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"]
-            columns = [kernels.column(part, "__id"), *columns][: 7 if with_kept else 6]
-            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+            spans = kernels.column(part, "spans")
+            row = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+            kind, first, stop = (spans.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("kind", "start", "stop"))
+            mine = kind == BYTES
+            gone = _covered(offsets[row[mine]], len(buf), first[mine], stop[mine], sizes[BYTES])
+            heads = gone.copy()
+            heads[1:] &= ~gone[:-1]
+            edges = offsets[:-1][np.diff(offsets) > 0]
+            heads[edges] = gone[edges]
+            lengths = np.zeros(len(spans), np.int64)  # words that matter, at the start of each text
+            np.maximum.at(lengths, row[~mine], stop[~mine] - 1 + sizes[WORDS])
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            known = _covered(ends[row[~mine]], ends[-1], first[~mine], stop[~mine], sizes[WORDS])
+            kept = [buf[s:e][~gone[s:e]].tobytes() if n else buf[s:e].tobytes() for s, e, n in zip(offsets[:-1], offsets[1:], sums(gone, offsets), strict=True)]
+            shas = [hashlib.sha256(x).hexdigest() for x in kept]
+            counts = [pa.array(c.astype(np.int64)) for c in (np.diff(offsets), sums(gone, offsets), sums(heads, offsets), sums(known, ends))]
+            columns = [kernels.column(part, "__id"), *counts[:3], pa.array(shas, pa.string()), counts[3], pa.array(kept, pa.binary())]
+            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"][: 7 if with_kept else 6]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     return joined.mapInArrow(run, schema + (", kept binary" if with_kept else ""))
 
@@ -539,8 +582,8 @@ def remove_repeats(
     reported, not removed. passage 0 leaves them out.
 
     Each run of windows that share an anchor (the gram with the smallest hash) has a context, its bytes or words; equal
-    windows have equal anchors. Runs with one context are a class. Two members of each class with several go into a
-    shard, and so does one of each class that shares the half about an anchor with another class; the shards' suffix
+    windows have equal anchors. Runs with one context are a class. Two members of each class of bytes with several go into
+    a shard, and so does one of each class that shares the half about an anchor with another class; the shards' suffix
     arrays and permuted common prefixes tell which windows repeat, for all members of the class.
 
     Null counts as empty; texts shorter than the window lose nothing; texts longer than a few slices are anchored piece
@@ -552,20 +595,18 @@ def remove_repeats(
     key = F.xxhash64("__text")
     docs = docs.select("__own", F.coalesce("__own", key).alias("__id"), key.alias("__hash"), "__text")
     found = materialize(_anchors(docs, window, passage), "anchors")
-    # The list is written, so that the join shuffles both sides and adaptive execution may split a hot anchor.
     several = materialize(found.groupBy("print").count().filter("count > 1").select("print"), "prints")
-    shared = materialize(found.join(several, "print"), "shared")
+    shared = materialize(found.join(broadcast_up_to(several, BROADCAST_ROWS), "print", "left_semi"), "shared")
     member = F.struct("__id", "__hash", "first", "start", "size")
     classes = shared.groupBy(F.col("print").alias("c1"), F.col("context").alias("c2")).agg(
         F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("two"), F.first("kind").alias("kind"),
         F.first("halves").alias("halves"), F.first(F.col("last") - F.col("first")).alias("width"), F.first(F.col("at") - F.col("first")).alias("off"),
     )
-    parts = materialize(_parts_of(docs, materialize(classes, "classes"), sizes), "parts")
-    runs = materialize(_decided(parts, sizes).distinct(), "runs").withColumnsRenamed({"c1": "print", "c2": "context"})
+    runs = materialize(_runs(docs, materialize(classes, "classes"), sizes), "runs").withColumnsRenamed({"c1": "print", "c2": "context"})
     spans = shared.select("__id", "__hash", "kind", "first", "print", "context").join(runs, ["print", "context"])
     spans = spans.select("__id", "__hash", F.struct("kind", (F.col("first") + F.col("s")).alias("start"), (F.col("first") + F.col("e")).alias("stop")).alias("span"))
     spans = materialize(spans.groupBy("__id", "__hash").agg(F.collect_set("span").alias("spans")), "spans")
-    ids = broadcast_up_to(spans.select("__id", "__hash"), BROADCAST_IDS)
+    ids = broadcast_up_to(spans.select("__id", "__hash"), BROADCAST_ROWS)
     touched = docs.join(ids, ["__id", "__hash"], "left_semi").join(spans, ["__id", "__hash"])
     whole = docs.join(ids, ["__id", "__hash"], "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     names = [F.col("__own").alias("__id"), "__text", "spans"]
