@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import kernels
 
-#: The words that a text is cut into before merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed values of the tokenizer's pre-splitting, 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Encodings of so many distinct pieces are remembered by a worker; then the memory is emptied.
 REMEMBER = 400_000
@@ -52,6 +51,7 @@ class Vocabulary:
         for rank, pair in enumerate(read["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+
     def encode_word(self, data: bytes) -> list[int]:
         """Merge the lowest rank first, the leftmost of equal ones; entries whose symbols have changed are stale."""
         ids = [self.byte_ids[b] for b in data]
@@ -80,6 +80,9 @@ class Vocabulary:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+LETTER = 1
+
+
 def _classes() -> np.ndarray:
     """For every code point 0 for white space, 1 for a letter, 2 for a number, 3 for the rest."""
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -92,7 +95,7 @@ def _classes() -> np.ndarray:
 
 
 class Splitter:
-    """Cuts texts where PATTERN does, for all texts of a slice at once."""
+    """Cuts texts where the tokenizer does before merges, for all texts of a slice at once."""
 
     def __init__(self, special: dict[str, int]):
         self.classes = _classes()
@@ -133,21 +136,38 @@ class Splitter:
         return points, np.flatnonzero(start)
 
 
+class Pieces:
+    """The pieces of some texts: where each one starts and stops in the joined text, a hash of each, each text's first
+    piece (n + 1 values), and the distinct ones: their hashes in order, a place of each, and every piece's number."""
+
+    def __init__(self, splitter: Splitter, texts: list[str]):
+        self.text = "".join(texts)
+        ends = np.cumsum([0, *(len(t) for t in texts)])
+        self.points, self.starts = splitter.starts(self.text, ends[1:][ends[1:] < len(self.text)])
+        n = len(self.points)
+        self.stops = np.append(self.starts[1:], n) if len(self.starts) else self.starts
+        power, inverse = kernels.powers(n + 1)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(kernels.mix(self.points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
+        hashes = (prefix[self.stops] - prefix[self.starts]) * inverse[self.starts]
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.places = order[new]
+        self.hashes = hashes[self.places]
+        self.first = np.searchsorted(self.starts, ends)
+
+    def strings(self, places: np.ndarray) -> list[str]:
+        text = self.text
+        return [text[s:e] for s, e in zip(self.starts[places].tolist(), self.stops[places].tolist(), strict=True)]
+
+
 def distinct_pieces(splitter: Splitter, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct pieces of the texts, each piece's number in order, and each text's first piece (n + 1 values)."""
-    text = "".join(texts)
-    ends = np.cumsum([len(t) for t in texts])
-    points, starts = splitter.starts(text, ends[ends < len(text)])
-    if not len(starts):
-        return [], starts, np.zeros(len(texts) + 1, np.int64)
-    stops = np.append(starts[1:], len(points))
-    power, inverse = kernels.powers(len(points) + 1)
-    prefix = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(kernels.mix(points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
-    hashes = (prefix[stops] - prefix[starts]) * inverse[starts]
-    _, index, number = np.unique(hashes, return_index=True, return_inverse=True)
-    pieces = [text[s:e] for s, e in zip(starts[index].tolist(), stops[index].tolist(), strict=True)]
-    return pieces, number, np.searchsorted(starts, np.concatenate([[0], ends]))
+    found = Pieces(splitter, texts)
+    return found.strings(found.places), found.number, found.first
 
 
 class Memory(dict):

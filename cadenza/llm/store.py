@@ -29,19 +29,20 @@ ROLL, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
 END_ID = 0
 #: Encoded pieces, and chunks, that a worker remembers before it forgets all.
 REMEMBER = 400_000
-_ROLL_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
-    """Where a stream may be cut: the ends of all runs of ROLL ids whose hash begins with CUT_BITS zero bits."""
+    """Where a stream may be cut: the ends of all runs of ROLL ids whose hash begins with CUT_BITS zero bits.
+
+    The hash is a polynomial over the run's ids; it is rolled by differences of one running sum.
+    """
     n = len(ids) - ROLL + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    values = kernels.mix(ids.astype(np.uint64) + np.uint64(1))
-    rolling = np.zeros(n, np.uint64)
-    for k in range(ROLL):
-        rolling *= _ROLL_MULTIPLIER
-        rolling += values[k : n + k]
+    power, inverse = kernels.powers(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(kernels.mix(ids.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    rolling = (sums[ROLL:] - sums[:n]) * inverse[:n]
     return np.flatnonzero(kernels.mix(rolling) >> np.uint64(64 - CUT_BITS) == 0) + ROLL
 
 
@@ -77,6 +78,34 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+class Known:
+    """Pieces that a worker has encoded, by 64-bit hash in ascending order; all their ids lie in one array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of these ascending hashes is or belongs, and which of them are new."""
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        return at, new
+
+    def add(self, at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.begins = np.insert(self.begins, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.used += len(ids)
+
+
 @lru_cache(1)
 def _tools(path: str):
     """The tokenizer, a splitter, the bytes of each id's string, and the worker's memory of encoded pieces."""
@@ -89,39 +118,53 @@ def _tools(path: str):
     sizes = np.zeros(max(vocab.values()) + 1, np.int64)
     for token, i in vocab.items():
         sizes[i] = len(token)  # a byte-level string has a character for each byte
-    return tokenizer, bpe.Splitter(special), sizes, {}
+    return tokenizer, bpe.Splitter(special), sizes, Known()
+
+
+def _encoded(tokenizer, sizes_of: np.ndarray, pieces: list[str], lengths: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' ids in a row and how many each has; lengths are their bytes. Where each one's ids end follows from the
+    ids' byte counts. Pieces that the tokenizer itself would cut apart (split) go to it as one string."""
+    found, counts = [], []
+    for k in range(0, len(pieces), 8192):
+        part = pieces[k : k + 8192]
+        got = tokenizer.encode_batch_fast(["".join(part) if split else part], is_pretokenized=not split, add_special_tokens=False)
+        ids = np.array(got[0].ids, "<u4")
+        wanted, covered = np.cumsum(lengths[k : k + 8192]), np.cumsum(sizes_of[ids])
+        ends = np.searchsorted(covered, wanted) + 1
+        if len(covered) < ends[-1] or not np.array_equal(covered[ends - 1], wanted):
+            raise ValueError("the tokenizer's ids do not cover its input")
+        found.append(ids)
+        counts.append(np.diff(ends, prepend=0))
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The library's ids of every text: it encodes each distinct piece between its own word boundaries once.
-
-    New pieces go to the library as one pre-split input; where each one's ids end follows from the ids' byte counts.
-    """
-    tokenizer, splitter, sizes_of, memory = _tools(path)
-    pieces, number, first = bpe.distinct_pieces(splitter, texts)
-    if len(memory) > REMEMBER:
-        memory.clear()
-    new = [p for p in pieces if p not in memory]
-    for k in range(0, len(new), 8192):
-        part = new[k : k + 8192]
-        ids = np.array(tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        wanted = np.cumsum([len(p.encode()) for p in part])
-        got = np.cumsum(sizes_of[ids])
-        ends = np.searchsorted(got, wanted) + 1
-        if not np.array_equal(got[ends - 1], wanted):
-            raise ValueError("the tokenizer's ids do not cover its input")
-        data, last = ids.tobytes(), 0
-        for piece, to in zip(part, (4 * ends).tolist(), strict=True):
-            memory[piece] = data[last:to]
-            last = to
-    coded = list(map(memory.__getitem__, pieces))
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    begins = np.cumsum(sizes) - sizes
-    lengths = sizes[number]
+    """The library's ids of every text: it encodes each distinct piece between its own word boundaries once."""
+    tokenizer, splitter, sizes_of, known = _tools(path)
+    cut = bpe.Pieces(splitter, texts)
+    if len(known.hashes) > REMEMBER:
+        known.clear()
+    at, new = known.find(cut.hashes)
+    if new.any():
+        places = cut.places[new]
+        starts, stops = cut.starts[places], cut.stops[places]
+        points = cut.points
+        width = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
+        letters = np.concatenate([[0], np.cumsum(splitter.classes[points] == bpe.LETTER)])
+        # A space and letters, after which another such piece starts a new one for the tokenizer too.
+        plain = (points[starts] == 32) & (stops - starts > 1) & (letters[stops] - letters[starts] == stops - starts - 1)
+        for split in (True, False):
+            mine = np.flatnonzero(plain == split)
+            if len(mine):
+                ids, counts = _encoded(tokenizer, sizes_of, cut.strings(places[mine]), (width[stops] - width[starts])[mine], split)
+                hashes = cut.hashes[new][mine]
+                known.add(known.find(hashes)[0], hashes, ids, counts)
+        at, _ = known.find(cut.hashes)
+    slots = at[cut.number]
+    lengths = known.sizes[slots]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    ids = flat[np.repeat(begins[number] - ends[:-1], lengths) + np.arange(ends[-1])]
-    at = ends[first]
+    ids = known.ids[np.repeat(known.begins[slots] - ends[:-1], lengths) + np.arange(ends[-1])]
+    at = ends[cut.first]
     return [ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -137,7 +180,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 @lru_cache(1)
 def _squeezer() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3)
+    return zstandard.ZstdCompressor(level=1)
 
 
 MANIFESTS = "file int, first_id long, last_id long, start long, n_docs long, n_tokens long, root binary"
@@ -189,7 +232,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    rows = _rows(docs, tokenizer_path).groupBy("is_chunk", "key").agg(
+    # Dealt out first: a task has almost no repeats of its own left to put together before the shuffle.
+    rows = _rows(docs, tokenizer_path).repartition("is_chunk", "key").groupBy("is_chunk", "key").agg(
         F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "ids", "doc_id", "chunks"))
     )
     rows.write.option("compression", "snappy").partitionBy("is_chunk").parquet(f"{path}/rows")
