@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
+from cadenza.session import materialize
 
 
 def top_k(scored: DataFrame, k: int, request: str = "request", item: str = "item", score: str = "score") -> DataFrame:
@@ -17,38 +18,48 @@ def top_k(scored: DataFrame, k: int, request: str = "request", item: str = "item
 
 
 def cooccurrence(seeds: DataFrame, neighbours: DataFrame, exclude: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """(request, item, score, co_count, rank): the sum of PMI over a request's seeds; seeds and excludes never return."""
-    hits = seeds.join(neighbours, "item").select("request", F.col("neighbour").alias("item"), "pmi", "co_count")
-    scored = hits.groupBy("request", "item").agg(F.round(F.sum("pmi"), 6).alias("score"), F.sum("co_count").alias("co_count"))
+    """(request, item, score, co_count, rank): the sum of PMI over a request's seeds; seeds and excludes never return.
+
+    Sums are exact decimals of nine places, whatever the order of addition; ranks follow them, and score shows six places.
+    Hits are dealt out by request once, for the sums, the exclusion and the ranks.
+    """
+    hits = seeds.join(neighbours, "item").select("request", F.col("neighbour").alias("item"), F.col("pmi").cast("decimal(20,9)").alias("pmi"), "co_count")
+    scored = hits.repartition("request").groupBy("request", "item").agg(F.sum("pmi").alias("exact"), F.sum("co_count").alias("co_count"))
     gone = seeds.select("request", "item")
     gone = gone if exclude is None else gone.unionAll(exclude.select("request", "item"))
-    return top_k(scored.join(gone, ["request", "item"], "left_anti"), k)
+    ranked = top_k(scored.join(gone, ["request", "item"], "left_anti"), k, score="exact")
+    return ranked.select("request", "item", F.round("exact", 6).cast("double").alias("score"), "co_count", "rank")
 
 
 def metadata(seeds: DataFrame, features: DataFrame, k: int = 10) -> DataFrame:
     """(request, item, score, rank): 1.0 for a shared artist, 0.8 for an album, 0.5 for a genre, the largest counting.
 
     features has (item, album, artist, genre), several rows for an item. Three equi-joins stand for the disjunction.
+    Ties go by item, so of each artist, album and genre only the first items matter: an item among a request's k best has
+    before it, in its list, seeds of the request and fewer than 2 k others that are as good or better.
     """
-    mine = seeds.join(features, "item")
+    seeds = seeds.select("request", "item").distinct()
     parts = []
     for column, score in (("artist", 1.0), ("album", 0.8), ("genre", 0.5)):
-        wanted = mine.select("request", column).filter(F.col(column).isNotNull()).distinct()
-        have = features.select("item", column).distinct()
-        parts.append(wanted.join(have, column).select("request", "item", F.lit(score).alias("score")))
+        have = materialize(features.select("item", column).filter(F.col(column).isNotNull()).distinct(), column)
+        wanted = materialize(seeds.join(have, "item").groupBy("request", column).agg((F.count("*") + 2 * k).alias("most")), "wanted")
+        longest = wanted.agg(F.max("most")).first()[0] or 0
+        order = Window.partitionBy(column).orderBy("item")
+        first = have.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= longest)
+        parts.append(wanted.join(first, column).filter("at <= most").select("request", "item", F.lit(score).alias("score")))
     scored = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("request", "item").agg(F.max("score").alias("score"))
-    return top_k(scored.join(seeds.select("request", "item"), ["request", "item"], "left_anti"), k)
+    return top_k(scored.join(seeds, ["request", "item"], "left_anti"), k)
 
 
 def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 64) -> DataFrame:
     """(request, item, likeness, rank) by clipped, rounded cosine; a zero vector is like nothing.
 
-    Queries travel in blocks of `block` vectors, so every vector row meets a block and not a query at a time.
+    Queries travel in `block` blocks, so every vector row meets a block and not a query at a time.
     """
     norm = F.sqrt(X.dot(F.col("vector"), F.col("vector")))
     have = vectors.select("item", "vector", norm.alias("norm")).filter("norm > 0")
     asked = queries.select(F.col("item").alias("request"), F.col("vector").alias("q"), F.sqrt(X.dot(F.col("vector"), F.col("vector"))).alias("qn"))
-    blocks = asked.filter("qn > 0").groupBy((F.xxhash64("request") % F.lit(block)).alias("block")).agg(
+    blocks = asked.filter("qn > 0").groupBy(F.pmod(F.xxhash64("request"), F.lit(block)).alias("block")).agg(
         F.collect_list(F.struct("request", "q", "qn")).alias("queries")
     )
     pairs = have.join(blocks).select("item", "vector", "norm", F.explode("queries").alias("a")).filter("a.request <> item")

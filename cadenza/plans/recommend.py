@@ -30,9 +30,9 @@ TRIALS = """tests AS (SELECT DISTINCT session_key, item FROM plays WHERE {bucket
         GROUP BY 1 HAVING count(DISTINCT item) BETWEEN 2 AND 20)),
     trials AS (SELECT CAST(session_key AS VARCHAR) || '-' || CAST(item AS VARCHAR) AS request, session_key, item AS held_out FROM tests),
     seeds AS (SELECT t.request, b.item FROM trials t JOIN tests b ON b.session_key = t.session_key AND b.item <> t.held_out)""".format(bucket=BUCKET)
-RANKED = """hits AS (SELECT s.request, n.neighbour AS item, round(sum(n.pmi), 6) AS score, CAST(sum(n.co_count) AS BIGINT) AS co_count
+RANKED = """hits AS (SELECT s.request, n.neighbour AS item, sum(CAST(n.pmi AS DECIMAL(20, 9))) AS exact, CAST(sum(n.co_count) AS BIGINT) AS co_count
         FROM seeds s JOIN neighbours n ON n.item = s.item GROUP BY 1, 2),
-    ranked AS (SELECT * FROM (SELECT request, item, score, co_count, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS INT) AS rank
+    ranked AS (SELECT * FROM (SELECT request, item, CAST(round(exact, 6) AS DOUBLE) AS score, co_count, CAST(row_number() OVER (PARTITION BY request ORDER BY exact DESC, item) AS INT) AS rank
         FROM hits h WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.request = h.request AND s.item = h.item)) WHERE rank <= 10)"""
 
 
@@ -101,7 +101,7 @@ def loo_report(spark, d):
 
 
 def _requests(spark, d):
-    return run(spark, d, "SELECT s_suppkey AS request, l_partkey AS item FROM {supplier} JOIN {lineitem} ON l_suppkey = s_suppkey WHERE l_quantity = 1").distinct()
+    return run(spark, d, "SELECT s_suppkey AS request, l_partkey AS item FROM {supplier} JOIN {lineitem} ON l_suppkey = s_suppkey").distinct()
 
 
 def rank_metadata(spark, d):
@@ -208,7 +208,7 @@ ORACLE_SQL = {
         SELECT count(*) AS trials, count(*) FILTER (WHERE n <= 1) AS cold_trials, round(coalesce(avg(hit), 0), 9) AS recall, round(coalesce(avg(gain), 0), 9) AS ndcg,
             round(coalesce(avg(hit) FILTER (WHERE n <= 1), 0), 9) AS cold_recall,
             round((SELECT CAST(count(DISTINCT item) AS DOUBLE) FROM ranked) / (SELECT count(DISTINCT p_partkey) FROM part), 9) AS coverage FROM judged)""", "plays"),
-    "rank_metadata": oracle("""SELECT * FROM (WITH seeds AS (SELECT DISTINCT s_suppkey AS request, l_partkey AS item FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity = 1),
+    "rank_metadata": oracle("""SELECT * FROM (WITH seeds AS (SELECT DISTINCT s_suppkey AS request, l_partkey AS item FROM supplier JOIN lineitem ON l_suppkey = s_suppkey),
         mine AS (SELECT s.request, f.album, f.artist, f.genre FROM seeds s JOIN features f ON f.item = s.item),
         hits AS (SELECT DISTINCT m.request, f.item, 1.0::DOUBLE AS score FROM (SELECT DISTINCT request, artist FROM mine) m JOIN features f ON f.artist = m.artist
             UNION ALL SELECT DISTINCT m.request, f.item, 0.8::DOUBLE FROM (SELECT DISTINCT request, album FROM mine) m JOIN features f ON f.album = m.album
