@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Characters that str.strip() removes and trim() does not, in the ASCII range.
 BLANKS = " \t\n\r\u000b\f\u001c\u001d\u001e\u001f"
-UUID_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+# Fixed value: the namespace of item identifiers.
+UUID_NAMESPACE = "9f291c3dbb5c4fd7a1cd730f4f9dc9b7"
 
 
 def strip(c: Column) -> Column:
@@ -28,6 +29,14 @@ def partition_label(key: Column, buckets: int) -> Column:
     return F.concat(F.lit("p"), F.lpad(split_bucket(key, buckets).cast("string"), 3, "0"))
 
 
+def partition_index(session: Column, item: Column, signature: Column, buckets: int) -> Column:
+    """The partition of an event: the first 8 bytes of sha256 over the session key and the item's id, or where there is
+    none the event's signature, as an unsigned number modulo buckets. Keys and signatures are binary."""
+    own = F.when(F.coalesce(item, F.lit("")) != "", F.encode(item, "UTF-8")).otherwise(signature)
+    number = F.conv(F.substring(F.sha2(F.concat(session, own), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return (number % F.lit(buckets).cast("decimal(20,0)")).cast("int")
+
+
 def user_hash(user: Column, salt: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(salt), user), 256)
 
@@ -81,15 +90,16 @@ def isrc_valid(c: Column) -> Column:
 
 # What a url's text says about its provider, first match wins.
 PROVIDERS = (
-    ("spotify.com", "spotify"),
-    ("music.apple.com", "apple_music"),
-    ("itunes.apple.com", "apple_music"),
-    ("youtube.com", "youtube"),
-    ("youtu.be", "youtube"),
-    ("deezer.com", "deezer"),
-    ("tidal.com", "tidal"),
-    ("bandcamp.com", "bandcamp"),
-    ("soundcloud.com", "soundcloud"),
+    ("open.spotify.com/", "spotify"),
+    ("spotify.com/track/", "spotify"),
+    ("music.apple.com/", "apple_music"),
+    ("itunes.apple.com/", "apple_music"),
+    ("youtube.com/", "youtube"),
+    ("youtu.be/", "youtube"),
+    ("soundcloud.com/", "soundcloud"),
+    ("bandcamp.com/", "bandcamp"),
+    ("deezer.com/", "deezer"),
+    ("tidal.com/", "tidal"),
 )
 
 

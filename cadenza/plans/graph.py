@@ -206,7 +206,7 @@ def _safe(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '^[0-9a-f]{{32}}$') THEN {_dash(x)} END"
 
 
-_NS = "from_hex('6ba7b8119dad11d180b400c04fd430c8')"
+_NS = "from_hex('9f291c3dbb5c4fd7a1cd730f4f9dc9b7')"
 _U5 = _dash("substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT & 3 AS INT) + 1, 1) || substr(h, 18, 15)")
 _PARSED = f"""flat AS (
     SELECT origin, line, 0 AS entry, value, value AS listen, NULL AS envelope FROM lines WHERE trim(value) <> '' AND coalesce(NOT json_exists(TRY_CAST(value AS JSON), '$.payload'), true)

@@ -2,62 +2,106 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import itertools
 import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import broadcast_up_to, materialize
+
+#: Splits of files whose line counts are broadcast; more are joined by a shuffle.
+BROADCAST_SPLITS = 1_000_000
 LISTEN_SUFFIXES = (".jsonl", ".ndjson", ".json", ".listens")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, line, value) of plain or .gz files; lines are numbered within a file, which one task reads."""
-    read = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("origin"), "value")
+    """(origin, line, value) of plain or .gz files; lines, which end at line feeds, are numbered from 1 within a file.
+
+    Spark may read a plain file in several splits: rows are numbered within their split, and a first pass over the files
+    counts what lies in the splits before.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("origin"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    names = ["origin", "block", "at", "value"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0
         for batch in batches:
             numbers = []
-            for origin in batch.column(0).to_pylist():
-                last, at = origin, at + 1 if origin == last else 1
+            for split in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                last, at = split, at + 1 if split == last else 1
                 numbers.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), batch.column(1)], names=["origin", "line", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), batch.column(2)], names=names)
+
+    numbered = read.mapInArrow(number, "origin string, block long, at long, value string")
+    # A row for each split; a window holds those of one file.
+    before = F.sum("n").over(Window.partitionBy("origin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = materialize(read.groupBy("origin", "block").agg(F.count("*").alias("n")), "splits")
+    splits = splits.select("origin", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    out = numbered.join(broadcast_up_to(splits, BROADCAST_SPLITS), ["origin", "block"])
+    return out.select("origin", (F.col("before") + F.col("at")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def _members(name: str, data: bytes, suffixes: tuple[str, ...]) -> Iterator[tuple[str, io.BufferedIOBase]]:
+    """The wanted members of an archive, each to be read before the next; nothing is unpacked as a whole."""
+    stream = io.BytesIO(data)
+    if name.endswith(".zst"):
+        import zstandard
 
-    return read.mapInArrow(number, "origin string, line long, value string")
+        stream = zstandard.ZstdDecompressor().stream_reader(stream)
+    with tarfile.open(fileobj=stream, mode="r|" if name.endswith(".zst") else "r|*") as archive:
+        for member in archive:
+            if member.isfile() and member.name.endswith(suffixes):
+                yield f"{name}!{member.name}", archive.extractfile(member)
 
 
 def tar_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LISTEN_SUFFIXES) -> DataFrame:
-    """(origin, line, value) of the wanted members of tar, tar.gz and tar.zst files; origin is file!member.
+    """(origin, line, value) of the wanted members of tar, tar.gz and tar.zst files; origin is file!member. Lines end at
+    line feeds alone (and a carriage return before one).
 
-    Spark reads each archive as one binary value, so an archive must fit in a task's memory; shards are split before.
+    Spark reads each packed archive as one binary value, so that must fit in a task's memory; its members are unpacked
+    as a stream, in any size.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    names = ["origin", "line", "value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name.endswith(".zst"):
-                    import zstandard
-
-                    data = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read()
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
-                    for member in archive:
-                        if not member.isfile() or not member.name.endswith(suffixes):
-                            continue
-                        lines = archive.extractfile(member).read().decode("utf-8", "replace").splitlines()
-                        for at in range(0, len(lines), 10_000):
-                            part = lines[at : at + 10_000]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([f"{name}!{member.name}"] * len(part)), pa.array(range(at + 1, at + 1 + len(part)), pa.int64()), pa.array(part)],
-                                names=["origin", "line", "value"],
-                            )
+                for origin, member in _members(name, data, suffixes):
+                    at = 0
+                    while part := list(itertools.islice(member, 10_000)):
+                        lines = [x.decode("utf-8", "replace").removesuffix("\n").removesuffix("\r") for x in part]
+                        numbers = pa.array(range(at + 1, at + 1 + len(part)), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([origin] * len(part)), numbers, pa.array(lines, pa.string())], names=names)
+                        at += len(part)
 
     return files.mapInArrow(run, "origin string, line long, value string")
 
 
+def tar_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LISTEN_SUFFIXES) -> DataFrame:
+    """(origin, bytes, sha256) of the same members, over their bytes as they are."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for origin, member in _members(name, data, suffixes):
+                    sha, size = hashlib.sha256(), 0
+                    while part := member.read(1 << 20):
+                        sha.update(part)
+                        size += len(part)
+                    yield pa.RecordBatch.from_pydict({"origin": [origin], "bytes": [size], "sha256": [sha.hexdigest()]})
+
+    return files.mapInArrow(run, "origin string, bytes long, sha256 string")
+
+
 def shard_manifest(lines: DataFrame) -> DataFrame:
     """(origin, year, month, rows, bytes, digest) of members named …/listens/<year>/<month>.listens.
 

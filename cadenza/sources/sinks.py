@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
 
 
+POINTER = "number long, version string"
+
+
 def csv_chunks(df: DataFrame, path: str, key: str, parts: int = 128, rows: int = 250_000) -> None:
     """CSV files of at most `rows` rows below a folder for each hash partition of the key; \\N is null."""
     out = df.withColumn("part", X.partition_label(F.col(key), parts)).repartition(parts, "part")
@@ -43,15 +47,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rule: str = "update"
 
 
 def swap(df: DataFrame, root: str, version: str) -> str:
-    """Write df as a new version below root, then point `current` at it; readers never see a half-written table."""
-    path = f"{root}/{version}"
+    """Write df as a new version below root, then add a pointer to it; readers take the newest pointer, and none is ever
+    deleted, so they never see a half-written table or no table. One writer swaps at a time."""
+    path, spark = f"{root}/{version}", df.sparkSession
     df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    last = _pointers(spark, root).agg(F.max("number")).first()[0] or 0
+    spark.createDataFrame([(last + 1, version)], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointers")
     return path
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(POINTER).json(f"{root}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()["version"]
+    version = _pointers(spark, root).agg(F.max_by("version", "number")).first()[0]
+    if version is None:
+        raise ValueError(f"no version has been swapped in below {root}")
     return spark.read.parquet(f"{root}/{version}")
 
 

@@ -185,3 +185,56 @@ def test_stream_resume(spark, tmp_path):
         listens.upsert_session_items(listens.replay(spark, src, "user_name string, item string, at timestamp").withColumnRenamed("user_name", "session_key"), out, check)
         assert listens.newest(spark, out).first().plays == expected
         base.write.mode("append").parquet(src)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    lines = [f"row {k}\u2028x\x85y" + "z" * (k % 50) for k in range(5000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines), newline="\n")
+    (tmp_path / "b.jsonl").write_text("one\r\ntwo\n", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = archives.text_lines(spark, str(tmp_path))
+        got = {(r.origin[-7:], r.line): r.value for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.jsonl", k + 1): x for k, x in enumerate(lines)} | {("b.jsonl", 1): "one", ("b.jsonl", 2): "two"}
+
+
+def test_members_of_archives(spark, tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    import zstandard
+
+    data = "one\u2028still one\r\ntwo\n\nfour".encode()
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as archive:
+        for name in ("d/listens/2020/1.listens", "d/readme.txt"):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+    (tmp_path / "a.tar").write_bytes(raw.getvalue())
+    (tmp_path / "b.tar.zst").write_bytes(zstandard.compress(raw.getvalue()))
+    got = sorted((r.origin[-33:], r.line, r.value) for r in archives.tar_lines(spark, str(tmp_path)).collect())
+    assert [g[1:] for g in got] == [(1, "one\u2028still one"), (2, "two"), (3, ""), (4, "four")] * 2
+    assert {(r.bytes, r.sha256) for r in archives.tar_members(spark, str(tmp_path)).collect()} == {(len(data), hashlib.sha256(data).hexdigest())}
+
+
+def test_partition_index(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(b"k1", "item", b"s"), (b"k2", None, b"s"), (b"k3", "", b"t")], "k binary, item string, s binary")
+    got = [r[0] for r in df.select(X.partition_index(F.col("k"), F.col("item"), F.col("s"), 128)).collect()]
+    whole = (b"k1item", b"k2s", b"k3t")
+    assert got == [int.from_bytes(hashlib.sha256(x).digest()[:8], "big") % 128 for x in whole]
+
+
+def test_small_helpers(spark):
+    from cadenza.operators import rankers
+
+    df = spark.createDataFrame([("us-a b1", 100)], "code string, n long")
+    assert df.select(X.isrc_alnum(F.col("code")), archives.required_bytes(F.col("n"), 5, 7)).first()[:] == ("USAB1", 107)
+    names = spark.createDataFrame([("Ann",), ("Bob",), (None,)], "name string")
+    assert [r.name for r in rankers.without_names(names, spark.createDataFrame([("ANN",)], "name string")).collect()] == ["Bob", None]
