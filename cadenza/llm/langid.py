@@ -14,9 +14,11 @@ from cadenza.session import materialize
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Grams of each order that a model may hold, over all languages; rarer ones are pruned beyond that. It bounds what
-#: is broadcast: 12 bytes a gram and 4 for each language.
+#: Models whose tables have at most so many rows in each order are broadcast as sorted arrays (8 bytes a gram and 4 for
+#: each language); larger ones stay tables and are joined with the texts' grams, for the same results.
 MODEL_GRAMS = 1 << 20
+#: Different grams of a language that a counting task holds before it passes them on.
+HELD_GRAMS = 1 << 20
 #: Languages a model may have; more is an error.
 MAX_LANGUAGES = 256
 #: A text is rejected when its cross-entropy is so many standard deviations over the mean of its language's.
@@ -56,8 +58,9 @@ def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return folded, offsets, letters[offsets[1:]] - letters[offsets[:-1]]
 
 
-def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of an order, 16 bits a character, and the offsets of each text's. A run of blanks counts as one."""
+def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All grams of an order, 16 bits a character, and where each text's own begin and end; those that cross from one
+    text into the next belong to none. A run of blanks counts as one."""
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
     keep[offsets] = True
@@ -67,7 +70,8 @@ def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
     grams = np.zeros(max(n, 0), np.uint64)
     for k in range(order if n > 0 else 0):
         grams = grams << np.uint64(_BITS) | points[k : n + k]
-    return grams, np.clip(at, 0, len(grams))
+    begins = np.clip(at[:-1], 0, len(grams))
+    return grams, begins, np.clip(at[1:] + 2 - order, begins, np.maximum(begins, len(grams)))
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +96,14 @@ def _counts(docs: DataFrame) -> DataFrame:
             langs = np.array(kernels.column(part, "__lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 points, offsets, _ = _folded([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                keys, counts = np.unique(_grams(points, offsets, ORDER)[0], return_counts=True)
+                grams, begins, ends = _grams(points, offsets, ORDER)
+                inside = np.cumsum(np.bincount(begins, minlength=len(grams) + 1) - np.bincount(ends, minlength=len(grams) + 1))[: len(grams)] > 0
+                keys, counts = np.unique(grams[inside], return_counts=True)
                 mine = parts.setdefault(lang, [])
                 mine.append((keys, counts))
                 if len(mine) > 32:
                     mine[:] = [_totals(*map(list, zip(*mine, strict=True)))]
-                if len(mine[0][0]) > MODEL_GRAMS:
+                if len(mine[0][0]) > HELD_GRAMS:
                     yield rows(lang)
                     mine.clear()
         for lang in sorted(parts):
@@ -108,12 +114,12 @@ def _counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame) -> dict:
-    """Kneser-Ney models of all languages in docs (__lang, __text) as sorted arrays: for each order the grams' hashes and
-    log-probabilities, and the contexts' hashes and log back-off weights, one column for each language.
+def train(docs: DataFrame) -> tuple[list[str], dict[int, tuple[DataFrame, DataFrame]]]:
+    """Kneser-Ney models of all languages in docs (__lang, __text): the languages, and for each order the grams'
+    log-probabilities and the contexts' log back-off weights, as tables (lang, g, v).
 
     The lower orders count the different characters before a gram. Counts, sums and interpolation are Spark jobs over
-    all rows; only the finished tables, whose size MODEL_GRAMS bounds, come to the driver.
+    all rows; no gram is left out.
     """
     top = materialize(_counts(docs), "grams")
     langs = [r.lang for r in top.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
@@ -123,32 +129,32 @@ def train(docs: DataFrame) -> dict:
     for n in range(ORDER - 1, 0, -1):
         mask = (1 << (_BITS * n)) - 1
         tables[n] = tables[n + 1].groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c"))
-    lower, model = None, {"langs": langs, "p": {}, "b": {}}
+    lower, found = None, {}
     for n in range(1, ORDER + 1):
         context = F.shiftrightunsigned("g", _BITS) if n > 1 else F.lit(0).cast("long")
         here = tables[n].withColumn("h", context)
         sums = here.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
-        sums = sums.withColumn("weight", F.lit(DISCOUNT) * F.col("types") / F.col("total"))
+        sums = materialize(sums.withColumn("weight", F.lit(DISCOUNT) * F.col("types") / F.col("total")), f"contexts{n}")
         here = here.join(sums, ["lang", "h"])
         if lower is None:
             here = here.withColumn("below", F.lit(1.0 / _SYMBOLS))
         else:
             mask = (1 << (_BITS * (n - 1))) - 1
             here = here.withColumn("s", F.col("g").bitwiseAND(F.lit(mask))).join(lower, ["lang", "s"])
-        here = here.select(
-            "lang", "g", "c", ((F.col("c") - DISCOUNT) / F.col("total") + F.col("weight") * F.col("below")).alias("p")
-        )
+        here = here.select("lang", "g", ((F.col("c") - DISCOUNT) / F.col("total") + F.col("weight") * F.col("below")).alias("p"))
         here = materialize(here, f"order{n}")
         lower = here.select("lang", F.col("g").alias("s"), F.col("p").alias("below"))
-        least = 1
-        while here.filter(F.col("c") >= least).count() > MODEL_GRAMS:
-            least *= 2
-        model["p"][n] = _columns(here.filter(F.col("c") >= least).select("lang", "g", F.log("p").alias("v")), langs)
-        weights = sums.select("lang", F.col("h").alias("g"), F.log("weight").alias("v"), F.col("total").alias("c"))
-        least = 1
-        while weights.filter(F.col("c") >= least).count() > MODEL_GRAMS:
-            least *= 2
-        model["b"][n] = _columns(weights.filter(F.col("c") >= least).select("lang", "g", "v"), langs)
+        log = lambda c: F.log(c).cast("float").alias("v")
+        found[n] = (here.select("lang", "g", log("p")), sums.select("lang", F.col("h").alias("g"), log("weight")))
+    return langs, found
+
+
+def _arrays(langs: list[str], tables: dict[int, tuple[DataFrame, DataFrame]]) -> dict:
+    """The models as sorted arrays: for each order the grams' hashes and log-probabilities, and the contexts' hashes and
+    log back-off weights, one column for each language. At most MODEL_GRAMS rows of each table come to the driver."""
+    model = {"langs": langs, "p": {}, "b": {}}
+    for n, (grams, contexts) in tables.items():
+        model["p"][n], model["b"][n] = _columns(grams, langs), _columns(contexts, langs)
     for n in range(1, ORDER + 1):  # a gram that some languages lack gets their backed-off value
         keys, values, grams = model["p"][n]
         gaps = np.isnan(values)
@@ -213,11 +219,11 @@ def _predicted(docs: DataFrame, model: dict) -> DataFrame:
         for part in kernels.slices(batches, "__text"):
             texts = [t or "" for t in kernels.column(part, "__text").to_pylist()]
             points, offsets, letters = _folded(texts)
-            grams, at = _grams(points, offsets, ORDER)
+            grams, begins, ends = _grams(points, offsets, ORDER)
             rows = []
             if langs:
                 logs = np.concatenate([np.zeros((1, len(langs))), np.cumsum(_log_p(known, grams, ORDER), 0, np.float64)])
-                sums, sizes = logs[at[1:]] - logs[at[:-1]], np.maximum(np.diff(at), 1)
+                sums, sizes = logs[ends] - logs[begins], np.maximum(ends - begins, 1)
                 entropy = -sums / sizes[:, None]
                 best = entropy.argmin(1)
                 odds = np.exp((entropy.min(1)[:, None] - entropy) * np.minimum(sizes, EVIDENCE)[:, None])
@@ -234,6 +240,55 @@ def _predicted(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, "__id long, __lang string, __train boolean, pred string, entropy double, score double")
 
 
+def _predicted_by_join(docs: DataFrame, langs: list[str], tables: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """What _predicted returns, for models of any size: each different gram of the texts meets the tables once, and the
+    texts' grams, counted before, meet the grams' values."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for part in kernels.slices(batches, "__text"):
+            points, offsets, letters = _folded([t or "" for t in kernels.column(part, "__text").to_pylist()])
+            grams, begins, ends = _grams(points, offsets, ORDER)
+            own = [np.unique(grams[s:e].view(np.int64), return_counts=True) for s, e in zip(begins, ends, strict=True)]
+            cuts = pa.array(np.cumsum([0, *(len(g) for g, _ in own)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([o[k] for o in own]).astype(np.int64))) for k in (0, 1)]
+            kept = [kernels.column(part, c) for c in ("__row", "__id", "__lang", "__train")]
+            counts = [pa.array(np.asarray(c).astype(np.int64)) for c in (letters, np.maximum(ends - begins, 1))]
+            yield pa.RecordBatch.from_arrays([*kept, *counts, *lists], names=["__row", "__id", "__lang", "__train", "letters", "size", "g", "c"])
+
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    schema = "__row long, __id long, __lang string, __train boolean, letters long, size long, g array<long>, c array<long>"
+    texts = materialize(numbered.mapInArrow(run, schema), "text-grams")
+    grams = texts.select("__row", F.explode(F.arrays_zip("g", "c")).alias("x")).select("__row", "x.g", "x.c")
+    needed = {ORDER: materialize(grams.select("g").distinct(), "needed")}
+    for n in range(ORDER - 1, 0, -1):
+        needed[n] = needed[n + 1].select(F.col("g").bitwiseAND(F.lit((1 << (_BITS * n)) - 1)).alias("g")).distinct()
+    below = None
+    for n in range(1, ORDER + 1):
+        by_lang = lambda t, key, name: t.groupBy(F.col("g").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("lang", "v"))).alias(name))
+        context = F.shiftrightunsigned("g", _BITS) if n > 1 else F.lit(0).cast("long")
+        rows = needed[n].withColumn("h", context).withColumn("s", F.col("g").bitwiseAND(F.lit((1 << (_BITS * (n - 1))) - 1)))
+        rows = rows.join(by_lang(tables[n][0], "g", "p"), "g", "left").join(by_lang(tables[n][1], "h", "b"), "h", "left")
+        if below is not None:
+            rows = rows.join(below, "s")
+        rest = lambda k: F.lit(-float(np.log(_SYMBOLS))).cast("float") if below is None else F.col("below")[k]  # noqa: E731, B023
+        values = [F.coalesce(F.col("p")[x], F.coalesce(F.col("b")[x], F.lit(0.0).cast("float")) + rest(k)) for k, x in enumerate(langs)]
+        below = materialize(rows.select(F.col("g").alias("s"), F.array(*values).alias("below")), f"values{n}")
+    sums = grams.join(below.withColumnRenamed("s", "g"), "g").groupBy("__row").agg(
+        F.array(*[F.sum(F.col("c") * F.col("below")[k].cast("double")) for k in range(len(langs))]).alias("sums")
+    )
+    found = texts.drop("g", "c").join(sums, "__row", "left")
+    sums = F.coalesce("sums", F.array(*[F.lit(0.0)] * len(langs)))
+    found = found.withColumn("all", F.transform(sums, lambda x: -x / F.col("size"))).withColumn("least", F.array_min("all"))
+    odds = F.transform("all", lambda e: F.exp((F.col("least") - e) * F.least("size", F.lit(EVIDENCE))))
+    total = F.aggregate(odds, F.lit(0.0), lambda s, x: s + x)
+    ok = F.col("letters") > 0
+    names = F.array(*[F.lit(x) for x in langs])
+    return found.select(
+        "__id", "__lang", "__train", F.when(ok, names[(F.array_position("all", F.col("least")) - 1).cast("int")]).otherwise(UNKNOWN).alias("pred"),
+        F.when(ok, F.col("least")).alias("entropy"), F.when(ok, F.array_max(odds) / total).otherwise(0.0).alias("score"),
+    )
+
+
 def held_out(id_col) -> F.Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
 
@@ -244,16 +299,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     The model with the lowest cross-entropy a character wins, the first in name order of equal ones; score is its share
     of the likelihood over at most EVIDENCE characters. A text is rejected when its cross-entropy is over the calibrated
-    limit of its language (mean and REJECT_SIGMA deviations over the training texts that the model gets right). A null
-    text, one without a letter, or an empty training set gives lang_pred 'und', score 0 and rejected. A null id
+    limit of its language (mean and REJECT_SIGMA deviations over the training texts that the model gets right). A text
+    of one letter has no gram of its own: all languages are equal, and the first in name order is named. A null text, one without a letter, or an empty training set gives lang_pred 'und', score 0 and rejected. A null id
     is not held out, nor trained on. Repeated rows count as often as they occur; other columns are ignored.
     """
     id_ = F.col(id_col).cast("long")
     docs = docs.select(
         id_.alias("__id"), F.col(lang_col).alias("__lang"), F.coalesce(~held_out(id_), F.lit(False)).alias("__train"), F.col(text_col).alias("__text")
     )
-    model = train(docs.filter("__train"))
-    found = materialize(_predicted(docs, model), "predicted")
+    langs, tables = train(docs.filter("__train"))
+    large = langs and any(t.limit(MODEL_GRAMS + 1).count() > MODEL_GRAMS for both in tables.values() for t in both)
+    found = materialize(_predicted_by_join(docs, langs, tables) if large else _predicted(docs, _arrays(langs, tables)), "predicted")
     right = found.filter("__train and pred = __lang").groupBy("pred").agg(
         (F.avg("entropy") + REJECT_SIGMA * F.coalesce(F.stddev_samp("entropy"), F.lit(0.0))).alias("most")
     )

@@ -95,7 +95,7 @@ FAMILIES = tuple(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 FEATURES = 1 << 16
 #: Paragraphs of the corpus that the classifier learns as unknown, and the documents they come from (by smallest hash).
-NEGATIVES, NEGATIVE_DOCS = 4000, 200
+NEGATIVES, NEGATIVE_DOCS, NEGATIVE_BYTES = 4000, 200, 1 << 14
 VARIANTS, STEPS, RATE, DECAY = 24, 300, 4.0, 1e-4
 #: Share of held-back unknown paragraphs that the calibrated limit lets pass, and the share of a template's word pairs
 #: (or of the paragraph's, where it is the shorter) that confirms a prediction.
@@ -190,10 +190,14 @@ def train(negatives: list[str]) -> dict:
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """At most NEGATIVES paragraphs, without licence words, of the NEGATIVE_DOCS documents with the smallest hashes."""
-    found = docs.filter("__text is not null").select(F.xxhash64("__text").alias("h"), "__text").orderBy("h").limit(NEGATIVE_DOCS)
-    lines = [x for r in found.collect() for x in r["__text"].split("\n") if len(x.split()) > 1]
-    return [x[:2000] for x in lines if not re.search("licen[sc]|copyright|rights reserved|creative commons|gnu|spdx", x, re.I)][:NEGATIVES]
+    """At most NEGATIVES paragraphs, without licence words, of the NEGATIVE_DOCS different texts of at most NEGATIVE_BYTES
+    bytes with the smallest hashes: the bounded sample that the unknown class is fitted on. Hashes are chosen first, so
+    that few texts reach the driver."""
+    hashed = docs.filter(F.octet_length("__text") <= NEGATIVE_BYTES).select(F.xxhash64("__text").alias("h"), "__text")
+    chosen = hashed.select("h").distinct().orderBy("h").limit(NEGATIVE_DOCS)
+    found = hashed.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("__text").alias("__text"))
+    lines = [x for r in sorted(found.collect()) for x in r["__text"].split("\n") if len(x.split()) > 1]
+    return [x for x in lines if not re.search("licen[sc]|copyright|rights reserved|creative commons|gnu|spdx", x, re.I)][:NEGATIVES]
 
 
 def _pairs(words: list[bytes]) -> set[tuple[bytes, bytes]]:
