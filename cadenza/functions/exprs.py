@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,25 @@ def non_empty(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+# Case folding by rule: letters that fold to one letter, and those that fold to several.
+_FOLDED = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c and not 0xD800 <= ord(c) <= 0xDFFF}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
+
+def casefold(c: Column) -> Column:
+    """Full Unicode case folding; ASCII text needs lower() alone, and only text with a letter like \u00df is split."""
+    one = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
+    table = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    many = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).when(one.rlike(f"[{''.join(_MANY)}]"), many).otherwise(one)
+
+
+def key_suffix(key: Column, prefix: str) -> Column:
+    """What follows a prefix in a canonical key; null where the key lacks it."""
+    return F.when(key.startswith(prefix), F.substring(key, len(prefix) + 1, 2**31 - 1))
+
+
 def split_bucket(key: Column, buckets: int) -> Column:
     """The first 16 hex digits of the key's sha256 as an unsigned number, modulo buckets."""
     number = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
@@ -47,8 +68,8 @@ def session_key(user: Column, epoch: Column, seconds: int = 1800) -> Column:
 
 
 def event_signature(*fields: Column) -> Column:
-    """Hex sha256 of the fields, stripped, lower-cased and joined by a unit separator; null counts as empty."""
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.lower(strip(f.cast("string"))), F.lit("")) for f in fields]), 256)
+    """Hex sha256 of the fields, stripped, case-folded and joined by a unit separator; null counts as empty."""
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(casefold(strip(f.cast("string"))), F.lit("")) for f in fields]), 256)
 
 
 def dashed(hex32: Column) -> Column:

@@ -114,6 +114,53 @@ def eligible(manifest: DataFrame, mode: str) -> DataFrame:
     return out
 
 
+# Classes of sources.
+SOURCES = {"musicbrainz": "production_approved", "listenbrainz": "production_approved"}
+
+
+def _classified(source: Column, sources: dict[str, str], fail_closed: bool) -> Column:
+    out = F.lit("blocked" if fail_closed else "research_only")
+    for name, kind in sources.items():
+        out = F.when(source == name, kind).otherwise(out)
+    return out
+
+
+def decide_by_source(manifest: DataFrame, mode: str, fail_closed: bool = True, sources: dict[str, str] = SOURCES) -> DataFrame:
+    """manifest (source, license, allowed_envs, …) with allowed, reason and classification by the class of the source.
+
+    mode is production, research or both; allowed_envs names one environment, or both. A missing licence or environment
+    (null or empty) is refused, as is an unknown source where fail_closed; mode both asks for no environment.
+    """
+    source, envs = F.coalesce("source", F.lit("")), F.col("allowed_envs")
+    kind = _classified(source, sources, fail_closed)
+    named = lambda before, x, after: F.concat(F.lit(before), x, F.lit(after))
+    # The reasons.
+    reason = (
+        F.when(F.coalesce("license", F.lit("")) == "", "missing license metadata")
+        .when(F.coalesce(envs, F.lit("")) == "", "missing allowed_envs")
+        .when(kind == "blocked", named("source '", source, "' not approved"))
+    )
+    if mode == "production":
+        reason = reason.when(kind != "production_approved", named("source '", source, "' not production_approved"))
+    if mode in ("production", "research"):
+        reason = reason.when(~envs.isin(mode, "both"), named("row env '", envs, f"' excludes {mode}"))
+    reason = reason.otherwise("compliant")
+    missing = reason.isin("missing license metadata", "missing allowed_envs")
+    return manifest.withColumns(
+        {"allowed": reason == "compliant", "reason": reason, "classification": F.when(missing, "blocked").otherwise(kind)}
+    )
+
+
+def eligible_by_source(manifest: DataFrame, mode: str, fail_closed: bool = True, sources: dict[str, str] = SOURCES) -> DataFrame:
+    """The rows a mode may use, as filters that reach the scan; mode both takes every row with a licence."""
+    out = manifest.filter(F.coalesce("license", F.lit("")) != "")
+    if mode == "production":
+        out = out.filter(F.col("source").isin([s for s, c in sources.items() if c == "production_approved"]))
+    elif mode == "research" and fail_closed:
+        out = out.filter(F.col("source").isin(list(sources)))
+    return out if mode == "both" else out.filter(F.col("allowed_envs").isin(mode, "both"))
+
+
 def promotable(manifest: DataFrame) -> DataFrame:
     """One row: rows, those not approved for production, research-only ones, and whether none stands in the way."""
     d = decision(F.col("license"), F.col("envs"), "production")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
+from cadenza.session import broadcast_up_to, materialize
 
 MOST_HOPS = 8
 
@@ -149,3 +152,55 @@ def first_occurrences(rows: DataFrame, key: list[str], ordinal: str) -> DataFram
 def page_after(rows: DataFrame, key: str, last, size: int) -> DataFrame:
     """The next page by key (a page is the feature here)."""
     return rows.filter(F.col(key) > last).orderBy(key).limit(size)
+
+
+def dictionary(pairs: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
+    """(key, value) with each key once: the last writer wins."""
+    return pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, ordinal).alias(value))
+
+
+def matched_tracks(events: DataFrame, by_mbid: DataFrame, by_provider: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The events (mbid, msid, provider_id, …) with candidate_type and track: a listen's own identifier decides which
+    dictionary, (mbid, track) or (provider_id, track), is looked up; an msid has none. Small dictionaries are broadcast."""
+    kind = listen_identity(F.col("mbid"), F.col("msid"), F.col("provider_id"))["type"]
+    out = events.withColumn("candidate_type", F.coalesce(kind, F.lit("none")))
+    out = out.join(broadcast_up_to(by_mbid.select("mbid", F.col("track").alias("__m")), rows), "mbid", "left")
+    out = out.join(broadcast_up_to(by_provider.select("provider_id", F.col("track").alias("__p")), rows), "provider_id", "left")
+    track = F.when(F.col("candidate_type") == "recording_mbid", F.col("__m")).when(F.col("candidate_type") == "spotify_track", F.col("__p"))
+    return out.withColumn("track", track).drop("__m", "__p")
+
+
+def track_assignments(tracks: DataFrame, external: DataFrame) -> DataFrame:
+    """(item, source, kind, skey) of tracks (track, item, mbid, spotify, catalog) and their external ids (track, source,
+    external_id): a row for each identifier that is not blank, equal ones once."""
+    own = F.array(*[
+        F.struct(F.lit(s).alias("source"), F.col(c).cast("string").alias("skey"))
+        for s, c in (("musicbrainz", "mbid"), ("spotify", "spotify"), ("catalog", "catalog"))
+    ])
+    mine = tracks.select("item", F.inline(own))
+    theirs = tracks.select("track", "item").join(external, "track").select("item", "source", F.col("external_id").alias("skey"))
+    key = X.alias_key(F.col("source"), F.lit("track"), F.col("skey"))
+    return mine.unionByName(theirs).select("item", key.alias("k")).filter("k is not null").select("item", "k.source", "k.kind", F.col("k.key").alias("skey")).distinct()
+
+
+def serve(requests: DataFrame, aliases: DataFrame, redirects: DataFrame, rank: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """One row for each request of (request, role seed or exclude, source, kind, skey): the recommended items with score
+    and rank, the numbers of seeds asked for and resolved, and the identifiers that did not resolve.
+
+    rank takes seeds and excludes (request, item) and returns (request, item, score, rank). Requests without a resolved
+    seed have no items. Lists hold what one request asked for and the ranker's k items, never a group of the catalog.
+    """
+    key = ["source", "kind", "skey"]
+    asked = materialize(requests.join(resolve(requests, aliases, redirects), key, "left").withColumn("status", F.coalesce("status", F.lit("invalid"))), "asked")
+    part = lambda role: asked.filter((F.col("role") == role) & F.col("item").isNotNull()).select("request", "item").distinct()
+    lost = lambda role: F.array_sort(F.collect_set(F.when((F.col("role") == role) & F.col("item").isNull(), F.struct(*key, "status"))))
+    seed = F.col("role") == "seed"
+    heads = asked.groupBy("request").agg(
+        F.count_if(seed).alias("requested_seed_count"),
+        F.count_if(seed & F.col("item").isNotNull()).alias("resolved_seed_count"),
+        lost("seed").alias("unresolved_seeds"),
+        lost("exclude").alias("unresolved_excludes"),
+    )
+    lists = rank(part("seed"), part("exclude")).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("items"))
+    empty = F.array().cast("array<struct<rank:int,item:bigint,score:double>>")
+    return heads.join(lists, "request", "left").withColumn("items", F.coalesce(F.col("items").cast("array<struct<rank:int,item:bigint,score:double>>"), empty))

@@ -49,6 +49,39 @@ def progress(shards: DataFrame) -> DataFrame:
     )
 
 
+# The counters of a shard.
+COUNTERS = ("source_row_count", "imported_row_count", "duplicate_row_count", "canonicalized_row_count", "unresolved_row_count", "malformed_row_count")
+
+
+def dataset_progress(shards: DataFrame, counters: tuple[str, ...] = COUNTERS) -> DataFrame:
+    """One row for each run: shards by status (any other status is pending), finished bytes and the sum of each counter."""
+    named = {"succeeded": "completed", "running": "running", "failed": "failed"}
+    status = F.coalesce("status", F.lit("pending"))
+    return shards.groupBy("run").agg(
+        F.count("*").alias("shard_count"),
+        *[F.count_if(status == s).alias(f"{n}_shards") for s, n in named.items()],
+        F.count_if(~status.isin(*named)).alias("pending_shards"),
+        F.sum(F.when(status == "succeeded", F.coalesce("bytes", F.lit(0))).otherwise(0)).alias("completed_uncompressed_bytes"),
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counters],
+    )
+
+
+def accumulated(base: DataFrame, phase: DataFrame, key: str, counters: list[str]) -> DataFrame:
+    """The base snapshot of each key with a phase's counters added; a key in one of them alone counts as it is."""
+    return base.select(key, *counters).unionByName(phase.select(key, *counters)).groupBy(key).agg(*[F.sum(c).alias(c) for c in counters])
+
+
+def resume_by_type(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """The rows (type, id, …) past the last id that each type has finished (type, last); types not begun are whole."""
+    last = done.groupBy("type").agg(F.max("last").alias("__last"))
+    return rows.join(last, "type", "left").filter(F.coalesce(F.col("id") > F.col("__last"), F.lit(True))).drop("__last")
+
+
+def labelled(metrics: DataFrame, labels: DataFrame) -> DataFrame:
+    """Metrics with the labels of the same candidate, dataset and training run."""
+    return metrics.join(labels, ["candidate_label", "dataset_hash", "training_run_id"])
+
+
 def eta(progressed: DataFrame, elapsed: str) -> DataFrame:
     """Adds rate (rows a second) and eta_s from done, total and elapsed seconds; null without progress."""
     rate = F.try_divide(F.col("done").cast("double"), F.col(elapsed))

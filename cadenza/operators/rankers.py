@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,35 +21,54 @@ def top_k(scored: DataFrame, k: int, request: str = "request", item: str = "item
 def cooccurrence(seeds: DataFrame, neighbours: DataFrame, exclude: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(request, item, score, co_count, rank): the sum of PMI over a request's seeds; seeds and excludes never return.
 
-    Sums are exact decimals of nine places, whatever the order of addition; ranks follow them, and score shows six places.
-    Hits are dealt out by request once, for the sums, the exclusion and the ranks.
+    PMI counts in whole units of the ninth place, so sums are exact whatever the order of addition and stay primitive;
+    ranks follow them, and score shows six places. Hits are dealt out by request once, for the sums, the exclusion and the ranks.
     """
-    hits = seeds.join(neighbours, "item").select("request", F.col("neighbour").alias("item"), F.col("pmi").cast("decimal(20,9)").alias("pmi"), "co_count")
-    scored = hits.repartition("request").groupBy("request", "item").agg(F.sum("pmi").alias("exact"), F.sum("co_count").alias("co_count"))
+    units = F.round(F.col("pmi") * 1e9).cast("bigint").alias("units")
+    hits = seeds.join(neighbours, "item").select("request", F.col("neighbour").alias("item"), units, "co_count")
+    scored = hits.repartition("request").groupBy("request", "item").agg(F.sum("units").alias("exact"), F.sum("co_count").alias("co_count"))
     gone = seeds.select("request", "item")
     gone = gone if exclude is None else gone.unionAll(exclude.select("request", "item"))
     ranked = top_k(scored.join(gone, ["request", "item"], "left_anti"), k, score="exact")
-    return ranked.select("request", "item", F.round("exact", 6).cast("double").alias("score"), "co_count", "rank")
+    score = F.round(F.col("exact").cast("decimal(20,0)") * F.lit(Decimal("1e-9")), 6).cast("double")
+    return ranked.select("request", "item", score.alias("score"), "co_count", "rank")
 
 
-def metadata(seeds: DataFrame, features: DataFrame, k: int = 10) -> DataFrame:
+#: What a seed and an item may share, best first, and the score of it.
+TIERS = (("artist", 1.0), ("album", 0.8), ("genre", 0.5))
+
+
+def metadata(seeds: DataFrame, features: DataFrame, k: int = 10, exclude: DataFrame | None = None) -> DataFrame:
     """(request, item, score, rank): 1.0 for a shared artist, 0.8 for an album, 0.5 for a genre, the largest counting.
 
-    features has (item, album, artist, genre), several rows for an item. Three equi-joins stand for the disjunction.
-    Ties go by item, so of each artist, album and genre only the first items matter: an item among a request's k best has
-    before it, in its list, seeds of the request and fewer than 2 k others that are as good or better.
+    features has (item, album, artist, genre), several rows for an item. Three equi-joins stand for the disjunction, best
+    first, and only requests with fewer than k items so far go on to the next. Ties go by item: in the list of an artist,
+    album or genre, an item among a request's k best has before it only fewer than k others, which are as good or better
+    and come first, and items that the request may not get. So a prefix of each list is enough.
     """
-    seeds = seeds.select("request", "item").distinct()
-    parts = []
-    for column, score in (("artist", 1.0), ("album", 0.8), ("genre", 0.5)):
+    seeds = materialize(seeds.select("request", "item").distinct(), "seeds")
+    gone = seeds if exclude is None else seeds.unionAll(exclude.join(seeds, "request", "left_semi").select("request", "item")).distinct()
+    found = None
+    for column, score in TIERS:
+        asked, barred = seeds, gone
+        if found is not None:
+            full = found.groupBy("request").count().filter(F.col("count") >= k)
+            asked, barred = seeds.join(full, "request", "left_anti"), gone.join(full, "request", "left_anti")
+            if not asked.limit(1).count():
+                break
         have = materialize(features.select("item", column).filter(F.col(column).isNotNull()).distinct(), column)
-        wanted = materialize(seeds.join(have, "item").groupBy("request", column).agg((F.count("*") + 2 * k).alias("most")), "wanted")
+        lists = asked.join(have, "item").select("request", column).distinct()
+        skipped = barred.join(have, "item").groupBy("request", column).agg(F.count("*").alias("skipped"))
+        wanted = lists.join(skipped, ["request", column], "left").select("request", column, (F.coalesce("skipped", F.lit(0)) + k).alias("most"))
+        wanted = materialize(wanted, "wanted")
         longest = wanted.agg(F.max("most")).first()[0] or 0
         order = Window.partitionBy(column).orderBy("item")
         first = have.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= longest)
-        parts.append(wanted.join(first, column).filter("at <= most").select("request", "item", F.lit(score).alias("score")))
-    scored = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("request", "item").agg(F.max("score").alias("score"))
-    return top_k(scored.join(seeds, ["request", "item"], "left_anti"), k)
+        new = wanted.join(first, column).filter("at <= most").select("request", "item").distinct().withColumn("score", F.lit(score))
+        new = new.join(barred, ["request", "item"], "left_anti")
+        new = new if found is None else found.select("request", "item", "score").unionAll(new).groupBy("request", "item").agg(F.max("score").alias("score"))
+        found = materialize(top_k(new, k), "found")
+    return found
 
 
 def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 64) -> DataFrame:

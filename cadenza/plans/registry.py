@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import graph, platform, recommend
+from cadenza.plans import graph, platform, recommend, serving
 
-_MODULES = (recommend, graph, platform)
+_MODULES = (recommend, graph, platform, serving)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -238,3 +238,25 @@ def test_small_helpers(spark):
     assert df.select(X.isrc_alnum(F.col("code")), archives.required_bytes(F.col("n"), 5, 7)).first()[:] == ("USAB1", 107)
     names = spark.createDataFrame([("Ann",), ("Bob",), (None,)], "name string")
     assert [r.name for r in rankers.without_names(names, spark.createDataFrame([("ANN",)], "name string")).collect()] == ["Bob", None]
+
+
+def test_casefold_is_python_s(spark):
+    texts = ["Straße", "ΣΊΣΥΦΟΣ", "İstanbul", "ﬁne ﬀ 😀ß", "ABC", "", "Ꭰꭰ", "\U00010400x", "ŉ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.casefold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in rows] == [None if t is None else t.casefold() for t in texts]
+
+
+def test_metadata_fills_from_lower_tiers(spark):
+    """Requests with too few items of an artist go on to albums and genres; excludes never return."""
+    features = spark.createDataFrame([(i, f"b{i // 4}", f"a{i // 2}", f"g{i // 16}") for i in range(64)], "item long, album string, artist string, genre string")
+    seeds = spark.createDataFrame([(r, r) for r in range(64)] + [(7, 9)], "request long, item long")
+    gone = spark.createDataFrame([(r, r ^ 1) for r in range(0, 64, 3)], "request long, item long")
+    got = {(r.request, r.item): (r.score, r.rank) for r in rankers.metadata(seeds, features, 5, gone).collect()}
+    want = {}
+    for r in range(64):
+        mine = [r, 9] if r == 7 else [r]
+        barred = set(mine) | ({r ^ 1} if r % 3 == 0 else set())
+        scores = {i: max(1.0 if i // 2 == s // 2 else 0.8 if i // 4 == s // 4 else 0.5 if i // 16 == s // 16 else 0.0 for s in mine) for i in range(64) if i not in barred}
+        for n, i in enumerate(sorted((i for i in scores if scores[i]), key=lambda i: (-scores[i], i))[:5], 1):
+            want[r, i] = (scores[i], n)
+    assert got == want
