@@ -32,31 +32,80 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def upsert_session_items(stream: DataFrame, root: str, checkpoint: str) -> None:
-    """Keep session aggregates with no bound on lateness: each batch is merged into the newest version below root.
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Keep the whole result of an aggregation, late updates included, as a table at path that every batch replaces."""
 
-    A batch that is run again after a failure finds its own version there and does nothing.
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upsert_session_items(stream: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keep session aggregates with no bound on lateness: each batch is merged into the buckets of sessions that it touches.
+
+    A batch writes its buckets as version v=<batch> below root, and other buckets stay as they are. The two newest versions of a
+    bucket are kept, so readers of the last one can finish. A batch that is run again after a failure finds its own version
+    there and does nothing. A root is to keep its number of buckets.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        exists = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))
-        if exists(f"{root}/v{number}/_SUCCESS"):
+        if number in _versions(spark, root):
             return
+        bucket = F.pmod(F.xxhash64("session_key"), F.lit(buckets)).cast("int").alias("bucket")
+        batch.persist()
         new = ingest.session_items(batch)
-        if number:
-            new = ingest.merge_session_items(spark.read.parquet(f"{root}/v{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{root}/v{number}")
+        touched = {r.bucket for r in new.select(bucket).distinct().collect()}  # at most `buckets` rows
+        have = _buckets(spark, root)
+        old = [f"{root}/v={have[b][-1]}/bucket={b}" for b in touched & set(have)]
+        if old:
+            new = ingest.merge_session_items(spark.read.option("basePath", root).parquet(*old).select(*new.columns), new)
+        new.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v={number}")
+        batch.unpersist()
+        for b in touched & set(have):
+            for version in have[b][:-1]:
+                _remove(spark, f"{root}/v={version}/bucket={b}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, found = _path(spark, path)
+    files.delete(found, True)
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The n of the folders name=n below a path, ascending."""
+    files, found = _path(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(found)] if files.exists(found) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions below root that were written to their end."""
+    done = lambda v: (lambda files, found: files.exists(found))(*_path(spark, f"{root}/v={v}/_SUCCESS"))
+    return [v for v in _numbers(spark, root, "v") if done(v)]
+
+
+def _buckets(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """The versions of each bucket, ascending."""
+    found: dict[int, list[int]] = {}
+    for version in _versions(spark, root):
+        for bucket in _numbers(spark, f"{root}/v={version}", "bucket"):
+            found.setdefault(bucket, []).append(version)
+    return found
+
+
 def newest(spark: SparkSession, root: str) -> DataFrame:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return spark.read.parquet(f"{root}/v{max(int(f.getPath().getName()[1:]) for f in found)}")
+    """The session aggregates below root: the newest version of each bucket."""
+    paths = [f"{root}/v={versions[-1]}/bucket={b}" for b, versions in sorted(_buckets(spark, root).items())]
+    return spark.read.option("basePath", root).parquet(*paths).drop("v", "bucket")
 
 
 def demo(spark: SparkSession, events: DataFrame, kind: str) -> DataFrame:
@@ -65,12 +114,8 @@ def demo(spark: SparkSession, events: DataFrame, kind: str) -> DataFrame:
     events.repartition(4, "user_name").write.parquet(source)
     stream = replay(spark, source, events.schema.simpleString()[7:-1].replace(":", " "), 2)
     if kind == "windows":
-        # No late bound is passed while one run sees all files, so every window is complete.
-        memory = stream.groupBy(F.window("at", "30 minutes"), "user_name").agg(F.count("*").alias("plays"))
-        memory = memory.select("user_name", F.col("window.start").alias("start"), "plays")
-        name = "w" + out.rsplit("-", 1)[1]
-        memory.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-        return spark.table(name)
+        run_to_table(windows(stream, 30, "100000 hours"), out, check)
+        return spark.read.parquet(out)
     if kind == "once":
         run_available(once(stream, ["user_name", "item"], "100000 hours").select("user_name", "item"), out, check)
         return spark.read.parquet(out)

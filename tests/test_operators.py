@@ -187,6 +187,22 @@ def test_stream_resume(spark, tmp_path):
         base.write.mode("append").parquet(src)
 
 
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    from cadenza.streaming import listens
+
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "session_key string, item string, at timestamp"
+    plays = lambda *keys: spark.createDataFrame([(k, "a") for k in keys], "session_key string, item string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    for keys in (("u", "v", "w"), ("u",), ("u",), ("u", "x")):
+        plays(*keys).write.mode("append").parquet(src)
+        listens.upsert_session_items(listens.replay(spark, src, schema, 100), out, check)
+    assert {r.session_key: r.plays for r in listens.newest(spark, out).collect()} == {"u": 4, "v": 1, "w": 1, "x": 1}
+    bucket = plays("u").select(F.pmod(F.xxhash64("session_key"), F.lit(64)).cast("int")).first()[0]
+    found = listens._buckets(spark, out)
+    assert found[bucket] == [2, 3]  # the two newest versions
+    assert sorted(v for b, versions in found.items() if b != bucket for v in versions) == [0, 0, 3]
+
+
 def test_lines_of_split_files(spark, tmp_path):
     lines = [f"row {k}\u2028x\x85y" + "z" * (k % 50) for k in range(5000)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines), newline="\n")
