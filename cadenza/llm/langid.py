@@ -23,9 +23,15 @@ HELD_GRAMS = 1 << 20
 MAX_LANGUAGES = 256
 #: A text is rejected when its cross-entropy is so many standard deviations over the mean of its language's.
 REJECT_SIGMA = 4.0
+#: Slack of a limit, so that texts that are all alike are not over their own mean.
+ROUNDING = 1e-9
 UNKNOWN = "und"
+#: One in so many training texts of a language is kept from its model and calibrates its limit, if the language has at
+#: least CALIBRATE_FROM of them; the limit of a smaller language comes from the texts of its model.
+CALIBRATION, CALIBRATE_FROM = 8, 80
 #: Characters of evidence in the score; more of them are far from independent.
 EVIDENCE = 40
+#: Bits of a symbol: a UTF-16 unit, so a letter beyond the first 65,536 code points is two symbols.
 _BITS = 16
 _SYMBOLS = 1 << _BITS
 
@@ -47,15 +53,20 @@ _cached: list = []
 
 
 def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded code points with a blank before and after each text, its offsets, and each text's number of letters."""
+    """Folded symbols with a blank before and after each text, its offsets, and each text's number of letters."""
     if not _cached:
         _cached.extend(_tables())
     fold, letter = _cached
     points = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     letters = np.concatenate([[0], np.cumsum(letter[points])])
+    n_letters = letters[offsets[1:]] - letters[offsets[:-1]]
     folded = fold[points]
-    return folded, offsets, letters[offsets[1:]] - letters[offsets[:-1]]
+    wide = folded >= _SYMBOLS
+    if wide.any():
+        offsets = offsets + np.concatenate([[0], np.cumsum(wide)])[offsets]
+        folded = np.frombuffer(folded.astype("<u4").tobytes().decode("utf-32-le").encode("utf-16-le"), "<u2")
+    return folded, offsets, n_letters
 
 
 def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +75,12 @@ def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
     keep[offsets] = True
+    kept = np.flatnonzero(keep)
+    last = kept[np.searchsorted(kept, offsets[1:]) - 1]  # a text's closing run is the blank after it
+    keep[last[points[last] == 32]] = False
+    keep[offsets] = True
     at = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    points = points[keep].astype(np.uint64) & np.uint64(_SYMBOLS - 1)
+    points = points[keep].astype(np.uint64)
     n = len(points) - order + 1
     grams = np.zeros(max(n, 0), np.uint64)
     for k in range(order if n > 0 else 0):
@@ -289,8 +304,17 @@ def _predicted_by_join(docs: DataFrame, langs: list[str], tables: dict[int, tupl
     )
 
 
+def _crc(id_col) -> F.Column:
+    return F.crc32(id_col.cast("string").cast("binary"))
+
+
 def held_out(id_col) -> F.Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
+    return _crc(id_col) % 4 == 2
+
+
+def _set_aside(id_col) -> F.Column:
+    """Whether a training text is one of those that calibrate the limit of a language with enough of them."""
+    return F.shiftright(_crc(id_col), 2) % CALIBRATION == 0
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -299,19 +323,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     The model with the lowest cross-entropy a character wins, the first in name order of equal ones; score is its share
     of the likelihood over at most EVIDENCE characters. A text is rejected when its cross-entropy is over the calibrated
-    limit of its language (mean and REJECT_SIGMA deviations over the training texts that the model gets right). A text
-    of one letter has no gram of its own: all languages are equal, and the first in name order is named. A null text, one without a letter, or an empty training set gives lang_pred 'und', score 0 and rejected. A null id
+    limit of its language: mean and REJECT_SIGMA deviations over training texts that the model gets right, which were kept
+    from the model (one in CALIBRATION, from languages of CALIBRATE_FROM training texts and more). A text of one letter has no gram of its own: all languages are equal, and the first in name order is
+    named. A null text, one without a letter, or an empty training set gives lang_pred 'und', score 0 and rejected. A null id
     is not held out, nor trained on. Repeated rows count as often as they occur; other columns are ignored.
     """
     id_ = F.col(id_col).cast("long")
     docs = docs.select(
         id_.alias("__id"), F.col(lang_col).alias("__lang"), F.coalesce(~held_out(id_), F.lit(False)).alias("__train"), F.col(text_col).alias("__text")
     )
-    langs, tables = train(docs.filter("__train"))
+    sizes = docs.filter("__train and __lang is not null and __text is not null").groupBy("__lang").agg(
+        F.count("*").alias("n"), F.count_if(~_set_aside(F.col("__id"))).alias("rest")
+    )
+    sizes = sizes.filter((F.col("n") >= CALIBRATE_FROM) & (F.col("rest") > 0)).orderBy("__lang")
+    ample = [r[0] for r in sizes.limit(MAX_LANGUAGES + 1).collect()]
+    aside = F.col("__lang").isin(ample) & _set_aside(F.col("__id")) if ample else F.lit(False)
+    langs, tables = train(docs.filter(F.col("__train") & ~F.coalesce(aside, F.lit(False))))
     large = langs and any(t.limit(MODEL_GRAMS + 1).count() > MODEL_GRAMS for both in tables.values() for t in both)
     found = materialize(_predicted_by_join(docs, langs, tables) if large else _predicted(docs, _arrays(langs, tables)), "predicted")
-    right = found.filter("__train and pred = __lang").groupBy("pred").agg(
-        (F.avg("entropy") + REJECT_SIGMA * F.coalesce(F.stddev_samp("entropy"), F.lit(0.0))).alias("most")
+    judged = aside | ~F.col("pred").isin(ample) if ample else F.lit(True)
+    right = found.filter("__train and pred = __lang").filter(judged).groupBy("pred").agg(
+        (F.avg("entropy") + ROUNDING + REJECT_SIGMA * F.coalesce(F.stddev_samp("entropy"), F.lit(0.0))).alias("most")
     )
     limits = {r.pred: r.most for r in right.collect()}  # a row for each of at most MAX_LANGUAGES languages
     limit = F.lit(None).cast("double")
