@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import kernels
 
-# Notices of each licence family, one paragraph each. Words in braces vary.
+# Notices of each licence family, one paragraph each.
 TEMPLATES = {
     "mit": (
         "MIT License",
@@ -20,6 +20,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "This project is available under the terms of the MIT License.",
+        "Distributed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -41,6 +42,13 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ),
+    "agpl": (
+        "GNU Affero General Public License",
+        "GNU AGPL",
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    ),
     "lgpl": (
         "GNU Lesser General Public License",
         "GNU LGPL",
@@ -52,11 +60,36 @@ TEMPLATES = {
         "BSD License",
         "BSD 3-Clause License",
         "BSD 2-Clause License",
+        "3-Clause BSD License",
+        "2-Clause BSD License",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD 2-clause license.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ),
+    "isc": (
+        "ISC License",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "boost": (
+        "Boost Software License",
+        "Boost Software License 1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "epl": (
+        "Eclipse Public License",
+        "Eclipse Public License 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "unlicense": (
+        "The Unlicense",
+        "SPDX-License-Identifier: Unlicense",
+        "This is free and unencumbered software released into the public domain.",
+    ),
     "mpl": (
         "Mozilla Public License",
         "Mozilla Public License 2.0",
@@ -122,9 +155,14 @@ def _features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both, 2 * first
 
 
+def _plain(buf: np.ndarray) -> np.ndarray:
+    """Lower-cased for A-Z, in one spelling of licence; every byte keeps its place."""
+    return np.frombuffer(kernels.lower_ascii(buf).tobytes().replace(b"licence", b"license"), np.uint8)
+
+
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     buf, offsets = kernels.flatten(pa.array(texts, pa.string()))
-    return kernels.lower_ascii(buf), offsets
+    return _plain(buf), offsets
 
 
 def _sums(weights: np.ndarray, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -161,8 +199,8 @@ def _examples(negatives: list[str]) -> tuple[list[str], np.ndarray]:
 def train(negatives: list[str]) -> dict:
     """Multinomial logistic regression on sparse word and word-pair counts: full-batch gradient steps from zero.
 
-    A fifth of the examples is held back: the limit of a prediction is the smallest probability (0.5 at least) that lets
-    at most FALSE_SHARE of the held-back unknown paragraphs pass.
+    A fifth of the examples is held back: the limit is the smallest probability of any family (0.5 at least) that lets at
+    most FALSE_SHARE of the held-back unknown paragraphs pass. Families that look alike share it, and the likeliest is taken.
     """
     texts, classes = _examples(negatives)
     features, offsets = _features(*_bytes(texts))
@@ -174,30 +212,31 @@ def train(negatives: list[str]) -> dict:
     target = np.eye(k)[classes]
     share = 1 / np.bincount(classes[~held], minlength=k).clip(1)
     importance = np.where(held, 0, share[classes] / k)[:, None]
-    weights, scale = np.zeros((len(used), k)), 30.0
+    weights, scale = np.zeros((k, len(used))), 30.0
     for _ in range(STEPS):
-        total = np.concatenate([np.zeros((1, k)), np.cumsum(weights[number], 0)])
-        p = _softmax(scale * (total[offsets[1:]] - total[offsets[:-1]]) / size[:, None])
-        push = ((target - p) * importance / size[:, None])[rows]
-        step = np.stack([np.bincount(number, push[:, c], len(used)) for c in range(k)], 1)
+        z = np.stack([np.bincount(rows, w[number], len(texts)) for w in weights], 1)
+        push = (target - _softmax(scale * z / size[:, None])) * importance / size[:, None]
+        step = np.stack([np.bincount(number, column[rows], len(used)) for column in push.T.copy()])
         weights += RATE * (scale * step - DECAY * weights)
     full = np.zeros((FEATURES, k), np.float32)
-    full[used] = scale * weights
+    full[used] = scale * weights.T
     p = _softmax(_sums(full, features, offsets))
-    others = np.sort(p[held & (classes == UNKNOWN)][:, :UNKNOWN].max(1)) if (held & (classes == UNKNOWN)).any() else np.zeros(1)
+    others = np.sort(1 - p[held & (classes == UNKNOWN)][:, UNKNOWN]) if (held & (classes == UNKNOWN)).any() else np.zeros(1)
     limit = max(0.5, float(others[min(len(others) - 1, int(np.ceil((1 - FALSE_SHARE) * len(others))))]))
-    return {"weights": full, "limit": min(limit, 0.95)}
+    return {"weights": full, "limit": limit}
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """At most NEGATIVES paragraphs, without licence words, of the NEGATIVE_DOCS different texts of at most NEGATIVE_BYTES
+    """At most NEGATIVES paragraphs, without licence words and unlike all templates, of the NEGATIVE_DOCS different texts of at most NEGATIVE_BYTES
     bytes with the smallest hashes: the bounded sample that the unknown class is fitted on. Hashes are chosen first, so
     that few texts reach the driver."""
     hashed = docs.filter(F.octet_length("__text") <= NEGATIVE_BYTES).select(F.xxhash64("__text").alias("h"), "__text")
     chosen = hashed.select("h").distinct().orderBy("h").limit(NEGATIVE_DOCS)
     found = hashed.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("__text").alias("__text"))
     lines = [x for r in sorted(found.collect()) for x in r["__text"].split("\n") if len(x.split()) > 1]
-    return [x for x in lines if not re.search("licen[sc]|copyright|rights reserved|creative commons|gnu|spdx", x, re.I)][:NEGATIVES]
+    lines = [x for x in lines if not re.search("licen[sc]|copyright|rights reserved|creative commons|gnu|spdx", x, re.I)][:NEGATIVES]
+    templates = _known()
+    return [x for x in lines if not any(confirmed(x.lower().encode(), f, templates) for f in range(UNKNOWN))]
 
 
 def _pairs(words: list[bytes]) -> set[tuple[bytes, bytes]]:
@@ -232,8 +271,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The licence families that each text's paragraphs declare: (id_col, licenses, n_paragraphs, spans), one row for each
     input row.
 
-    A paragraph is a line. Its family is the classifier's where the probability reaches the calibrated limit and a
-    template of that family confirms it; all others are of the unknown class. licenses lists the families in name order
+    A paragraph is a line. Its family is the classifier's likeliest where the probability of a family reaches the
+    calibrated limit and a template of that family confirms it; all others are of the unknown class. licenses lists the families in name order
     (null if none), n_paragraphs counts the confirmed ones, spans lists family:start:end in UTF-8 bytes. Null and
     empty texts have none; a null id stays null; repeated rows are scanned each; other columns are ignored. An empty
     table trains without corpus negatives and returns nothing.
@@ -246,12 +285,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         templates = _known()
         for part in kernels.slices(batches, "__text"):
             buf, offsets = kernels.flatten(kernels.column(part, "__text"))
-            low = kernels.lower_ascii(buf)
+            low = _plain(buf)
             ends, first = _lines(low, offsets)
-            p = _softmax(_sums(weights, *_features(low, ends)))
-            best = p.argmax(1)
+            features, at = _features(low, ends)
+            p = _softmax(_sums(weights, features, at))
+            best = p[:, :UNKNOWN].argmax(1)
             found: dict[int, list[tuple[int, int, int]]] = {}
-            for k in np.flatnonzero((best != UNKNOWN) & (p.max(1) >= limit)) if len(p) else ():
+            for k in np.flatnonzero((np.diff(at) > 0) & (1 - p[:, UNKNOWN] >= limit)):
                 s, e = int(ends[k]), int(ends[k + 1])
                 e -= int(low[e - 1] == 10)
                 if confirmed(low[s:e].tobytes(), int(best[k]), templates):
