@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cadenza.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, store, suffix, urls
+from cadenza.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, spelling, store, suffix, urls
 from cadenza.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from cadenza.llm.rules import URL_RULES
 from cadenza.session import new_path, table
@@ -53,6 +53,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -64,4 +68,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
