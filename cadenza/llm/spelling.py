@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUPS = 6
 #: A block of more words, or of more code points, is cut into chunks by hash; every chunk meets every chunk.
 CHUNK_WORDS, CHUNK_POINTS = 256, 1 << 14
+#: Pairs of blocks that a task multiplies before it verifies their candidates, and code points verified at once.
+ROWS, VERIFY_POINTS = 32, 1 << 19
 #: One run in so many loses a letter.
 EVERY = 199
 #: A form is at least so many times as frequent as its word.
@@ -75,7 +77,7 @@ def _counts(points: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _blocks(words: DataFrame) -> DataFrame:
-    """(key, chunk, chunks, words: array of (word, n)). A key adds GROUPS counts at ten bits each, modulo 2**64: keys of
+    """(key, chunk, words: array of (word, n)). A key adds GROUPS counts at ten bits each, modulo 2**64: keys of
     other blocks that fall together only cause idle comparisons."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -90,7 +92,7 @@ def _blocks(words: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.greatest(F.count("*") / CHUNK_WORDS, F.sum(F.char_length("word")) / CHUNK_POINTS).alias("size"))
     keyed = keyed.join(sizes.select("key", F.ceil("size").alias("chunks")), "key")
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("word"), "chunks"))
-    return keyed.groupBy("key", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("word", "n")).alias("words"))
+    return keyed.groupBy("key", "chunk").agg(F.collect_list(F.struct("word", "n")).alias("words"))
 
 
 def _one_edit(a: tuple[np.ndarray, np.ndarray], i: np.ndarray, b: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
@@ -133,8 +135,8 @@ def _near(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 (wa, na, ta, ca, qa, fa), (wb, nb, tb, cb, qb, fb) = side(batch, "a"), side(batch, "b")
                 own = kernels.column(batch, "own").to_numpy(zero_copy_only=False)
                 i, j = [], []
@@ -148,7 +150,9 @@ def _near(pairs: DataFrame) -> DataFrame:
                     i.append(p + fa[r])
                     j.append(q + fb[r])
                 i, j = np.concatenate(i), np.concatenate(j)
-                near = _one_edit(ta, i, tb, j)
+                step = max(1, VERIFY_POINTS // max(1, int(np.diff(ta[1]).max(initial=0))))
+                near = [_one_edit(ta, i[k : k + step], tb, j[k : k + step]) for k in range(0, len(i), step)]
+                near = np.concatenate([np.zeros(0, bool), *near])
                 i, j = pa.array(i[near]), pa.array(j[near])
                 a, b = (wa.take(i), pa.array(na).take(i)), (wb.take(j), pa.array(nb).take(j))
                 for one, other in ((a, b), (b, a)):
