@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cadenza.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, spelling, store, suffix, urls, whiten
+from cadenza.llm import bpe, compression, decontaminate, langid, licenses, minhash, quality, secrets, spelling, store, suffix, urls, whiten
 from cadenza.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from cadenza.llm.rules import URL_RULES
 from cadenza.session import new_path, table
@@ -53,6 +53,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark, sf_dir):
+    return compression.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_embedding_whitening(spark, sf_dir):
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_spelling_variants": op13_spelling_variants,
 }
