@@ -137,8 +137,11 @@ class Splitter:
 
 
 class Pieces:
-    """The pieces of some texts: where each one starts and stops in the joined text, a hash of each, each text's first
-    piece (n + 1 values), and the distinct ones: their hashes in order, a place of each, and every piece's number."""
+    """The pieces of some texts: where each one starts and stops in the joined text, each text's first piece (n + 1 values),
+    a place of each distinct piece, and every piece's number among these.
+
+    Hashes group the pieces; each is then compared with its group's first by code points, and if any differs all are told apart as strings.
+    """
 
     def __init__(self, splitter: Splitter, texts: list[str]):
         self.text = "".join(texts)
@@ -146,6 +149,7 @@ class Pieces:
         self.points, self.starts = splitter.starts(self.text, ends[1:][ends[1:] < len(self.text)])
         n = len(self.points)
         self.stops = np.append(self.starts[1:], n) if len(self.starts) else self.starts
+        self.first = np.searchsorted(self.starts, ends)
         power, inverse = kernels.powers(n + 1)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(kernels.mix(self.points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
@@ -156,8 +160,18 @@ class Pieces:
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
         self.places = order[new]
-        self.hashes = hashes[self.places]
-        self.first = np.searchsorted(self.starts, ends)
+        if not self._same():
+            numbers: dict[str, int] = {}
+            self.number = np.array([numbers.setdefault(p, len(numbers)) for p in self.strings(np.arange(len(order)))])
+            self.places = np.unique(self.number, return_index=True)[1]
+
+    def _same(self) -> bool:
+        """Whether every piece has the code points of the one that stands for it."""
+        lengths, at = self.stops - self.starts, self.places[self.number]
+        if not np.array_equal(lengths, lengths[at]):
+            return False
+        shift = np.repeat(self.starts[at] - self.starts, lengths)
+        return np.array_equal(self.points[np.arange(len(self.points)) + shift], self.points)
 
     def strings(self, places: np.ndarray) -> list[str]:
         text = self.text

@@ -24,6 +24,8 @@ LITERAL = 6
 BROADCAST_ROWS = 500_000
 #: The ids of documents with hits (8 bytes each) likewise: up to so many, the texts are read again without a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parts into which the hits of each template are dealt.
+SALTS = 16
 
 
 def tokens(text: Column) -> Column:
@@ -80,16 +82,18 @@ def contaminated(
     window: int = WINDOW,
     literal: int = LITERAL,
 ) -> DataFrame:
-    """Documents that hold a benchmark item or a re-parameterised form of it: (id_col, item_ids, n_windows, n_slots).
+    """Documents that hold a benchmark item or a re-parameterised form of it: (id_col, item_ids, n_windows, n_slots, n_tokens).
 
     Numbers, names and units become placeholders; a window of `window` tokens of a document counts when its template is
     one of the item's and at least `literal` of its tokens are literal. Over all windows that a document shares with an
-    item each slot value of the item must stand for one value in the document and the other way round, within a run of
-    windows at one distance (a copy of the item); a run that fails this is dropped. A window of the item with fewer
+    item each slot value of the item must keep one value in the document, within a run of windows at one distance (a copy
+    of the item); a run that fails this is dropped. Two values of the item may become equal in the copy. A window of the item with fewer
     literal tokens counts where all its tokens are the same, and an item of fewer tokens than a window is one window of
     its own, which counts where its tokens are the same or, with `literal` of them literal, as a template. Only contaminated documents are
     returned, one row for each id (repeated rows are one): item_ids ascending, n_windows the windows counted, n_slots
-    the filled slots compared (none in windows whose tokens are the same). Null texts and items without a token match
+    the filled slots compared (none in windows whose tokens are the same), n_tokens the most tokens that one window of them
+    has: the evidence, which is small where an item has few tokens ("Paris" is found in every text with the word), so that
+    the caller can ask for more. Null texts and items without a token match
     nothing; an empty benchmark gives an empty result. Other columns are ignored; rows without an id are not reported.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("__text")).filter("key is not null")
@@ -126,26 +130,29 @@ def contaminated(
     doc_words = F.slice("words", F.col("at") + 1, F.col("size")).alias("doc_words")
     pairs = hits.join(texts, "key").select("key", "at", "h", "size", "exact", doc_words)
     same = F.when(F.col("exact"), plain(F.col("doc_words")) == F.col("item_plain")).otherwise(canonical(F.col("doc_words")) == F.col("template"))
-    pairs = pairs.join(templates, ["h", "size", "exact"]).filter(same)
+    # A template that many documents hold is dealt out by document to SALTS tasks; templates, of the benchmark alone, are repeated.
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
+    copies = templates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = pairs.join(copies, ["h", "size", "exact", "salt"]).filter(same)
     slots = F.filter(
         F.arrays_zip(F.col("template").alias("kind"), F.col("item_words").alias("mine"), F.col("doc_words").alias("theirs")),
         lambda s: s["kind"].startswith("<"),
     )
-    found = pairs.select("key", "item", (F.col("at") - F.col("item_at")).alias("shift"), "at", "exact", slots.alias("slots"))
+    found = pairs.select("key", "item", (F.col("at") - F.col("item_at")).alias("shift"), "at", "exact", "size", slots.alias("slots"))
     run = ["key", "item", "shift"]
-    copied = found.filter("exact").select(*run, "at").distinct()
+    copied = found.filter("exact").select(*run, "at", "size").distinct()
     found = found.filter("not exact")
     filled = found.select(*run, F.explode("slots").alias("s")).select(*run, "s.kind", "s.mine", "s.theirs").distinct()
     forward = filled.groupBy(*run, "kind", "mine").count().groupBy(*run).agg(F.max("count").alias("most"), F.sum("count").alias("n_slots"))
-    back = filled.groupBy(*run, "kind", "theirs").count().groupBy(*run).agg(F.max("count").alias("back"))
-    judged = found.groupBy(*run).agg(F.countDistinct("at").alias("n")).join(forward, run, "left").join(back, run, "left")
-    judged = judged.filter("coalesce(most, 1) = 1 and coalesce(back, 1) = 1")
+    judged = found.groupBy(*run).agg(F.countDistinct("at").alias("n"), F.max("size").alias("most_tokens")).join(forward, run, "left")
+    judged = judged.filter("coalesce(most, 1) = 1")
     if any(exact for _, exact in kinds):
         counted = found.join(judged, run, "left_semi").select(*run, "at")
-        copied = copied.join(counted, [*run, "at"], "left_anti").groupBy(*run).agg(F.count("*").alias("n"))
-        judged = judged.select(*run, "n", "n_slots").unionByName(copied, allowMissingColumns=True)
+        copied = copied.join(counted, [*run, "at"], "left_anti").groupBy(*run).agg(F.count("*").alias("n"), F.max("size").alias("most_tokens"))
+        judged = judged.select(*run, "n", "n_slots", "most_tokens").unionByName(copied, allowMissingColumns=True)
     return judged.groupBy("key").agg(
         F.array_sort(F.collect_set("item")).alias("item_ids"),
         F.sum("n").alias("n_windows"),
         F.sum(F.coalesce("n_slots", F.lit(0))).cast("long").alias("n_slots"),
+        F.max("most_tokens").alias("n_tokens"),
     ).withColumnRenamed("key", id_col)

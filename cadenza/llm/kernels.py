@@ -7,6 +7,7 @@ of text (one longer text makes a slice of its own), whatever number of rows an A
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
+#: Words of so many bytes or more are hashed by blake2b: the polynomial hash has known collisions of long words.
+LONG_WORD = 32
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -106,10 +109,18 @@ def words(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word's bytes."""
+    h = mix(span_hash(prefix_hash(buf), starts, ends) + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every row's k-word shingles, and row offsets. A row of 1 to k - 1 words has one, of all its words."""
     starts, ends, first = words(buf, offsets)
-    h = mix(span_hash(prefix_hash(buf), starts, ends) + (ends - starts).astype(np.uint64))
+    h = word_hash(buf, starts, ends)
     counts = np.diff(first)
     n = len(h)
     out = np.full(max(0, n - k + 1), 0x51ED270B, np.uint64)

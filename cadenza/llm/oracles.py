@@ -79,11 +79,9 @@ i AS (SELECT * FROM ({_cut("item_id", "benchmark")}) WHERE len(list_filter(templ
 found AS (SELECT d.id AS doc_id, i.id AS item, d.pos - i.pos AS shift, d.pos, d.template, d.words AS theirs, i.words AS mine FROM d JOIN i ON d.template = i.template),
 filled AS (SELECT DISTINCT doc_id, item, shift, kind, mine, theirs FROM (SELECT doc_id, item, shift, unnest(template) AS kind, unnest(mine) AS mine, unnest(theirs) AS theirs FROM found) WHERE starts_with(kind, '<')),
 forward AS (SELECT doc_id, item, shift, max(c) AS most, sum(c) AS n_slots FROM (SELECT doc_id, item, shift, kind, mine, count(*) AS c FROM filled GROUP BY ALL) GROUP BY ALL),
-back AS (SELECT doc_id, item, shift, max(c) AS most FROM (SELECT doc_id, item, shift, kind, theirs, count(*) AS c FROM filled GROUP BY ALL) GROUP BY ALL),
 runs AS (SELECT doc_id, item, shift, count(DISTINCT pos) AS n FROM found GROUP BY ALL)
-SELECT doc_id, list_sort(list_distinct(list(item))) AS item_ids, CAST(sum(n) AS BIGINT) AS n_windows, CAST(coalesce(sum(n_slots), 0) AS BIGINT) AS n_slots
-FROM runs LEFT JOIN forward USING (doc_id, item, shift) LEFT JOIN back USING (doc_id, item, shift)
-WHERE coalesce(forward.most, 1) = 1 AND coalesce(back.most, 1) = 1 GROUP BY 1"""
+SELECT doc_id, list_sort(list_distinct(list(item))) AS item_ids, CAST(sum(n) AS BIGINT) AS n_windows, CAST(coalesce(sum(n_slots), 0) AS BIGINT) AS n_slots, {_W} AS n_tokens
+FROM runs LEFT JOIN forward USING (doc_id, item, shift) WHERE coalesce(forward.most, 1) = 1 GROUP BY 1"""
 
 _STOPS = "[" + "".join("\\" + c for c in quality.STOPS) + "]"
 _BINS = _listed(quality.COMMON_WORDS)

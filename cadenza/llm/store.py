@@ -79,30 +79,26 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class Known:
-    """Pieces that a worker has encoded, by 64-bit hash in ascending order; all their ids lie in one array."""
+    """Pieces that a worker has encoded, each with its number; all their ids lie in one array."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers: dict[str, int] = {}
+        self.begins, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each of these ascending hashes is or belongs, and which of them are new."""
-        at = np.searchsorted(self.hashes, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != hashes[inside]
-        return at, new
-
-    def add(self, at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.numbers)
+        self.numbers.update(zip(pieces, range(first, first + len(pieces)), strict=True))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.numbers) > len(self.begins):
+            self.begins, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.sizes))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.begins = np.insert(self.begins, at, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = np.insert(self.sizes, at, sizes)
+        self.begins[first : first + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(pieces)] = sizes
         self.used += len(ids)
 
 
@@ -142,11 +138,14 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """The library's ids of every text: it encodes each distinct piece between its own word boundaries once."""
     tokenizer, splitter, sizes_of, known = _tools(path)
     cut = bpe.Pieces(splitter, texts)
-    if len(known.hashes) > REMEMBER:
+    if len(known.numbers) > REMEMBER:
         known.clear()
-    at, new = known.find(cut.hashes)
+    strings = cut.strings(cut.places)
+    numbers = known.numbers
+    new = np.array([s not in numbers for s in strings], bool)
     if new.any():
-        places = cut.places[new]
+        at = np.flatnonzero(new)
+        places = cut.places[at]
         starts, stops = cut.starts[places], cut.stops[places]
         points = cut.points
         width = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
@@ -156,11 +155,9 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
         for split in (True, False):
             mine = np.flatnonzero(plain == split)
             if len(mine):
-                ids, counts = _encoded(tokenizer, sizes_of, cut.strings(places[mine]), (width[stops] - width[starts])[mine], split)
-                hashes = cut.hashes[new][mine]
-                known.add(known.find(hashes)[0], hashes, ids, counts)
-        at, _ = known.find(cut.hashes)
-    slots = at[cut.number]
+                pieces = [strings[i] for i in at[mine]]
+                known.add(pieces, *_encoded(tokenizer, sizes_of, pieces, (width[stops] - width[starts])[mine], split))
+    slots = np.array([numbers[s] for s in strings], np.int64)[cut.number]
     lengths = known.sizes[slots]
     ends = np.concatenate([[0], np.cumsum(lengths)])
     ids = known.ids[np.repeat(known.begins[slots] - ends[:-1], lengths) + np.arange(ends[-1])]

@@ -24,6 +24,8 @@ SCALE, OFFSET, LARGEST = 64, 1_000_000, 2.0**52
 COMPONENTS = 16
 #: Residuals, as parts of the largest eigenvalue, at which a pair is locked; and below which an eigenvalue counts as zero.
 TOLERANCE = 64 * np.finfo(float).eps
+#: Ritz values no further apart than this, as a part of the largest, count as one.
+SAME = 1e-12
 #: Steps of the inner MINRES, and columns of the search space, as multiples of the block, before it restarts.
 INNER, SPACE = 4, 2.5
 #: Rounds after which a residual that rounding holds above TOLERANCE is taken up to ROUGHEST; above that is an error.
@@ -103,8 +105,12 @@ def jacobi_davidson(product: Product, dimension: int, wanted: int, tolerance: fl
         ritz, ritz_image = space @ vectors, image @ vectors
         residual = ritz_image - ritz * theta
         residual -= locked @ (locked.T @ residual)
-        sizes = np.linalg.norm(residual, axis=0)
         largest = max([*values[:1], theta[0], np.finfo(float).tiny])
+        for group in np.split(np.arange(len(theta)), np.flatnonzero(-np.diff(theta) > SAME * largest) + 1):
+            # Ritz vectors of one value are mixed at will; of their combinations those with the least residuals come first.
+            turned = np.linalg.svd(residual[:, group], full_matrices=False)[2][::-1].T if len(group) > 1 else np.eye(1)
+            ritz[:, group], ritz_image[:, group], residual[:, group] = ritz[:, group] @ turned, ritz_image[:, group] @ turned, residual[:, group] @ turned
+        sizes = np.linalg.norm(residual, axis=0)
         complete = space.shape[1] + locked.shape[1] >= dimension
         limit = np.inf if complete else (tolerance if turn < OUTER - 1 else ROUGHEST) * largest
         done = 0
@@ -141,7 +147,8 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = rows.select(F.col(id_col).alias("__id"), F.col(vector_col).cast("array<double>").alias("v"))
     # A NaN is larger than any number, so it fails too.
     finite = F.forall("v", lambda c: c.isNotNull() & (F.abs(c) < LARGEST))
-    return rows.filter(F.col("v").isNotNull() & finite).select("__id", F.transform("v", lambda c: F.floor(c * SCALE) + OFFSET).alias("x"))
+    whole = F.transform("v", lambda c: F.when(F.abs(c) < LARGEST, F.floor(c * SCALE) + OFFSET))  # filters may run in any order
+    return rows.filter(F.col("v").isNotNull() & finite).select("__id", whole.alias("x"))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -149,6 +149,7 @@ def test_decontamination_finds_exact_passages(spark, docs):
 NOTICES = {
     "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache",
     "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    "All rights reserved.": "proprietary",
 }
 
 

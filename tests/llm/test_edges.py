@@ -153,10 +153,25 @@ def test_secret_kinds():
 def test_reparameterised_questions(spark):
     item = "A train leaves the old station with Alice and travels 120 km in 3 hours before it stops near the river bridge to load 45 boxes"
     right = "Intro words here. " + item.replace("Alice", "Robert").replace("120", "77").replace("3 hours", "5 minutes") + " and more."
-    wrong = "A train leaves the old station with Alice and travels 9 km in 9 hours before it stops near the river bridge to load 45 boxes"
-    rows = spark.createDataFrame([(1, right), (2, wrong), (3, story(60)), (4, item), (4, item)], "doc_id long, text string")
+    equal = "A train leaves the old station with Alice and travels 9 km in 9 hours before it stops near the river bridge to load 45 boxes"
+    wrong = item.replace("Alice", "Robert")  # below, the item has Alice twice, and this copy has two names for it
+    rows = spark.createDataFrame([(1, right), (2, equal), (3, story(60)), (4, item), (4, item)], "doc_id long, text string")
     got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(rows, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()}
-    assert got == {1: [7], 4: [7]}
+    assert got == {1: [7], 2: [7], 4: [7]}
+    apples = "Tom has 3 apples and 4 pears in the basket that he carries home"
+    rows = spark.createDataFrame([(1, apples.replace("3", "4"))], "doc_id long, text string")
+    assert decontaminate.contaminated(rows, spark.createDataFrame([(7, apples)], "item_id int, text string")).count() == 1
+    twice = item + " for Alice and travels on"
+    rows = spark.createDataFrame([(1, wrong + " for Alice and travels on"), (2, twice.replace("Alice", "Robert"))], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(rows, spark.createDataFrame([(7, twice)], "item_id int, text string")).collect()] == [2]
+
+
+def test_hot_template(spark):
+    item = "A train leaves the old station at noon and travels 120 km before it stops"
+    docs = spark.range(4000).selectExpr("id AS doc_id", f"concat('{item.split('120')[0]}', id, '{item.split('120')[1]}') AS text")
+    items = spark.range(50).selectExpr("id AS item_id", f"concat('{item.split('120')[0]}', 900 + id, '{item.split('120')[1]}') AS text")
+    got = decontaminate.contaminated(docs, items)
+    assert got.count() == 4000 and got.selectExpr("min(size(item_ids))").first()[0] == 50
 
 
 def test_aliases(spark):
