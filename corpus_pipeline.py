@@ -16,6 +16,8 @@ from cadenza.session import broadcast_up_to, materialize, table
 #: Keys of a stage's decisions (8 bytes each) are broadcast up to this number; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 KEY = "__pipeline_row"
+#: Tokens of one window that a document must share with a benchmark item to go: shorter items are words of any text.
+EVIDENCE = 4
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -59,10 +61,10 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that hold benchmark items go. Null and empty texts hold none; without items all documents stay."""
+    """Documents that hold EVIDENCE tokens or more of benchmark items in a row go. Null and empty texts hold none; without items all documents stay."""
     rows = _keyed(docs)
     found = decontaminate.contaminated(rows.select(KEY, "text"), table(spark, sf_dir, "benchmark"), id_col=KEY)
-    found = materialize(found.select(KEY).distinct(), "leaked")
+    found = materialize(found.filter(F.col("n_tokens") >= EVIDENCE).select(KEY).distinct(), "leaked")
     return _chosen(rows, found, "left_anti").select(*docs.columns)
 
 
