@@ -138,9 +138,10 @@ class Splitter:
 
 class Pieces:
     """The pieces of some texts: where each one starts and stops in the joined text, each text's first piece (n + 1 values),
-    a place of each distinct piece, and every piece's number among these.
+    a place and a hash of each distinct piece, and every piece's number among these.
 
-    Hashes group the pieces; each is then compared with its group's first by code points, and if any differs all are told apart as strings.
+    Hashes group the pieces; each is then compared with its group's first by code points, and if any differs (clash) all are
+    told apart as strings. Without a clash the distinct pieces are in the order of their hashes.
     """
 
     def __init__(self, splitter: Splitter, texts: list[str]):
@@ -160,18 +161,22 @@ class Pieces:
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
         self.places = order[new]
-        if not self._same():
+        self.hashes = hashes[self.places]
+        self.clash = not self._same()
+        if self.clash:
             numbers: dict[str, int] = {}
             self.number = np.array([numbers.setdefault(p, len(numbers)) for p in self.strings(np.arange(len(order)))])
             self.places = np.unique(self.number, return_index=True)[1]
+            self.hashes = hashes[self.places]
 
     def _same(self) -> bool:
         """Whether every piece has the code points of the one that stands for it."""
         lengths, at = self.stops - self.starts, self.places[self.number]
         if not np.array_equal(lengths, lengths[at]):
             return False
-        shift = np.repeat(self.starts[at] - self.starts, lengths)
-        return np.array_equal(self.points[np.arange(len(self.points)) + shift], self.points)
+        shift = np.repeat((self.starts[at] - self.starts).astype(np.int32), lengths)
+        shift += np.arange(len(self.points), dtype=np.int32)
+        return np.array_equal(self.points[shift], self.points)
 
     def strings(self, places: np.ndarray) -> list[str]:
         text = self.text

@@ -79,27 +79,45 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class Known:
-    """Pieces that a worker has encoded, each with its number; all their ids lie in one array."""
+    """Pieces that a worker has encoded, by 64-bit hash in ascending order; their code points and ids lie in one array each."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.begins, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
-
-    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.numbers)
-        self.numbers.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.numbers) > len(self.begins):
-            self.begins, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.sizes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.begins[first : first + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first : first + len(pieces)] = sizes
-        self.used += len(ids)
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.places = np.zeros((1 << 12, 4), np.int64)  # by slot: where ids begin, how many there are, and the same of code points
+        self.ids, self.points, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.uint32), [0, 0]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of these ascending hashes is or belongs, and which of them are new."""
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        return at, new
+
+    def holds(self, at: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bool:
+        """Whether the pieces at these places have these code points."""
+        begins, sizes = self.places[self.slots[at], 2:].T
+        return np.array_equal(sizes, lengths) and np.array_equal(_pick(self.points, begins, lengths), _pick(points, starts, lengths))
+
+    def add(self, at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, lengths: np.ndarray) -> None:
+        """New pieces at the places that find() gave for their hashes; ids and code points lie one piece after another."""
+        first, n = len(self.hashes), len(hashes)
+        while first + n > len(self.places):
+            self.places = np.concatenate([self.places, np.zeros_like(self.places)])
+        for k, (name, data, counts) in enumerate((("ids", ids, sizes), ("points", points, lengths))):
+            held = getattr(self, name)
+            while self.used[k] + len(data) > len(held):
+                held = np.concatenate([held, np.zeros_like(held)])
+            held[self.used[k] : self.used[k] + len(data)] = data
+            setattr(self, name, held)
+            self.places[first : first + n, 2 * k] = self.used[k] + np.cumsum(counts) - counts
+            self.places[first : first + n, 2 * k + 1] = counts
+            self.used[k] += len(data)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.slots = np.insert(self.slots, at, np.arange(first, first + n))
 
 
 @lru_cache(1)
@@ -134,35 +152,63 @@ def _encoded(tokenizer, sizes_of: np.ndarray, pieces: list[str], lengths: np.nda
     return np.concatenate(found), np.concatenate(counts)
 
 
+def _encoded_pieces(tools, cut: bpe.Pieces, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces at these places, one piece after another, and how many each has."""
+    tokenizer, splitter, sizes_of, _ = tools
+    starts, stops, points = cut.starts[places], cut.stops[places], cut.points
+    lengths = stops - starts
+    own = _pick(points, starts, lengths)
+    last = np.concatenate([[0], np.cumsum(lengths)])
+    width = np.concatenate([[0], np.cumsum(1 + (own >= 0x80).astype(np.int64) + (own >= 0x800) + (own >= 0x10000))])
+    letters = np.concatenate([[0], np.cumsum(splitter.classes[own] == bpe.LETTER)])
+    # A space and letters, after which another such piece starts a new one for the tokenizer too.
+    plain = (points[starts] == 32) & (lengths > 1) & (letters[last[1:]] - letters[last[:-1]] == lengths - 1)
+    width = width[last[1:]] - width[last[:-1]]
+    parts, begins, sizes, total = [], np.zeros(len(places), np.int64), np.zeros(len(places), np.int64), 0
+    for split in (True, False):
+        mine = np.flatnonzero(plain == split)
+        if len(mine):
+            ids, counts = _encoded(tokenizer, sizes_of, cut.strings(places[mine]), width[mine], split)
+            begins[mine], sizes[mine] = total + np.cumsum(counts) - counts, counts
+            total += len(ids)
+            parts.append(ids)
+    return _pick(np.concatenate(parts), begins, sizes), sizes
+
+
+def _pick(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of an array one after another."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
+
+
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The library's ids of every text: it encodes each distinct piece between its own word boundaries once."""
-    tokenizer, splitter, sizes_of, known = _tools(path)
-    cut = bpe.Pieces(splitter, texts)
-    if len(known.numbers) > REMEMBER:
+    """The library's ids of every text: it encodes each distinct piece between its own word boundaries once.
+
+    A piece counts as known if its code points are those of a known one. Where a hash stands for two contents, which
+    only contrived texts bring about, the texts' distinct pieces are encoded anew and not remembered."""
+    tools = _tools(path)
+    known = tools[3]
+    cut = bpe.Pieces(tools[1], texts)
+    if len(known.hashes) > REMEMBER:
         known.clear()
-    strings = cut.strings(cut.places)
-    numbers = known.numbers
-    new = np.array([s not in numbers for s in strings], bool)
-    if new.any():
-        at = np.flatnonzero(new)
-        places = cut.places[at]
-        starts, stops = cut.starts[places], cut.stops[places]
-        points = cut.points
-        width = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
-        letters = np.concatenate([[0], np.cumsum(splitter.classes[points] == bpe.LETTER)])
-        # A space and letters, after which another such piece starts a new one for the tokenizer too.
-        plain = (points[starts] == 32) & (stops - starts > 1) & (letters[stops] - letters[starts] == stops - starts - 1)
-        for split in (True, False):
-            mine = np.flatnonzero(plain == split)
-            if len(mine):
-                pieces = [strings[i] for i in at[mine]]
-                known.add(pieces, *_encoded(tokenizer, sizes_of, pieces, (width[stops] - width[starts])[mine], split))
-    slots = np.array([numbers[s] for s in strings], np.int64)[cut.number]
-    lengths = known.sizes[slots]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    ids = known.ids[np.repeat(known.begins[slots] - ends[:-1], lengths) + np.arange(ends[-1])]
-    at = ends[cut.first]
-    return [ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+    starts = cut.starts[cut.places]
+    lengths = cut.stops[cut.places] - starts
+    at, new = known.find(cut.hashes)
+    if not len(starts):
+        return [np.zeros(0, "<u4") for _ in texts]
+    if cut.clash or not known.holds(at[~new], cut.points, starts[~new], lengths[~new]):
+        ids, sizes = _encoded_pieces(tools, cut, cut.places)
+        begins = np.cumsum(sizes) - sizes
+    else:
+        if new.any():
+            own = _pick(cut.points, starts[new], lengths[new])
+            known.add(at[new], cut.hashes[new], *_encoded_pieces(tools, cut, cut.places[new]), own, lengths[new])
+            at, _ = known.find(cut.hashes)
+        ids, (begins, sizes) = known.ids, known.places[known.slots[at], :2].T
+    counts = sizes[cut.number]
+    flat = _pick(ids, begins[cut.number], counts)
+    at = np.concatenate([[0], np.cumsum(counts)])[cut.first]
+    return [flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
 def pack(ids: np.ndarray) -> bytes:
