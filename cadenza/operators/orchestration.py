@@ -98,8 +98,13 @@ def reconcile(have: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def dispatch(shards: DataFrame, parallelism: int) -> DataFrame:
-    """(run, key) to start next: pending, or failed in an earlier session, in key order, while slots are free."""
+def dispatch(shards: DataFrame, parallelism: int, max_shards: int | None = None) -> DataFrame:
+    """(run, key) to start next: pending, or failed in an earlier session, in key order, while slots are free.
+
+    With max_shards a run only has its first so many shards by key, whatever their status; later ones wait for another run."""
+    if max_shards is not None:
+        place = F.row_number().over(Window.partitionBy("run").orderBy("key"))
+        shards = shards.withColumn("place", place).filter(F.col("place") <= max_shards)
     running = shards.filter("status = 'running'").groupBy("run").agg(F.count("*").alias("running"))
     ready = shards.filter("status = 'pending' or (status = 'failed' and session < current)").join(running, "run", "left")
     n = F.row_number().over(Window.partitionBy("run").orderBy("key"))

@@ -11,6 +11,7 @@ from cadenza.operators import orchestration as O
 from cadenza.plans.shared import frame, oracle, plain, run
 from cadenza.session import new_path
 from cadenza.sources import archives as A
+from cadenza.sources import packed as P
 from cadenza.sources import sinks as K
 from cadenza.streaming import listens as L
 
@@ -20,6 +21,8 @@ PLAYERS = "SELECT DISTINCT CAST(event_id % 50 AS BIGINT) AS game, user_id AS pla
 SHARDS = "SELECT o_orderkey AS id, o_orderpriority AS run, CASE o_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'succeeded' END AS status, CAST(o_custkey AS BIGINT) AS rows, CAST(o_orderkey AS BIGINT) AS bytes, CAST(o_orderkey AS BIGINT) AS key, o_custkey % 3 AS session, 2 AS current FROM {orders}"
 QUEUE = "SELECT o_orderkey AS id, CAST(o_custkey % 3 AS INT) AS priority, CASE o_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'retry' WHEN 2 THEN 'running' ELSE 'done' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS next_at, o_orderkey AS lease_until, CAST(o_custkey % 16 AS INT) AS attempts FROM {orders}"
 COPY = "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'short' ELSE CAST(p_partkey AS VARCHAR(20)) || chr(9) || CASE WHEN p_partkey % 3 = 0 THEN chr(92) || 'N' WHEN p_partkey % 3 = 1 THEN 'a' || chr(92) || chr(92) || 'n' || p_brand ELSE 'b' || chr(92) || 't' || p_brand END || chr(9) || p_type END AS value FROM {part}"
+MEMBERS = """SELECT event_type AS archive, 'dump/listens/' || CAST(EXTRACT(YEAR FROM ts) AS VARCHAR(4)) || '/' || CAST(EXTRACT(MONTH FROM ts) AS VARCHAR(2)) || '.listens' AS member, event_id,
+    '[' || CAST(event_id AS VARCHAR(20)) || ',' || CAST(user_id AS VARCHAR(20)) || ',"' || event_type || '"]' AS value FROM {events}"""
 NAMES = "SELECT 'listens-dump-' || CAST(o_orderkey AS VARCHAR(20)) || CASE WHEN o_orderkey % 9 = 0 THEN '-x' ELSE '-' || lpad(CAST(20200101 + o_orderkey % 28 AS VARCHAR(8)), 8, '0') || '-0' || CAST(o_orderkey % 6 AS VARCHAR(1)) || '0000-' || CASE WHEN o_custkey % 5 = 0 THEN 'full' ELSE 'incremental' END END AS name FROM {orders}"
 
 
@@ -210,6 +213,34 @@ def copy_dump(spark, d):
     return A.copy_table(run(spark, d, COPY), ["id", "name", "kind"], ("name",))
 
 
+def _packed(spark, d):
+    """Archives of the events' lines, one for each event type, a member for each month."""
+    path = new_path(spark, "archives")
+    P.pack(run(spark, d, MEMBERS).withColumn("line", F.col("event_id")), path)
+    return path
+
+
+def archive_lines(spark, d):
+    rows = P.tar_lines(spark, _packed(spark, d), range_bytes=1 << 16)
+    file, member = F.substring_index("origin", "!", 1), F.substring_index("origin", "!", -1)
+    return rows.select(F.substring_index(F.substring_index(file, "/", -1), ".", 1).alias("archive"), member.alias("member"), "line", "value")
+
+
+def archive_members(spark, d):
+    return P.tar_members(spark, _packed(spark, d)).select(F.substring_index("origin", "/", -4).alias("origin"), "bytes", "sha256")
+
+
+def shard_files(spark, d):
+    path = new_path(spark, "archives")
+    P.pack(run(spark, d, MEMBERS).select(F.lit("all").alias("archive"), "member", F.col("event_id").alias("line"), "value"), path)
+    return P.shard_files(spark, f"{path}/all.tar", new_path(spark, "shards"), "v1").select("number", "member_name", "year", "month", "size_bytes", "sha256")
+
+
+def scheduled_shards(spark, d):
+    rows = run(spark, d, "SELECT o_orderkey AS number, CAST(o_custkey AS BIGINT) AS size_bytes FROM {orders}")
+    return P.schedule_totals(rows, 40)
+
+
 def release_list(spark, d):
     return A.releases(run(spark, d, NAMES), "2020-01-05").select("name", "number", "mode", F.date_format("released", "yyyy-MM-dd HH:mm:ss").alias("released"))
 
@@ -305,7 +336,7 @@ QUERIES = {f.__name__: f for f in (
     capacity_append, online_users, genre_sync, featured_genres, pending_features, seeded_profiles, partial_dates, slugs, token_vectors, normalized_lists, rounded_places,
     round_scores, leaderboard, fuzzy_matches, contained_matches, hydration_seeds, claimed_items, hydration_outcomes, retry_times, run_progress, run_eta, partition_states,
     shard_reconciliation, shard_dispatch, shard_skips, version_backlog, latest_runs, stale_runs, alias_inventory, inventory_lines, evaluation_history, copy_dump,
-    release_list, latest_releases, page_links, checksum_lines, unique_pairs, csv_round_trip, partition_rerun, table_upsert, table_swap, stream_windows, stream_once,
+    archive_lines, archive_members, shard_files, scheduled_shards, release_list, latest_releases, page_links, checksum_lines, unique_pairs, csv_round_trip, partition_rerun, table_upsert, table_swap, stream_windows, stream_once,
     stream_session_items,
 )}
 
@@ -372,6 +403,11 @@ ORACLE_SQL = {
     "evaluation_history": oracle("""SELECT label, dataset, max(value) FILTER (WHERE metric = 'recall') AS recall, max(value) FILTER (WHERE metric = 'ndcg') AS ndcg, max(value) FILTER (WHERE metric = 'coverage') AS coverage,
         max(value) FILTER (WHERE metric = 'cold') AS cold, max(created) AS created FROM metrics GROUP BY 1, 2""", "metrics"),
     "copy_dump": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 1 THEN 'a' || chr(92) || 'n' || p_brand ELSE 'b' || chr(9) || p_brand END AS name, p_type AS kind FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 3 <> 0",
+    "archive_lines": f"SELECT archive, member, row_number() OVER (PARTITION BY archive, member ORDER BY event_id) AS line, value FROM ({plain(MEMBERS)})",
+    "archive_members": f"SELECT regexp_extract(archive || '.tar!' || member, '[^/]*/[^/]*/[^/]*/[^/]*$') AS origin, CAST(sum(length(value) + 1) AS BIGINT) AS bytes, sha256(string_agg(value || chr(10), '' ORDER BY event_id)) AS sha256 FROM ({plain(MEMBERS)}) GROUP BY archive, member",
+    "shard_files": f"""SELECT row_number() OVER (ORDER BY member) - 1 AS number, member AS member_name, CAST(split_part(member, '/', 3) AS INT) AS year, CAST(regexp_extract(member, '(\\d+)[.]', 1) AS INT) AS month, size_bytes, sha256
+        FROM (SELECT member, CAST(sum(length(value) + 1) AS BIGINT) AS size_bytes, sha256(string_agg(value || chr(10), '' ORDER BY event_id)) AS sha256 FROM ({plain(MEMBERS)}) GROUP BY member)""",
+    "scheduled_shards": "SELECT count(*) AS shard_count, count(*) FILTER (WHERE n <= 40) AS scheduled_shard_count, CAST(sum(c) AS BIGINT) AS total_uncompressed_bytes, CAST(sum(c) FILTER (WHERE n <= 40) AS BIGINT) AS scheduled_uncompressed_bytes FROM (SELECT o_custkey AS c, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)",
     "release_list": f"WITH {_RELEASES} SELECT name, number, mode, strftime(released, '%Y-%m-%d %H:%M:%S') AS released FROM rel WHERE released > TIMESTAMP '2020-01-05'",
     "latest_releases": f"WITH {_RELEASES} SELECT mode, name FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY released DESC, number DESC, name DESC) AS n FROM rel) WHERE n = 1",
     "page_links": "SELECT regexp_replace(x, '/$', '') AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS x FROM pages) GROUP BY 1",

@@ -1,11 +1,7 @@
-"""Readers: JSON lines in plain, gzip or tar containers, COPY text dumps, release lists and checksum files."""
+"""Readers: JSON lines in plain or gzip files, COPY text dumps, release lists and checksum files."""
 
 from __future__ import annotations
 
-import hashlib
-import io
-import itertools
-import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +12,6 @@ from cadenza.session import broadcast_up_to, materialize
 
 #: Splits of files whose line counts are broadcast; more are joined by a shuffle.
 BROADCAST_SPLITS = 1_000_000
-LISTEN_SUFFIXES = (".jsonl", ".ndjson", ".json", ".listens")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,60 +43,6 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.select("origin", (F.col("before") + F.col("at")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
-def _members(name: str, data: bytes, suffixes: tuple[str, ...]) -> Iterator[tuple[str, io.BufferedIOBase]]:
-    """The wanted members of an archive, each to be read before the next; nothing is unpacked as a whole."""
-    stream = io.BytesIO(data)
-    if name.endswith(".zst"):
-        import zstandard
-
-        stream = zstandard.ZstdDecompressor().stream_reader(stream)
-    with tarfile.open(fileobj=stream, mode="r|" if name.endswith(".zst") else "r|*") as archive:
-        for member in archive:
-            if member.isfile() and member.name.endswith(suffixes):
-                yield f"{name}!{member.name}", archive.extractfile(member)
-
-
-def tar_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LISTEN_SUFFIXES) -> DataFrame:
-    """(origin, line, value) of the wanted members of tar, tar.gz and tar.zst files; origin is file!member. Lines end at
-    line feeds alone (and a carriage return before one).
-
-    Spark reads each packed archive as one binary value, so that must fit in a task's memory; its members are unpacked
-    as a stream, in any size.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = ["origin", "line", "value"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for origin, member in _members(name, data, suffixes):
-                    at = 0
-                    while part := list(itertools.islice(member, 10_000)):
-                        lines = [x.decode("utf-8", "replace").removesuffix("\n").removesuffix("\r") for x in part]
-                        numbers = pa.array(range(at + 1, at + 1 + len(part)), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array([origin] * len(part)), numbers, pa.array(lines, pa.string())], names=names)
-                        at += len(part)
-
-    return files.mapInArrow(run, "origin string, line long, value string")
-
-
-def tar_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LISTEN_SUFFIXES) -> DataFrame:
-    """(origin, bytes, sha256) of the same members, over their bytes as they are."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for origin, member in _members(name, data, suffixes):
-                    sha, size = hashlib.sha256(), 0
-                    while part := member.read(1 << 20):
-                        sha.update(part)
-                        size += len(part)
-                    yield pa.RecordBatch.from_pydict({"origin": [origin], "bytes": [size], "sha256": [sha.hexdigest()]})
-
-    return files.mapInArrow(run, "origin string, bytes long, sha256 string")
-
-
 def shard_manifest(lines: DataFrame) -> DataFrame:
     """(origin, year, month, rows, bytes, digest) of members named …/listens/<year>/<month>.listens.
 
@@ -120,17 +61,26 @@ def shard_manifest(lines: DataFrame) -> DataFrame:
     )
 
 
+#: A piece of a COPY field: an escape, or a run without one.
+COPY_PIECE = r"(?s)\\.|[^\\]+|\\$"
+# Escapes of the COPY text format; any other escaped character stands for itself.
+ESCAPES = {"\\b": "\b", "\\f": "\f", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\v": "\u000b"}
+
+
 def copy_fields(value: Column) -> Column:
-    """The fields of a COPY text line: tab-separated, \\N for null, backslash escapes undone in one pass."""
-    marked = F.replace(value, F.lit("\\\\"), F.lit("\u0001"))
-    fields = F.split(marked, "\t", -1)
+    """The fields of a COPY text line: tab-separated, \\N for null, backslash escapes undone piece by piece."""
+
+    def plain(piece: Column) -> Column:
+        known = F.lit(None).cast("string")
+        for code, char in ESCAPES.items():
+            known = F.when(piece == code, F.lit(char)).otherwise(known)
+        return F.coalesce(known, F.when(piece.rlike(r"(?s)^\\."), F.substring(piece, 2, 1)).otherwise(piece))
 
     def field(x: Column) -> Column:
-        for code, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\u000b")):
-            x = F.replace(x, F.lit(code), F.lit(char))
-        return F.translate(x, "\\", "")
+        undone = F.concat_ws("", F.transform(F.regexp_extract_all(x, F.lit(COPY_PIECE), F.lit(0)), plain))
+        return F.when(x != "\\N", F.when(F.contains(x, F.lit("\\")), undone).otherwise(x))
 
-    return F.transform(fields, lambda x: F.when(x != "\\N", F.replace(field(x), F.lit("\u0001"), F.lit("\\"))))
+    return F.transform(F.split(value, "\t", -1), field)
 
 
 def copy_table(lines: DataFrame, columns: list[str], required: tuple[str, ...] = ()) -> DataFrame:

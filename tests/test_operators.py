@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
 from cadenza.operators import bridge, catalog, cooccurrence, evaluation, games, gates, identity, ingest, rankers
-from cadenza.sources import archives, sinks
+from cadenza.sources import archives, packed, sinks
 
 
 def baskets(spark, lists):
@@ -152,7 +152,7 @@ def test_containers(spark, tmp_path):
                 info.size = len(data)
                 t.addfile(info, io.BytesIO(data))
     (tmp_path / "c.tar.zst").write_bytes(zstandard.ZstdCompressor().compress((tmp_path / "a.tar").read_bytes()))
-    rows = archives.tar_lines(spark, str(tmp_path))
+    rows = packed.tar_lines(spark, str(tmp_path))
     assert sorted((r.origin.split("/")[-1], r.line, r.value) for r in rows.collect()) == sorted(("1.listens", i, v) for i, v in ((1, "one"), (2, "two")) for _ in range(3))
     manifest = archives.shard_manifest(rows).collect()
     assert {(r.year, r.month, r.rows, r.bytes) for r in manifest} == {(2020, 1, 2, 6)} and len({r.digest for r in manifest}) == 1
@@ -233,9 +233,9 @@ def test_members_of_archives(spark, tmp_path):
             archive.addfile(info, io.BytesIO(data))
     (tmp_path / "a.tar").write_bytes(raw.getvalue())
     (tmp_path / "b.tar.zst").write_bytes(zstandard.compress(raw.getvalue()))
-    got = sorted((r.origin[-33:], r.line, r.value) for r in archives.tar_lines(spark, str(tmp_path)).collect())
+    got = sorted((r.origin[-33:], r.line, r.value) for r in packed.tar_lines(spark, str(tmp_path)).collect())
     assert [g[1:] for g in got] == [(1, "one\u2028still one"), (2, "two"), (3, ""), (4, "four")] * 2
-    assert {(r.bytes, r.sha256) for r in archives.tar_members(spark, str(tmp_path)).collect()} == {(len(data), hashlib.sha256(data).hexdigest())}
+    assert {(r.bytes, r.sha256) for r in packed.tar_members(spark, str(tmp_path)).collect()} == {(len(data), hashlib.sha256(data).hexdigest())}
 
 
 def test_partition_index(spark):
