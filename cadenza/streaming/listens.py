@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import ingest
 from cadenza.session import new_path
+from cadenza.streaming import versions
 
 LISTEN = "event_id long, user_name string, item string, at timestamp"
 
@@ -32,79 +33,74 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the whole result of an aggregation, late updates included, as a table at path that every batch replaces."""
+def run_to_table(stream: DataFrame, root: str, checkpoint: str, keys: list[str]) -> None:
+    """Keep the result of an aggregation as a table below root: each batch's changed rows replace those of their keys.
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    The stream runs in update mode, so it keeps state only as long as its watermark allows; rows that it no longer changes stay
+    in the table. Each batch writes a new version; readers of the one before can finish and always find a table.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if number in versions.numbers(batch.sparkSession, root):
+            return
+        old = versions.read(batch.sparkSession, root)
+        changed = batch.persist()
+        out = changed if old is None else old.join(changed.select(*keys), keys, "left_anti").unionByName(changed)
+        versions.write(out, root, number)
+        changed.unpersist()
 
-    stream.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def upsert_session_items(stream: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> None:
     """Keep session aggregates with no bound on lateness: each batch is merged into the buckets of sessions that it touches.
 
-    A batch writes its buckets as version v=<batch> below root, and other buckets stay as they are. The two newest versions of a
-    bucket are kept, so readers of the last one can finish. A batch that is run again after a failure finds its own version
-    there and does nothing. A root is to keep its number of buckets.
+    A batch writes its buckets as version v=<batch> below root, and other buckets stay as they are; an index tells each
+    bucket's version, so no folders are listed. A version that no bucket needs is removed a batch later at the earliest, so readers of the last index can finish. A
+    batch that is run again after a failure finds its own index there and does nothing. A root is to keep its number of buckets.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number in _versions(spark, root):
+        if number in versions.numbers(spark, f"{root}/index"):
             return
         bucket = F.pmod(F.xxhash64("session_key"), F.lit(buckets)).cast("int").alias("bucket")
         batch.persist()
         new = ingest.session_items(batch)
         touched = {r.bucket for r in new.select(bucket).distinct().collect()}  # at most `buckets` rows
-        have = _buckets(spark, root)
-        old = [f"{root}/v={have[b][-1]}/bucket={b}" for b in touched & set(have)]
+        have = _index(spark, root)
+        old = [f"{root}/v={have[b]}/bucket={b}" for b in touched & set(have)]
         if old:
             new = ingest.merge_session_items(spark.read.option("basePath", root).parquet(*old).select(*new.columns), new)
         new.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v={number}")
         batch.unpersist()
-        for b in touched & set(have):
-            for version in have[b][:-1]:
-                _remove(spark, f"{root}/v={version}/bucket={b}")
+        now = have | dict.fromkeys(touched, number)
+        versions.write(spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1), f"{root}/index", number)
+        _retire(spark, root, set(have.values()) - set(now.values()))
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _path(spark: SparkSession, path: str):
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    files, found = _path(spark, path)
-    files.delete(found, True)
+def _retire(spark: SparkSession, root: str, gone: set[int]) -> None:
+    """Remove the versions that no bucket needed after the batch before, and note those that none needs after this one."""
+    files, left = versions.file_system(spark, f"{root}/left")
+    files.mkdirs(left)
+    for old in files.listStatus(left):
+        files.delete(versions.file_system(spark, f"{root}/v={old.getPath().getName()}")[1], True)
+        files.delete(old.getPath(), True)
+    for version in gone:
+        files.create(versions.file_system(spark, f"{root}/left/{version}")[1], True).close()
 
 
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
-    """The n of the folders name=n below a path, ascending."""
-    files, found = _path(spark, path)
-    names = [f.getPath().getName() for f in files.listStatus(found)] if files.exists(found) else []
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """The versions below root that were written to their end."""
-    done = lambda v: (lambda files, found: files.exists(found))(*_path(spark, f"{root}/v={v}/_SUCCESS"))
-    return [v for v in _numbers(spark, root, "v") if done(v)]
-
-
-def _buckets(spark: SparkSession, root: str) -> dict[int, list[int]]:
-    """The versions of each bucket, ascending."""
-    found: dict[int, list[int]] = {}
-    for version in _versions(spark, root):
-        for bucket in _numbers(spark, f"{root}/v={version}", "bucket"):
-            found.setdefault(bucket, []).append(version)
-    return found
+def _index(spark: SparkSession, root: str) -> dict[int, int]:
+    """The version of each bucket: a row a bucket, of which there is a fixed number."""
+    found = versions.read(spark, f"{root}/index")
+    return {} if found is None else {r.bucket: r.version for r in found.collect()}
 
 
 def newest(spark: SparkSession, root: str) -> DataFrame:
     """The session aggregates below root: the newest version of each bucket."""
-    paths = [f"{root}/v={versions[-1]}/bucket={b}" for b, versions in sorted(_buckets(spark, root).items())]
+    paths = [f"{root}/v={version}/bucket={b}" for b, version in sorted(_index(spark, root).items())]
     return spark.read.option("basePath", root).parquet(*paths).drop("v", "bucket")
 
 
@@ -114,8 +110,8 @@ def demo(spark: SparkSession, events: DataFrame, kind: str) -> DataFrame:
     events.repartition(4, "user_name").write.parquet(source)
     stream = replay(spark, source, events.schema.simpleString()[7:-1].replace(":", " "), 2)
     if kind == "windows":
-        run_to_table(windows(stream, 30, "100000 hours"), out, check)
-        return spark.read.parquet(out)
+        run_to_table(windows(stream, 30, "100000 hours"), out, check, ["user_name", "start"])
+        return versions.read(spark, out)
     if kind == "once":
         run_available(once(stream, ["user_name", "item"], "100000 hours").select("user_name", "item"), out, check)
         return spark.read.parquet(out)
