@@ -221,6 +221,34 @@ def attribute_tokens(attributes: Column) -> Column:
     return F.flatten(F.transform(ordered, lambda e: F.transform(e["value"], lambda x: F.lower(x))))
 
 
+def attribute_values(json: Column) -> Column:
+    """The values of a JSON object, strings and lists of strings, as one list in the object's order, their case kept; other
+    values, and what is no object, give none."""
+    entries = F.map_values(F.from_json(json, "map<string,string>"))
+    text = F.map_values(F.from_json(json, "map<string,variant>"))
+    value = lambda v, raw: (
+        F.when(F.schema_of_variant(v).startswith("ARRAY"), F.filter(F.from_json(raw, "array<string>"), lambda x: x.isNotNull()))
+        .when(F.schema_of_variant(v) == "STRING", F.array(raw))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return F.coalesce(F.flatten(F.zip_with(text, entries, value)), F.array().cast("array<string>"))
+
+
+def place(degrees: Column) -> Column:
+    """A latitude or longitude at two places, half-even."""
+    return F.bround(degrees, 2)
+
+
+def unit(value: Column) -> Column:
+    """A number clamped to 0..1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def utc_text(time: Column) -> Column:
+    """A time as YYYY-MM-DDTHH:MM:SSZ."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def merged_json(json: Column, more: Column) -> Column:
     """A flat JSON object with the entries of a map added; the map's win."""
     read = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
+from cadenza.session import broadcast_up_to
 
 
 def mappings(observations: DataFrame) -> DataFrame:
@@ -22,6 +23,14 @@ def classify(pairs: DataFrame) -> DataFrame:
     return pairs.join(many, "msid").withColumn("status", F.when(F.col("candidates") > 1, "conflict").otherwise("active"))
 
 
+def winners(pairs: DataFrame, items: DataFrame, least_shards: int = 2, least_share: float = 0.95) -> DataFrame:
+    """(msid, mbid, winner_count, total, candidates, winner_share) of the leading mbids that may be promoted and whose item
+    (key recording_mbid:<mbid>) exists. Where the leader has none, no other takes its place."""
+    found = dominant(pairs, least_shards, least_share).filter("promoted").drop("promoted")
+    targets = items.select("key").filter("key is not null")
+    return found.join(targets, F.concat(F.lit("recording_mbid:"), found["mbid"]) == targets["key"], "left_semi")
+
+
 def dominant(pairs: DataFrame, least_shards: int = 2, least_share: float = 0.95) -> DataFrame:
     """(msid, mbid, winner_count, total, candidates, winner_share, promoted): the leading mbid of each conflicting msid."""
     mine = Window.partitionBy("msid")
@@ -88,9 +97,13 @@ def isrc_aliases(codes: DataFrame, items: DataFrame, aliases: DataFrame) -> Data
     return by.join(known, "item", "left").join(have, "isrc", "left").select("isrc", outcome.alias("outcome"))
 
 
+#: Kinds of relations whose join is broadcast; more are joined by a shuffle.
+BROADCAST_KINDS = 100_000
+
+
 def url_evidence(urls: DataFrame, relations: DataFrame, links: DataFrame, kinds: DataFrame, recordings: DataFrame) -> DataFrame:
     """(mbid, url, url_md5, provider, link_type): recordings' urls through their relations, the smallest link type first."""
-    joined = relations.join(urls, "url_id").join(links, "link_id").join(F.broadcast(kinds), "type_id").join(recordings, "recording_id")
+    joined = relations.join(urls, "url_id").join(links, "link_id").join(broadcast_up_to(kinds, BROADCAST_KINDS), "type_id").join(recordings, "recording_id")
     first = Window.partitionBy("mbid", "url_md5").orderBy("type_id", "link_type")
     out = joined.withColumn("url_md5", F.md5("url")).withColumn("n", F.row_number().over(first)).filter("n = 1")
     return out.select("mbid", "url", "url_md5", X.ordered_match(F.col("url")).alias("provider"), "link_type")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
+from cadenza.session import materialize
 
 
 def top_by_attribute(rows: DataFrame, group: str, attribute: str, tie: str, k: int = 5) -> DataFrame:
@@ -65,6 +68,36 @@ def cells(points: DataFrame, degrees: float) -> DataFrame:
     )
 
 
+def hexes(points: DataFrame, around: int) -> DataFrame:
+    """(row, col, n, weight, lat, lng): points summed in hexagons, `around` of them along a line of latitude, with mean places.
+
+    Latitude and longitude are the plane; hexagons stand on a corner. Axial coordinates are rounded as cube coordinates, and told as row and
+    column. Columns wrap around, so both sides of the 180th meridian meet, and all longitudes of a pole are one place.
+    """
+    size = 360 / (around * math.sqrt(3))
+    y = F.col("lat").cast("double")
+    x = F.when(F.abs(y) >= 90, F.lit(0.0)).otherwise(F.col("lng").cast("double"))
+    whole = lambda c: F.floor(c + 0.5)
+    at = points.withColumn("__q", (x * math.sqrt(3) / 3 - y / 3) / size).withColumn("__r", y * 2 / 3 / size)
+    at = at.withColumn("__a", whole(F.col("__q"))).withColumn("__b", whole(F.col("__r"))).withColumn("__c", whole(-F.col("__q") - F.col("__r")))
+    da, db, dc = F.abs(F.col("__a") - F.col("__q")), F.abs(F.col("__b") - F.col("__r")), F.abs(F.col("__c") + F.col("__q") + F.col("__r"))
+    a = F.when((da > db) & (da > dc), -F.col("__b") - F.col("__c")).otherwise(F.col("__a"))
+    b = F.when((da > db) & (da > dc), F.col("__b")).when(db > dc, -F.col("__a") - F.col("__c")).otherwise(F.col("__b"))
+    column = F.pmod(a + F.floor(b / 2), F.lit(around)).cast("bigint")
+    return at.groupBy(b.cast("bigint").alias("row"), column.alias("col")).agg(
+        F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lng"), 6).alias("lng")
+    )
+
+
+def fan_out(items: DataFrame, tracks: DataFrame, artists: DataFrame, genres: DataFrame) -> DataFrame:
+    """(item, album, artist, genre): a row for each artist of an item's album and each of their genres, null where there is none.
+
+    items (item, track), tracks (track, album), artists (album, artist), genres (artist, genre). An item whose track is not known has no row.
+    """
+    out = items.join(tracks, "track").join(artists, "album", "left").join(genres, "artist", "left")
+    return out.select("item", "album", "artist", "genre")
+
+
 def page(rows: DataFrame, order: str, number: int, size: int = 20) -> DataFrame:
     return rows.orderBy(order).offset(number * size).limit(size)
 
@@ -114,6 +147,20 @@ def pending_features(tracks: DataFrame, done: DataFrame, size: int = 50) -> Data
     return todo.select("artist", "track", F.floor((n - 1) / size).cast("bigint").alias("batch"))
 
 
+def pending_batches(tracks: DataFrame, done: DataFrame, size: int = 50) -> DataFrame:
+    """(track, batch): tracks without features, numbered over all artists in order of artist, album, number and track, in batches.
+
+    Rows are dealt into ranges of that order; each task numbers its own, and a row a range tells what lies before it.
+    """
+    order = ("artist", "album", "number", "track")
+    todo = tracks.join(done.select("track").distinct(), "track", "left_anti").select(*order)
+    placed = materialize(todo.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "pending")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")
+    return placed.join(F.broadcast(sums), "part").select("track", F.floor((n - 1) / size).cast("bigint").alias("batch"))
+
+
 def seeded_profiles(spark, n: int, cities: list[tuple[str, float]], seed: int = 7) -> DataFrame:
     """n synthetic profiles (id, city, weight): cities drawn by weight; the same seed gives the same rows."""
     total, upper, pick = sum(w for _, w in cities), 0.0, F.lit(cities[-1][0])

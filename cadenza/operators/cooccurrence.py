@@ -37,26 +37,36 @@ def basket_report(plays: DataFrame, least: int = 2, most: int | None = 20) -> Da
     return report.crossJoin(baskets(plays, least, most).agg(F.countDistinct("item").alias("items")))
 
 
-def pair_counts(basket_items: DataFrame) -> DataFrame:
-    """(item_a, item_b, co_count) for items that share a basket, the smaller first."""
-    a = basket_items.select("session_key", F.col("item").alias("item_a"))
+def pairs_of(first: DataFrame, basket_items: DataFrame) -> DataFrame:
+    """(item_a, item_b, co_count) for items that share a basket, the smaller one among `first`, which has rows of the baskets."""
+    a = first.select("session_key", F.col("item").alias("item_a"))
     b = basket_items.select("session_key", F.col("item").alias("item_b"))
     pairs = a.join(b, "session_key").filter("item_a < item_b")
     return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("co_count"))
 
 
+def pair_counts(basket_items: DataFrame) -> DataFrame:
+    """(item_a, item_b, co_count) for items that share a basket, the smaller first."""
+    return pairs_of(basket_items, basket_items)
+
+
+def scored(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
+    """(item_a, item_b, co_count, pmi): log2 of a pair's share over the product of its items' shares, from the items'
+    counts (item, n) and the one row (total) of the number of baskets."""
+    pairs = pairs.join(counts.select(F.col("item").alias("item_a"), F.col("n").alias("na")), "item_a")
+    pairs = pairs.join(counts.select(F.col("item").alias("item_b"), F.col("n").alias("nb")), "item_b")
+    value = F.log2(F.col("co_count") * F.col("total") / (F.col("na").cast("double") * F.col("nb")))
+    return pairs.crossJoin(F.broadcast(total)).select("item_a", "item_b", "co_count", F.round(value, 9).alias("pmi"))
+
+
 def pmi(basket_items: DataFrame) -> DataFrame:
-    """(item_a, item_b, co_count, pmi): log2 of the pair's share over the product of its items' shares.
+    """(item_a, item_b, co_count, pmi) of all pairs.
 
     Only the pair counts and the item counts are shuffled beyond the baskets; the number of baskets is one row.
     """
     counts = basket_items.groupBy("item").agg(F.count("*").alias("n"))
     total = basket_items.agg(F.countDistinct("session_key").cast("double").alias("total"))
-    pairs = pair_counts(basket_items)
-    pairs = pairs.join(counts.select(F.col("item").alias("item_a"), F.col("n").alias("na")), "item_a")
-    pairs = pairs.join(counts.select(F.col("item").alias("item_b"), F.col("n").alias("nb")), "item_b")
-    value = F.log2(F.col("co_count") * F.col("total") / (F.col("na").cast("double") * F.col("nb")))
-    return pairs.crossJoin(F.broadcast(total)).select("item_a", "item_b", "co_count", F.round(value, 9).alias("pmi"))
+    return scored(pair_counts(basket_items), counts, total)
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:

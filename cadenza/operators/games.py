@@ -26,13 +26,29 @@ def contained(guess: Column, answer: Column) -> Column:
     return F.coalesce((g != "") & (a != "") & (a.contains(g) | g.contains(a)), F.lit(False))
 
 
-def matched(rows: DataFrame, guess: str, answer: str) -> DataFrame:
-    """The rows with `correct`: the native tests decide first, only the rest is compared in Python."""
+def most_alike(a: Column, b: Column) -> Column:
+    """The most that gestalt_ratio can give: twice the number of characters that both have, by count, over both lengths."""
+    shared = F.aggregate(
+        F.array_distinct(F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0))),
+        F.lit(0),
+        lambda n, c: n + F.least(F.length(a) - F.length(F.replace(a, c, F.lit(""))), F.length(b) - F.length(F.replace(b, c, F.lit("")))),
+    )
+    return F.try_divide(2.0 * shared, F.length(a) + F.length(b))
+
+
+def undecided(rows: DataFrame, guess: str, answer: str) -> DataFrame:
+    """The rows with `native` (a match by equality or containment) and the normalised texts __g and __a of those that only
+    gestalt_ratio can decide: neither matched natively nor ruled out by most_alike()."""
     native = rows.withColumn("native", contained(F.col(guess), F.col(answer)))
-    fits = (F.coalesce(X.strip(F.col(guess)), F.lit("")) != "") & (F.coalesce(X.strip(F.col(answer)), F.lit("")) != "")
-    g = F.when(~F.col("native") & fits, F.lower(X.strip(F.col(guess))))
-    a = F.when(~F.col("native") & fits, F.lower(X.strip(F.col(answer))))
-    return native.withColumn("correct", F.col("native") | (gestalt_ratio(g, a) >= LEAST_RATIO)).drop("native")
+    g, a = F.lower(X.strip(F.col(guess))), F.lower(X.strip(F.col(answer)))
+    open_ = ~F.col("native") & F.coalesce(most_alike(g, a) >= LEAST_RATIO - 1e-9, F.lit(False))
+    return native.withColumn("__g", F.when(open_, g)).withColumn("__a", F.when(open_, a))
+
+
+def matched(rows: DataFrame, guess: str, answer: str) -> DataFrame:
+    """The rows with `correct`: native tests decide most rows either way, only the rest is compared in Python."""
+    found = undecided(rows, guess, answer)
+    return found.withColumn("correct", F.col("native") | (gestalt_ratio(F.col("__g"), F.col("__a")) >= LEAST_RATIO)).drop("native", "__g", "__a")
 
 
 def points(song: Column, artist: Column, trivia: Column) -> Column:

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions import exprs as X
+from cadenza.operators.vectors import nearest
 from cadenza.session import materialize
 
 
@@ -34,6 +34,8 @@ def cooccurrence(seeds: DataFrame, neighbours: DataFrame, exclude: DataFrame | N
     return ranked.select("request", "item", score.alias("score"), "co_count", "rank")
 
 
+#: Parts of a list of items that are cut to their first ones before they meet.
+PARTS = 64
 #: What a seed and an item may share, best first, and the score of it.
 TIERS = (("artist", 1.0), ("album", 0.8), ("genre", 0.5))
 
@@ -62,8 +64,10 @@ def metadata(seeds: DataFrame, features: DataFrame, k: int = 10, exclude: DataFr
         wanted = lists.join(skipped, ["request", column], "left").select("request", column, (F.coalesce("skipped", F.lit(0)) + k).alias("most"))
         wanted = materialize(wanted, "wanted")
         longest = wanted.agg(F.max("most")).first()[0] or 0
-        order = Window.partitionBy(column).orderBy("item")
-        first = have.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= longest)
+        # Two levels, so that no task sorts a whole list: the first `longest` of each part hold the first of the list.
+        order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("item"))
+        parts = have.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))).withColumn("at", order(column, "part")).filter(F.col("at") <= longest)
+        first = parts.drop("part").withColumn("at", order(column)).filter(F.col("at") <= longest)
         new = wanted.join(first, column).filter("at <= most").select("request", "item").distinct().withColumn("score", F.lit(score))
         new = new.join(barred, ["request", "item"], "left_anti")
         new = new if found is None else found.select("request", "item", "score").unionAll(new).groupBy("request", "item").agg(F.max("score").alias("score"))
@@ -71,20 +75,9 @@ def metadata(seeds: DataFrame, features: DataFrame, k: int = 10, exclude: DataFr
     return found
 
 
-def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 64) -> DataFrame:
-    """(request, item, likeness, rank) by clipped, rounded cosine; a zero vector is like nothing.
-
-    Queries travel in `block` blocks, so every vector row meets a block and not a query at a time.
-    """
-    norm = F.sqrt(X.dot(F.col("vector"), F.col("vector")))
-    have = vectors.select("item", "vector", norm.alias("norm")).filter("norm > 0")
-    asked = queries.select(F.col("item").alias("request"), F.col("vector").alias("q"), F.sqrt(X.dot(F.col("vector"), F.col("vector"))).alias("qn"))
-    blocks = asked.filter("qn > 0").groupBy(F.pmod(F.xxhash64("request"), F.lit(block)).alias("block")).agg(
-        F.collect_list(F.struct("request", "q", "qn")).alias("queries")
-    )
-    pairs = have.join(blocks).select("item", "vector", "norm", F.explode("queries").alias("a")).filter("a.request <> item")
-    scored = pairs.select(F.col("a.request").alias("request"), "item", X.likeness(F.col("vector"), F.col("a.q"), F.col("norm"), F.col("a.qn")).alias("likeness"))
-    return top_k(scored.filter("likeness is not null"), k, score="likeness")
+def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(request, item, likeness, rank) by clipped, rounded cosine; a zero vector is like nothing. See vectors.nearest()."""
+    return nearest(queries, vectors, k)[0]
 
 
 def without_names(found: DataFrame, names: DataFrame) -> DataFrame:

@@ -118,6 +118,11 @@ def dominant_mappings(spark, d):
     return B.dominant(B.mappings(frame(spark, d, "observations")), 2, 0.5)
 
 
+def resolved_conflicts(spark, d):
+    items = run(spark, d, "SELECT DISTINCT 'recording_mbid:' || o_orderpriority AS key FROM {orders} WHERE o_orderpriority NOT LIKE '3%'")
+    return B.winners(B.mappings(frame(spark, d, "observations")), items, 2, 0.4)
+
+
 def observation_report(spark, d):
     return B.observation_report(frame(spark, d, "observations"))
 
@@ -192,7 +197,7 @@ def first_events(spark, d):
 QUERIES = {f.__name__: f for f in (
     canonical_identities, alias_keys, provider_ids, safe_uuids, canonical_upsert, alias_conflicts, self_aliases, redirect_upsert,
     redirect_retirement, redirect_chains, expanded_seeds, redirected_plays, resolved_requests, first_plays, key_page, identity_mappings,
-    dominant_mappings, observation_report, clean_isrcs, isrc_report, unambiguous_isrcs, isrc_aliases, url_evidence, graph_expansion,
+    dominant_mappings, resolved_conflicts, observation_report, clean_isrcs, isrc_report, unambiguous_isrcs, isrc_aliases, url_evidence, graph_expansion,
     parsed_listens, listen_counters, hashed_listens, resumed_listens, session_items, merged_session_items, first_events,
 )}
 
@@ -268,6 +273,9 @@ ORACLE_SQL = {
     "identity_mappings": oracle(f"SELECT * FROM (WITH {_MAPS} SELECT *, CASE WHEN candidates > 1 THEN 'conflict' ELSE 'active' END AS status FROM classed)", "observations"),
     "dominant_mappings": oracle(f"""SELECT * FROM (WITH {_MAPS}, r AS (SELECT msid, mbid, shards AS winner_count, CAST(sum(shards) OVER (PARTITION BY msid) AS BIGINT) AS total, candidates, row_number() OVER (PARTITION BY msid ORDER BY shards DESC, mbid) AS n FROM classed)
         SELECT msid, mbid, winner_count, total, candidates, round(winner_count / CAST(total AS DOUBLE), 9) AS winner_share, winner_count >= 2 AND winner_count / CAST(total AS DOUBLE) >= 0.5::DOUBLE AS promoted FROM r WHERE n = 1 AND candidates > 1)""", "observations"),
+    "resolved_conflicts": oracle(f"""SELECT * FROM (WITH {_MAPS}, r AS (SELECT msid, mbid, shards AS winner_count, CAST(sum(shards) OVER (PARTITION BY msid) AS BIGINT) AS total, candidates, row_number() OVER (PARTITION BY msid ORDER BY shards DESC, mbid) AS n FROM classed)
+        SELECT msid, mbid, winner_count, total, candidates, round(winner_count / CAST(total AS DOUBLE), 9) AS winner_share FROM r
+        WHERE n = 1 AND candidates > 1 AND winner_count >= 2 AND winner_count / CAST(total AS DOUBLE) >= 0.4::DOUBLE AND mbid IN (SELECT o_orderpriority FROM orders WHERE o_orderpriority NOT LIKE '3%'))""", "observations"),
     "observation_report": oracle(f"""SELECT * FROM (WITH {_MAPS} SELECT (SELECT count(*) FROM observations) AS rows, (SELECT count(*) FROM observations) AS mapped, (SELECT count(*) FROM (SELECT DISTINCT shard, msid, mbid FROM observations)) AS shard_pairs,
         count(*) AS pairs, count(DISTINCT msid) AS msids, count(DISTINCT msid) FILTER (WHERE candidates > 1) AS conflicting FROM classed)""", "observations"),
     "clean_isrcs": oracle(f"SELECT * FROM (WITH {_CLEAN} SELECT * FROM clean)", "isrcs"),

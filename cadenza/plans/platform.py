@@ -13,6 +13,7 @@ from cadenza.session import new_path
 from cadenza.sources import archives as A
 from cadenza.sources import packed as P
 from cadenza.sources import sinks as K
+from cadenza.streaming import heartbeats as H
 from cadenza.streaming import listens as L
 
 POINTS = "SELECT c_custkey AS id, CAST(c_custkey % 180 AS DOUBLE) - 90.0 AS lat, CAST((c_custkey * 7) % 360 AS DOUBLE) - 180.0 AS lng, greatest(0.0, least(1.0, c_acctbal / 10000.0)) AS weight FROM {customer}"
@@ -57,6 +58,47 @@ def map_cells(spark, d):
     return C.cells(run(spark, d, POINTS), 15.0)
 
 
+def map_hexes(spark, d):
+    return C.hexes(run(spark, d, POINTS), 24)
+
+
+def catalog_features(spark, d):
+    items = run(spark, d, "SELECT p_partkey * 2 AS item, p_partkey AS track FROM {part}")
+    tracks = run(spark, d, "SELECT p_partkey AS track, p_brand AS album FROM {part} WHERE p_size % 7 <> 0")
+    artists = run(spark, d, "SELECT DISTINCT p_brand AS album, p_size AS artist FROM {part} WHERE p_size < 9 AND p_brand NOT LIKE '%2'")
+    genres = run(spark, d, "SELECT DISTINCT p_size AS artist, p_type AS genre FROM {part} WHERE p_size % 2 = 0 AND p_size < 9")
+    return C.fan_out(items, tracks, artists, genres)
+
+
+def pending_batches(spark, d):
+    tracks = run(spark, d, "SELECT l_suppkey AS artist, l_orderkey AS album, l_linenumber AS number, l_orderkey * 10 + l_linenumber AS track FROM {lineitem}")
+    return C.pending_batches(tracks, run(spark, d, "SELECT l_orderkey * 10 + l_linenumber AS track FROM {lineitem} WHERE l_partkey % 2 = 0"))
+
+
+def stream_stale_runs(spark, d):
+    rows = run(spark, d, "SELECT o_orderkey AS run, CASE WHEN o_custkey % 2 = 0 THEN 'running' ELSE 'completed' END AS status, CAST(o_orderkey AS BIGINT) AS heartbeat FROM {orders}")
+    return H.demo(spark, rows, 3000, 1800)
+
+
+def conditional_upsert(spark, d):
+    path = new_path(spark, "merged")
+    run(spark, d, "SELECT o_orderkey AS id, o_custkey AS v, o_orderpriority AS part FROM {orders} WHERE o_orderkey % 3 <> 0").write.partitionBy("part").parquet(path)
+    new = run(spark, d, "SELECT o_orderkey AS id, CAST(700 AS BIGINT) AS v, o_orderpriority AS part FROM {orders} WHERE o_orderkey % 2 = 0 AND o_orderpriority < '4'")
+    changed = K.merge(spark, path, new, ["id"], "part", F.col("new_v") > F.col("old_v"))
+    after = spark.read.parquet(path).select("id", "v", "part", F.lit("table").alias("action"))
+    return after.unionByName(changed.select("id", "v", "part", "action"))
+
+
+def attribute_values(spark, d):
+    rows = run(spark, d, "SELECT p_partkey AS id, p_brand, p_name, p_size FROM {part}")
+    json = F.to_json(F.struct(F.col("p_brand").alias("z"), F.split("p_name", " ").alias("b"), F.col("p_size").alias("n")))
+    return rows.select("id", F.array_join(X.attribute_values(json), "|").alias("tokens"))
+
+
+def release_times(spark, d):
+    return A.releases(run(spark, d, NAMES)).select("name", X.utc_text(F.col("released")).alias("released"), F.unix_seconds("released").alias("epoch"))
+
+
 def second_page(spark, d):
     return C.page(run(spark, d, "SELECT p_partkey, p_name FROM {part}"), "p_partkey", 1)
 
@@ -120,7 +162,7 @@ def normalized_lists(spark, d):
 
 def rounded_places(spark, d):
     rows = run(spark, d, "SELECT c_custkey AS id, c_acctbal AS v FROM {customer}")
-    return rows.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 1000)).alias("clout"), F.bround(F.col("id") / 8.0, 2).alias("lat"))
+    return rows.select("id", X.unit(F.col("v") / 1000).alias("clout"), X.place(F.col("id") / 8.0).alias("lat"))
 
 
 def round_scores(spark, d):
@@ -336,6 +378,7 @@ QUERIES = {f.__name__: f for f in (
     capacity_append, online_users, genre_sync, featured_genres, pending_features, seeded_profiles, partial_dates, slugs, token_vectors, normalized_lists, rounded_places,
     round_scores, leaderboard, fuzzy_matches, contained_matches, hydration_seeds, claimed_items, hydration_outcomes, retry_times, run_progress, run_eta, partition_states,
     shard_reconciliation, shard_dispatch, shard_skips, version_backlog, latest_runs, stale_runs, alias_inventory, inventory_lines, evaluation_history, copy_dump,
+    map_hexes, catalog_features, pending_batches, stream_stale_runs, conditional_upsert, attribute_values, release_times,
     archive_lines, archive_members, shard_files, scheduled_shards, release_list, latest_releases, page_links, checksum_lines, unique_pairs, csv_round_trip, partition_rerun, table_upsert, table_swap, stream_windows, stream_once,
     stream_session_items,
 )}
@@ -403,6 +446,19 @@ ORACLE_SQL = {
     "evaluation_history": oracle("""SELECT label, dataset, max(value) FILTER (WHERE metric = 'recall') AS recall, max(value) FILTER (WHERE metric = 'ndcg') AS ndcg, max(value) FILTER (WHERE metric = 'coverage') AS coverage,
         max(value) FILTER (WHERE metric = 'cold') AS cold, max(created) AS created FROM metrics GROUP BY 1, 2""", "metrics"),
     "copy_dump": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 1 THEN 'a' || chr(92) || 'n' || p_brand ELSE 'b' || chr(9) || p_brand END AS name, p_type AS kind FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 3 <> 0",
+    "map_hexes": f"""WITH p AS (SELECT *, (CASE WHEN abs(lat) >= 90 THEN 0.0 ELSE lng END * sqrt(3.0::DOUBLE) / 3 - lat / 3) / s AS q, lat * 2 / 3 / s AS r FROM ({plain(POINTS)}), (SELECT 360 / (24 * sqrt(3.0::DOUBLE)) AS s)),
+        c AS (SELECT *, floor(q + 0.5) AS a, floor(r + 0.5) AS b, floor(-q - r + 0.5) AS c FROM p), e AS (SELECT *, abs(a - q) AS da, abs(b - r) AS db, abs(c + q + r) AS dc FROM c),
+        h AS (SELECT *, CASE WHEN da > db AND da > dc THEN -b - c ELSE a END AS ha, CASE WHEN da > db AND da > dc THEN b WHEN db > dc THEN -a - c ELSE b END AS hb FROM e)
+        SELECT CAST(hb AS BIGINT) AS "row", CAST(((ha + floor(hb / 2)) % 24 + 24) % 24 AS BIGINT) AS col, count(*) AS n, round(sum(weight), 6) AS weight, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM h GROUP BY 1, 2""",
+    "catalog_features": """SELECT p.p_partkey * 2 AS item, p.p_brand AS album, artist, genre FROM part p LEFT JOIN (SELECT DISTINCT p_brand AS album, p_size AS artist FROM part WHERE p_size < 9 AND p_brand NOT LIKE '%2') a ON a.album = p.p_brand
+        LEFT JOIN (SELECT DISTINCT p_size AS g_artist, p_type AS genre FROM part WHERE p_size % 2 = 0 AND p_size < 9) g ON g_artist = artist WHERE p_size % 7 <> 0""",
+    "pending_batches": "SELECT l_orderkey * 10 + l_linenumber AS track, CAST((row_number() OVER (ORDER BY l_suppkey, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber) - 1) // 50 AS BIGINT) AS batch FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_partkey % 2 = 0 AND x.l_orderkey * 10 + x.l_linenumber = l.l_orderkey * 10 + l.l_linenumber)",
+    "stream_stale_runs": "SELECT o_orderkey AS run, CASE WHEN o_custkey % 2 <> 0 THEN 'completed' WHEN o_orderkey < 1200 THEN 'failed' ELSE 'running' END AS status FROM orders",
+    "conditional_upsert": """WITH o AS (SELECT o_orderkey AS id, o_custkey AS v, o_orderpriority AS part FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, o_orderpriority AS part FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority < '4'),
+        j AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.part, n.part) AS part, CASE WHEN n.id IS NOT NULL AND coalesce(700 > o.v, true) THEN 700 ELSE o.v END AS v, CASE WHEN n.id IS NULL OR 700 <= o.v THEN NULL WHEN o.id IS NULL THEN 'insert' ELSE 'update' END AS action FROM o FULL JOIN n ON n.id = o.id AND n.part = o.part)
+        SELECT id, v, part, 'table' AS action FROM j UNION ALL SELECT id, v, part, action FROM j WHERE action IS NOT NULL""",
+    "attribute_values": "SELECT p_partkey AS id, p_brand || '|' || replace(p_name, ' ', '|') AS tokens FROM part",
+    "release_times": f"WITH {_RELEASES} SELECT name, strftime(released, '%Y-%m-%dT%H:%M:%SZ') AS released, CAST(epoch(released) AS BIGINT) AS epoch FROM rel",
     "archive_lines": f"SELECT archive, member, row_number() OVER (PARTITION BY archive, member ORDER BY event_id) AS line, value FROM ({plain(MEMBERS)})",
     "archive_members": f"SELECT regexp_extract(archive || '.tar!' || member, '[^/]*/[^/]*/[^/]*/[^/]*$') AS origin, CAST(sum(length(value) + 1) AS BIGINT) AS bytes, sha256(string_agg(value || chr(10), '' ORDER BY event_id)) AS sha256 FROM ({plain(MEMBERS)}) GROUP BY archive, member",
     "shard_files": f"""SELECT row_number() OVER (ORDER BY member) - 1 AS number, member AS member_name, CAST(split_part(member, '/', 3) AS INT) AS year, CAST(regexp_extract(member, '(\\d+)[.]', 1) AS INT) AS month, size_bytes, sha256

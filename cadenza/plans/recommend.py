@@ -8,8 +8,9 @@ from cadenza.operators import cooccurrence as C
 from cadenza.operators import evaluation as E
 from cadenza.operators import gates as G
 from cadenza.operators import rankers as R
+from cadenza.operators import training as T
 from cadenza.plans.shared import frame, oracle, run
-from cadenza.session import materialize
+from cadenza.session import materialize, new_path
 
 # --- SQL that several oracles share ---------------------------------------------------------------------------------
 BUCKET = "CAST(('0x' || substr(sha256(CAST(session_key AS VARCHAR)), 1, 16))::UBIGINT % 10 AS INT)"
@@ -48,6 +49,18 @@ def pmi_pairs(spark, d):
     return C.pmi(C.baskets(frame(spark, d, "plays")))
 
 
+def bucketed_pmi(spark, d):
+    root, baskets = new_path(spark, "training"), C.baskets(frame(spark, d, "plays"))
+    T.train(baskets, root, buckets=8, at_once=2, most=4)  # a run that ends early, and one that goes on
+    T.train(baskets, root, buckets=8, at_once=4)
+    return T.pairs(spark, root)
+
+
+def evaluated_baskets(spark, d):
+    pairs = materialize(C.pmi(_train(spark, d)), "pmi")
+    return E.evaluate(_test(spark, d), run(spark, d, "SELECT p_partkey AS item FROM {part}"), neighbours=C.neighbours(pairs))
+
+
 def pmi_train_pairs(spark, d):
     return C.pmi(_train(spark, d))
 
@@ -164,7 +177,7 @@ def corpus_promotable(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pmi_pairs, pmi_train_pairs, basket_report, split_report, item_counts, neighbour_lists, dataset_hash, bucket_ledger, loo_trials,
+    pmi_pairs, pmi_train_pairs, bucketed_pmi, evaluated_baskets, basket_report, split_report, item_counts, neighbour_lists, dataset_hash, bucket_ledger, loo_trials,
     rank_cooccurrence, loo_report, rank_metadata, similar_vectors, basket_sample, list_metrics, promotion_gates, latest_metrics,
     latest_shared_dataset, promotion_states, readiness, policy_decisions, policy_eligible, corpus_promotable,
 )}
@@ -188,6 +201,7 @@ _GATE = """cur AS (SELECT label, dataset, metric, arg_max(value, created) AS val
 _ALL = "g1 AND g2 AND g3 AND g4 AS promoted FROM both_"
 
 ORACLE_SQL = {
+    "bucketed_pmi": oracle(f"SELECT * FROM (WITH {_baskets()}, {PAIRS} SELECT * FROM scored)", "plays"),
     "pmi_pairs": oracle(f"SELECT * FROM (WITH {_baskets()}, {PAIRS} SELECT * FROM scored)", "plays"),
     "pmi_train_pairs": oracle(f"SELECT * FROM (WITH {_baskets('train')}, {PAIRS} SELECT * FROM scored)", "plays"),
     "basket_report": oracle(_REPORT.format(w="true", extra=""), "plays"),
@@ -241,3 +255,4 @@ ORACLE_SQL = {
     "corpus_promotable": oracle(f"""SELECT *, not_approved = 0 AND research_only = 0 AS promotable FROM (SELECT count(*) AS rows, count(*) FILTER (WHERE NOT coalesce(license IN ('cc0', 'cc-by') AND {_P}, false)) AS not_approved,
         count(*) FILTER (WHERE envs = 'research') AS research_only FROM manifest)""", "manifest"),
 }
+ORACLE_SQL["evaluated_baskets"] = ORACLE_SQL["loo_report"]

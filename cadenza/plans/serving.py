@@ -12,7 +12,8 @@ from cadenza.operators import orchestration as O
 from cadenza.operators import rankers as R
 from cadenza.plans.recommend import PAIRS, _baskets
 from cadenza.plans.shared import INPUTS, frame, plain, run
-from cadenza.session import materialize
+from cadenza.session import materialize, new_path
+from cadenza.sources import served as V
 
 MANIFEST = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'musicbrainz' WHEN 1 THEN 'listenbrainz' WHEN 2 THEN source END AS source,
     CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '' ELSE 'cc0' END AS license,
@@ -98,6 +99,12 @@ def served_cooccurrence(spark, d):
     return _served(spark, d, lambda seeds, gone: R.cooccurrence(seeds, near, gone))
 
 
+def stored_cooccurrence(spark, d):
+    root = new_path(spark, "neighbours")
+    V.write(C.neighbours(materialize(C.pmi(C.baskets(frame(spark, d, "plays"))), "pmi")), root, "v1")
+    return _served(spark, d, lambda seeds, gone: R.cooccurrence(seeds, V.matching(spark, root, seeds), gone))
+
+
 def served_metadata(spark, d):
     features = frame(spark, d, "features")
     return _served(spark, d, lambda seeds, gone: R.metadata(seeds, features, exclude=gone))
@@ -105,7 +112,7 @@ def served_metadata(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     source_policy_decisions, source_policy_eligible, dataset_progress, phase_progress, resumed_types, labelled_metrics, matched_tracks, track_assignments,
-    key_suffixes, served_cooccurrence, served_metadata,
+    key_suffixes, served_cooccurrence, stored_cooccurrence, served_metadata,
 )}
 
 
@@ -154,3 +161,4 @@ ORACLE_SQL = {
         best AS (SELECT request, item, max(score) AS score FROM hits h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.request = h.request AND g.item = h.item) GROUP BY 1, 2),
         ranked AS (SELECT request, item, score, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS INT) AS rank FROM best QUALIFY rank <= 10) {_TOP}""",
 }
+ORACLE_SQL["stored_cooccurrence"] = ORACLE_SQL["served_cooccurrence"]
