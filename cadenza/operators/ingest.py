@@ -17,7 +17,9 @@ _LISTEN = (
     "release_name:string,recording_msid:string,mbid_mapping:struct<recording_mbid:string,release_mbid:string,artist_mbids:array<string>>,"
     f"additional_info:{_INFO}>"
 )
-LINE = f"struct<{_LISTEN},payload:struct<user_name:string,listens:array<struct<{_LISTEN}>>>>"
+#: Where from_json puts a line that is no JSON, or that does not fit.
+CORRUPT = "__corrupt"
+LINE = f"struct<{_LISTEN},{CORRUPT}:string,payload:struct<user_name:string,listens:array<struct<{_LISTEN}>>>>"
 
 
 def flatten(lines: DataFrame) -> DataFrame:
@@ -27,8 +29,11 @@ def flatten(lines: DataFrame) -> DataFrame:
     the user. What is not an object is a malformed row.
     """
     text = X.strip(F.col("value"))
-    ok = text.startswith("{") & F.try_parse_json(text).isNotNull()
-    read = lines.filter(text != "").select("origin", "line", F.when(ok, F.from_json("value", LINE)).alias("r"))
+    parsed = F.when(text.startswith("{"), F.from_json("value", LINE, {"columnNameOfCorruptRecord": CORRUPT}))
+    read = lines.filter(text != "").select("origin", "line", "value", parsed.alias("r"))
+    # A line is parsed once; only one that does not fit is parsed again, to tell whether it is JSON at all.
+    ok = F.col("r").isNotNull() & (F.col(f"r.{CORRUPT}").isNull() | F.try_parse_json("value").isNotNull())
+    read = read.select("origin", "line", F.when(ok, F.col("r")).alias("r"))
     single = F.struct(*[F.col(f"r.{c}") for c in ("user_name", "user_id", "listened_at", "timestamp", "track_metadata")])
     user = F.coalesce(X.non_empty(F.col("r.user_name")), X.non_empty(F.col("r.payload.user_name")))
     inner = F.transform("r.payload.listens", lambda x: F.when(x.isNotNull(), x.withField("user_name", F.coalesce(X.non_empty(x["user_name"]), user))))
