@@ -53,8 +53,10 @@ def report(found: DataFrame, ranked: DataFrame, basket_items: DataFrame, catalog
 def evaluate(basket_items: DataFrame, catalog: DataFrame, ranker: str = "cooccurrence", k: int = 10, **inputs) -> DataFrame:
     """Leave-one-out report of a registered ranker."""
     found = trials(basket_items)
-    seeds = found.select("request", F.explode("seeds").alias("item"))
-    ranked = rankers.RANKERS[ranker](seeds, k=k, **inputs)
+    if ranker == "cooccurrence" and "exclude" not in inputs:
+        ranked = rankers.leave_one_out(basket_items, k=k, **inputs)
+    else:
+        ranked = rankers.RANKERS[ranker](found.select("request", F.explode("seeds").alias("item")), k=k, **inputs)
     return report(found, ranked, basket_items, catalog, k)
 
 

@@ -34,6 +34,38 @@ def cooccurrence(seeds: DataFrame, neighbours: DataFrame, exclude: DataFrame | N
     return ranked.select("request", "item", score.alias("score"), "co_count", "rank")
 
 
+def leave_one_out(basket_items: DataFrame, neighbours: DataFrame, k: int = 10) -> DataFrame:
+    """What cooccurrence() finds for the trials of evaluation.trials(): (request, item, score, co_count, rank).
+
+    The trials of a basket share all seeds but one, so neighbours are summed once a basket. An item that only one of the basket's items
+    has for a neighbour scores the same in all other trials, and of these only the k best of each seed can be among a trial's k best;
+    where several have it, the held-out one's part is taken off. Baskets are dealt out once, with their hits.
+    """
+    units = F.round(F.col("pmi") * 1e9).cast("bigint").alias("units")
+    whole = basket_items.select("session_key", "item").distinct()
+    sizes = whole.groupBy("session_key").agg(F.collect_list("item").alias("basket")).filter(F.size("basket") >= 2)
+    near = neighbours.select(F.col("item").alias("seed"), F.col("neighbour").alias("item"), units, "co_count")
+    hits = whole.withColumnRenamed("item", "seed").join(near, "seed").repartition("session_key")
+    summed = hits.groupBy("session_key", "item").agg(
+        F.sum("units").alias("exact"), F.sum("co_count").alias("co_count"), F.count("*").alias("n"), F.min("seed").alias("only")
+    ).join(sizes, "session_key")
+    own = F.array_contains("basket", F.col("item"))
+    row = ("session_key", "held", "item", "exact", "co_count")
+    mine = summed.filter(own).withColumn("held", F.col("item")).select(*row)
+    best = Window.partitionBy("session_key", "only").orderBy(F.desc("exact"), "item")
+    single = summed.filter(~own & (F.col("n") == 1)).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k)
+    single = single.withColumn("held", F.explode("basket")).filter("held <> only").select(*row)
+    part = hits.select("session_key", F.col("seed").alias("held"), "item", F.col("units").alias("less"), F.col("co_count").alias("fewer"))
+    several = summed.filter(~own & (F.col("n") > 1)).withColumn("held", F.explode("basket")).join(part, ["session_key", "held", "item"], "left")
+    several = several.select("session_key", "held", "item", *((F.col(a) - F.coalesce(b, F.lit(0))).alias(a) for a, b in (("exact", "less"), ("co_count", "fewer"))))
+    found = mine.unionByName(single).unionByName(several)
+    request = F.concat_ws("-", F.col("session_key").cast("string"), F.col("held").cast("string"))
+    order = Window.partitionBy("session_key", "held").orderBy(F.desc("exact"), "item")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    score = F.round(F.col("exact").cast("decimal(20,0)") * F.lit(Decimal("1e-9")), 6).cast("double")
+    return ranked.select(request.alias("request"), "item", score.alias("score"), "co_count", "rank")
+
+
 #: Parts of a list of items that are cut to their first ones before they meet.
 PARTS = 64
 #: What a seed and an item may share, best first, and the score of it.

@@ -99,9 +99,8 @@ def loo_trials(spark, d):
 def _loo(spark, d):
     test = _test(spark, d)
     found = E.trials(test)
-    seeds = found.select("request", F.explode("seeds").alias("item"))
     pairs = materialize(C.pmi(_train(spark, d)), "pmi")
-    return test, found, materialize(R.cooccurrence(seeds, C.neighbours(pairs)), "ranked")
+    return test, found, materialize(R.leave_one_out(test, C.neighbours(pairs)), "ranked")
 
 
 def rank_cooccurrence(spark, d):
