@@ -14,11 +14,14 @@ from cadenza.session import materialize
 BROADCAST_RULES = 100_000
 #: The prefix form of rel that the SQL knows; CANONICAL takes the word anywhere in the value.
 LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-CANONICAL = (
-    r"""(?is)<link\b[^>]*[\s"'/]rel\s*=\s*"""
-    r"""(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>"""
-)
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: What a reader of the page does not follow.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
+#: The rest of a tag; a > within quotes does not end it.
+_TAG = r"""\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+LINKS, METAS, BASES = (rf"(?is)<{name}{_TAG}" for name in ("link", "meta", "base"))
+CANONICAL = r"""(?is)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+REFRESHES = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b"""
+HREF = r"""(?is)[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
 
@@ -41,10 +44,12 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """Equal for urls that differ in the case of scheme and host or in the fragment; null where there is no host."""
+    """Equal for urls that differ in the case of scheme and host, in the scheme's own port or in the fragment; null where
+    there is no host."""
     scheme = _lower(F.substring_index(url, "://", 1))
+    host = F.regexp_replace(host_of(url), F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise(":$"), F.lit(""))
     rest = F.regexp_extract(_rest(url), r"\A[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host, F.when(rest == "", "/").otherwise(rest)))
 
 
 def _without_dots(path: Column) -> Column:
@@ -61,9 +66,14 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
 
 
-def _targets(tags: Column, pattern: str, url: Column) -> Column:
-    """The absolute urls that tags point at, read from the url of their page; null for other schemes and no target."""
-    found = F.transform(tags, lambda t: F.replace(F.regexp_extract(t, pattern, 1), F.lit("&amp;"), F.lit("&")))
+def _attribute(tag: Column, pattern: str, groups: int) -> Column:
+    """The value of a tag's attribute, whichever quotes it has, without blanks around it and with ampersands read."""
+    value = F.concat(*[F.regexp_extract(tag, pattern, k + 1) for k in range(groups)])
+    return F.trim(F.replace(F.regexp_replace(value, r"[\t\n\r\f]", " "), F.lit("&amp;"), F.lit("&")))
+
+
+def _targets(found: Column, url: Column) -> Column:
+    """The absolute urls of an array of targets, read from the url of their page or base; null for other schemes and no target."""
     scheme = F.substring_index(url, "://", 1)
     site, folder = F.concat(scheme, F.lit("://"), host_of(url)), F.regexp_extract(path_of(url), r"(?s)\A.*/", 0)
 
@@ -83,12 +93,18 @@ def _targets(tags: Column, pattern: str, url: Column) -> Column:
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) of the canonical links and immediate redirects that pages declare."""
-    url, html = F.col(url_col), F.col(html_col)
-    canonical = _targets(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), HREF, url)
-    refresh = _targets(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), REFRESH_URL, url)
-    found = pages.filter(html.rlike("(?i)canonical|refresh"))
-    found = found.select(url.alias("source"), F.explode(F.concat(canonical, refresh)).alias("target"))
+    """(source, target) of the canonical links and immediate redirects that pages declare, outside comments and scripts.
+
+    Targets are read from the page's first base, or its url. A page of any length is searched as one value; null html has none."""
+    html = F.col(html_col)
+    found = pages.filter(html.rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("source"), F.regexp_replace(html, UNSEEN, " ").alias("html"))
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    href = lambda t: _attribute(t, HREF, 3)
+    bases = F.filter(F.transform(tags(BASES), href), lambda t: t != "")
+    found = found.withColumn("base", F.coalesce(F.get(_targets(F.slice(bases, 1, 1), F.col("source")), F.lit(0)), "source"))
+    canonical = F.transform(F.filter(tags(LINKS), lambda t: t.rlike(CANONICAL)), href)
+    refresh = F.transform(F.filter(tags(METAS), lambda t: t.rlike(REFRESHES)), lambda t: _attribute(t, REFRESH_URL, 1))
+    found = found.select("source", F.explode(_targets(F.concat(canonical, refresh), F.col("base"))).alias("target"))
     return found.filter("target is not null and source is not null")
 
 
@@ -144,8 +160,9 @@ def judge(
         edges = edges if edges.limit(1).count() else None
     places = judged.select("host", "path")
     if edges is not None:
-        ends = edges.select(F.col("source").alias("url"), F.col("a").alias("node")).unionAll(edges.select("target", "b"))
-        ends = ends.select("node", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
+        # A node is judged as its key is written, so without a scheme's own port, whichever of its spellings a page has.
+        ends = edges.select(F.col("a").alias("node")).unionAll(edges.select("b"))
+        ends = ends.distinct().select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
         places = places.unionAll(ends.select("host", "path"))
     decided = materialize(_decided(places, rules), "decided")
     judged = judged.join(decided, ["host", "path"], "left")
