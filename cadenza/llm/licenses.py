@@ -120,10 +120,54 @@ TEMPLATES = {
     ),
     "proprietary": (
         "All rights reserved.",
+        "Copyright (c) by the authors. All rights reserved.",
         "Copyright 2024 Example Inc. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),
 }
+# Identifiers of each family in licence expressions.
+IDENTIFIERS = {
+    "mit": ("MIT",),
+    "apache": ("Apache-2.0",),
+    "gpl": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv2", "GPLv3"),
+    "agpl": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPLv3"),
+    "lgpl": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPLv2", "LGPLv3"),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause"),
+    "isc": ("ISC",),
+    "boost": ("BSL-1.0",),
+    "epl": ("EPL-1.0", "EPL-2.0"),
+    "unlicense": ("Unlicense",),
+    "mpl": ("MPL-1.1", "MPL-2.0"),
+    "cc-by-nc": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"),
+    "cc-by-sa": ("CC-BY-SA-4.0",),
+    "cc-by": ("CC-BY-4.0",),
+    "cc0": ("CC0-1.0",),
+}
+# Words that name a family. A notice that has such words in its template needs them in the text.
+NAMES = {
+    "mit": ("mit",),
+    "apache": ("apache",),
+    "gpl": ("gnu general public", "gpl", "gplv2", "gplv3"),
+    "agpl": ("affero general public", "agpl", "agplv3"),
+    "lgpl": ("lesser general public", "lgpl", "lgplv2", "lgplv3"),
+    "bsd": ("bsd",),
+    "isc": ("isc",),
+    "boost": ("boost software", "bsl"),
+    "epl": ("eclipse public", "epl"),
+    "unlicense": ("unlicense",),
+    "mpl": ("mozilla public", "mpl"),
+    "cc-by-nc": ("by nc", "attribution noncommercial"),
+    "cc-by-sa": ("by sa", "attribution sharealike"),
+    "cc-by": ("cc by", "commons attribution"),
+    "cc0": ("cc0", "commons zero"),
+    "proprietary": ("rights reserved",),
+}
+#: What may not follow a name of this family, as it would be another's.
+NOT_AFTER = {"cc-by": ("nc", "sa", "noncommercial", "sharealike")}
+for _family, _ids in IDENTIFIERS.items():  # notices that are made of identifiers; a single word says nothing alone
+    for _id in _ids:
+        _more = (f"Licensed under {_id}", f"Released under {_id}", f"SPDX-License-Identifier: {_id}", f"License: {_id}", *((_id,) if re.search("[0-9]", _id) else ()))
+        TEMPLATES[_family] = tuple(dict.fromkeys([*TEMPLATES[_family], *_more]))
 FAMILIES = tuple(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 FEATURES = 1 << 16
@@ -135,6 +179,14 @@ VARIANTS, STEPS, RATE, DECAY = 24, 300, 4.0, 1e-4
 FALSE_SHARE, CONFIRM = 0.001, 0.6
 #: Word pairs that must be shared; a line or template with fewer is confirmed only by the same words in the same order.
 LEAST_PAIRS = 3
+#: Words around a name that a stretch may have more than its template, words between copyright and "all rights reserved", and
+#: bytes of a sentence that is compared as a whole.
+SLACK, HOLDER, SHORT_BYTES = 3, 14, 80
+#: What every notice has at least: a word of a name, an identifier or a licence's text.
+_HINT = re.compile(
+    rb"licen[sc]e|rights reserved|copyright|permission|redistribut|warrant|unencumbered|public domain|free software|obligation"
+    rb"|\b(?:a?gpl\w*|lgpl\w*|apache|cc0|cc[ -]by|bsd|mpl|epl|bsl|unlicense|gnu)\b|\b(?:mit|isc)\s+(?:or|and|with)\s"
+)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -261,47 +313,141 @@ def confirmed(line: bytes, family: int, templates: list[list[tuple[list[bytes],
     return False
 
 
-def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of all paragraphs (runs up to a line feed), and each row's first one (n + 1 values)."""
-    ends = np.union1d(np.flatnonzero(buf == 10) + 1, offsets)
-    return ends, np.searchsorted(ends, offsets)
+class Notices:
+    """Templates as words, where they have a family's name or else words that few texts have, and what each name begins with."""
+
+    def __init__(self):
+        split = lambda t: _WORD.findall(_plain(np.frombuffer(t.encode(), np.uint8)).tobytes())
+        self.names = {f: [tuple(n.encode().split()) for n in names] for f, names in NAMES.items()}
+        self.known = _known()
+        #: By first word: (family, the other words of the name or anchor, of template words and pairs those that have it, with its place in them).
+        self.starts: dict[bytes, list] = {}
+        self.short: dict[tuple, set[int]] = {}
+        for k, family in enumerate(FAMILIES):
+            anchored: dict[tuple, list] = {}
+            for text in TEMPLATES[family]:
+                words = split(text)
+                pairs = _pairs(words)
+                if len(pairs) < LEAST_PAIRS:
+                    self.short.setdefault(tuple(words), set()).add(k)
+                    continue
+                found = {(n, at) for n in self.names[family] for at in range(len(words)) if tuple(words[at : at + len(n)]) == n}
+                # A text of a licence that does not name it is looked for at each pair of longer words.
+                found = found or {((a, b), at) for at, (a, b) in enumerate(zip(words[:-1], words[1:], strict=True)) if min(len(a), len(b)) >= 5}
+                for anchor, at in found:
+                    anchored.setdefault(anchor, []).append((words, pairs, at))
+            for anchor, uses in anchored.items():
+                self.starts.setdefault(anchor[0], []).append((k, anchor, uses))
+        ids = {i.lower(): k for k, f in enumerate(FAMILIES) for i in IDENTIFIERS.get(f, ())}
+        self.ids = {i.encode(): k for i, k in ids.items()}
+        one = "(?:" + "|".join(re.escape(i) for i in sorted(ids, key=len, reverse=True)) + ")"
+        link = r"\s+(?:or|and|with)\s+"
+        self.expression = re.compile(rf"^\W*(?:spdx-license-identifier\s*:|licen[cs]e\s*:)?\s*\(*{one}\)*(?:{link}\(*{one}\)*)+\W*$".encode())
+        self.id = re.compile(rf"(?<![\w.-]){one}(?![\w-])".encode())
+
+    def candidates(self, words: list[bytes], used: set[bytes]):
+        """(family, first word, end) of the stretches of a paragraph in which enough of a template's word pairs are."""
+        for i, word in enumerate(words):
+            if word not in used:
+                continue
+            for k, anchor, uses in self.starts[word]:
+                if tuple(words[i : i + len(anchor)]) != anchor or words[i + len(anchor) : i + len(anchor) + 1] and words[i + len(anchor)].decode("latin1") in NOT_AFTER.get(FAMILIES[k], ()):
+                    continue
+                for theirs, pairs, at in uses:
+                    first, end = max(0, i - at - SLACK), min(len(words), i - at + len(theirs) + SLACK)
+                    here = [p for p in zip(words[first : end - 1], words[first + 1 : end], strict=True)]
+                    hit = [j for j, p in enumerate(here) if p in pairs]
+                    if len({here[j] for j in hit}) >= max(CONFIRM * len(pairs), LEAST_PAIRS):
+                        yield k, first + hit[0], first + hit[-1] + 2
+                        break
+        for i in range(len(words) - 2):
+            if words[i : i + 3] == [b"all", b"rights", b"reserved"] and b"copyright" in words[max(0, i - HOLDER) : i]:
+                yield FAMILIES.index("proprietary"), i, i + 3
+
+
+def _blocks(text: bytes) -> Iterator[tuple[int, int]]:
+    """Begin and end of the paragraphs: lines between blank ones."""
+    at = 0
+    for gap in re.finditer(rb"\n[ \t\r]*\n", text):
+        if gap.start() > at:
+            yield at, gap.start()
+        at = gap.end()
+    if at < len(text):
+        yield at, len(text)
+
+
+def notices(text: bytes, model: dict, known: Notices) -> list[tuple[int, int, int]]:
+    """(family, start, end) of the notices of a text, given lower-cased; ends are those of the lines that they lie in.
+
+    A stretch counts if a template confirms it and the classifier finds the same family in it. Sentences and lines of few words are
+    compared as wholes; identifiers in a licence expression are each read as if alone; a licence that an "or" or "and" joins to a
+    found one needs its short name only.
+    """
+    found: set[tuple[int, int, int]] = set()
+    begins = lambda at: text.rfind(b"\n", 0, at) + 1
+    ends = lambda at: len(text) if (n := text.find(b"\n", at)) < 0 else n
+
+    def agreed(phrases: list[bytes], families: list[int]) -> list[bool]:
+        p = _softmax(_sums(model["weights"], *_features(*_bytes([x.decode("utf-8", "replace") for x in phrases]))))
+        return [1 - q[UNKNOWN] >= model["limit"] and int(q[:UNKNOWN].argmax()) == k for q, k in zip(p, families, strict=True)]
+
+    guesses: dict[tuple[int, int, int], bytes] = {}
+    for s, e in _blocks(text):
+        part = text[s:e]
+        if not _HINT.search(part):
+            continue
+        spans = [(m.start() + s, m.end() + s) for m in _WORD.finditer(part)]
+        words = [text[a:b] for a, b in spans]
+        used = known.starts.keys() & set(words)
+        stretches = list(known.candidates(words, used)) if used else []
+        for k, first, end in stretches:
+            guesses[k, spans[first][0], spans[end - 1][1]] = b" ".join(words[first:end])
+        for piece in re.finditer(rb"[^\n]+", part):
+            line, at = piece.group(), piece.start() + s
+            if known.expression.match(line):
+                for m in known.id.finditer(line):
+                    guesses[known.ids[m.group()], at, at + len(line)] = b"spdx license identifier " + m.group()
+            for x in re.finditer(rb"(?:[^.;!?]|[.;!?](?=\S))+", line):
+                if 0 < len(x.group()) <= SHORT_BYTES:
+                    for k in known.short.get(tuple(_WORD.findall(x.group())), ()):
+                        guesses[k, at + x.start(), at + x.end()] = x.group()
+        for k, first, end in stretches:  # "… or <short name>" beside a stretch, on either side
+            for size in (2, 3, 4):
+                for a, b, near in ((end, end + SLACK + size, words[end : end + SLACK + size]), (first - SLACK - size, first, words[max(0, first - SLACK - size) : first])):
+                    for j in range(len(near) - size + 1):
+                        joined = b"or" in near or b"and" in near
+                        for other in known.short.get(tuple(near[j : j + size]), ()) if joined else ():
+                            start = max(a, 0) + j
+                            if other != k and FAMILIES[other] != "proprietary":
+                                guesses[other, spans[start][0], spans[start + size - 1][1]] = b" ".join(near[j : j + size])
+    if guesses:
+        for (k, a, b), good in zip(guesses, agreed(list(guesses.values()), [g[0] for g in guesses]), strict=True):
+            if good:
+                found.add((k, begins(a), ends(b)))
+    return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The licence families that each text's paragraphs declare: (id_col, licenses, n_paragraphs, spans), one row for each
+    """The licence families that each text's notices declare: (id_col, licenses, n_paragraphs, spans), one row for each
     input row.
 
-    A paragraph is a line. Its family is the classifier's likeliest where the probability of a family reaches the
-    calibrated limit and a template of that family confirms it; all others are of the unknown class. licenses lists the families in name order
-    (null if none), n_paragraphs counts the confirmed ones, spans lists family:start:end in UTF-8 bytes. Null and
-    empty texts have none; a null id stays null; repeated rows are scanned each; other columns are ignored. An empty
-    table trains without corpus negatives and returns nothing.
+    See notices() for what counts as one. licenses lists the families in name order (null if none), n_paragraphs counts
+    the lines or runs of lines that hold a family's notice, spans lists family:start:end in UTF-8 bytes of these. Null and
+    empty texts have none; a text of any length is read whole, paragraph by paragraph; a null id stays null; repeated rows are scanned
+    each; other columns are ignored. An empty table trains without corpus negatives and returns nothing.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        weights, limit = sent.value["weights"], sent.value["limit"]
-        templates = _known()
+        model, known = sent.value, Notices()
         for part in kernels.slices(batches, "__text"):
             buf, offsets = kernels.flatten(kernels.column(part, "__text"))
-            low = _plain(buf)
-            ends, first = _lines(low, offsets)
-            features, at = _features(low, ends)
-            p = _softmax(_sums(weights, features, at))
-            best = p[:, :UNKNOWN].argmax(1)
-            found: dict[int, list[tuple[int, int, int]]] = {}
-            for k in np.flatnonzero((np.diff(at) > 0) & (1 - p[:, UNKNOWN] >= limit)):
-                s, e = int(ends[k]), int(ends[k + 1])
-                e -= int(low[e - 1] == 10)
-                if confirmed(low[s:e].tobytes(), int(best[k]), templates):
-                    row = int(np.searchsorted(first, k, "right")) - 1
-                    found.setdefault(row, []).append((int(best[k]), s - int(offsets[row]), e - int(offsets[row])))
-            rows = []
-            for row in range(part.num_rows):
-                hits = found.get(row, [])
+            low, rows = _plain(buf).tobytes(), []
+            for s, e in zip(offsets[:-1], offsets[1:], strict=True):
+                hits = notices(low[s:e], model, known) if _HINT.search(low, s, e) else []
                 names = ",".join(sorted({FAMILIES[f] for f, _, _ in hits})) or None
-                rows.append((names, len(hits), ",".join(f"{FAMILIES[f]}:{s}:{e}" for f, s, e in hits)))
+                rows.append((names, len(hits), ",".join(f"{FAMILIES[f]}:{a}:{b}" for f, a, b in hits)))
             columns = zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [kernels.column(part, "__id"), *(pa.array(c, t) for c, t in columns)], names=[id_col, "licenses", "n_paragraphs", "spans"]
