@@ -17,6 +17,8 @@ DISCOUNT = 0.75
 #: Models whose tables have at most so many rows in each order are broadcast as sorted arrays (8 bytes a gram and 4 for
 #: each language); larger ones stay tables and are joined with the texts' grams, for the same results.
 MODEL_GRAMS = 1 << 20
+#: Cells of a table, one for each gram and language, that are held at most, 4 bytes each; with more the model is joined too.
+MODEL_CELLS = 1 << 23
 #: Different grams of a language that a counting task holds before it passes them on.
 HELD_GRAMS = 1 << 20
 #: Languages a model may have; more is an error.
@@ -339,7 +341,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ample = [r[0] for r in sizes.limit(MAX_LANGUAGES + 1).collect()]
     aside = F.col("__lang").isin(ample) & _set_aside(F.col("__id")) if ample else F.lit(False)
     langs, tables = train(docs.filter(F.col("__train") & ~F.coalesce(aside, F.lit(False))))
-    large = langs and any(t.limit(MODEL_GRAMS + 1).count() > MODEL_GRAMS for both in tables.values() for t in both)
+    most = min(MODEL_GRAMS, MODEL_CELLS // max(1, len(langs)))
+    large = langs and any(t.limit(most + 1).count() > most for both in tables.values() for t in both)
     found = materialize(_predicted_by_join(docs, langs, tables) if large else _predicted(docs, _arrays(langs, tables)), "predicted")
     judged = aside | ~F.col("pred").isin(ample) if ample else F.lit(True)
     right = found.filter("__train and pred = __lang").filter(judged).groupBy("pred").agg(
