@@ -27,8 +27,10 @@ from cadenza.session import materialize
 #: Ids hashed together by the rolling hash, and bounds of a chunk; the mean lies a little over 2 ** CUT_BITS.
 ROLL, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
 END_ID = 0
-#: Encoded pieces, and chunks, that a worker remembers before it forgets all.
-REMEMBER = 400_000
+#: Chunks, and encoded pieces (about 100 bytes each), that a worker remembers before it forgets all.
+REMEMBER, REMEMBER_PIECES = 400_000, 1_000_000
+#: Bytes of text that a task encodes at once; more of them share the search for known pieces.
+SLICE_BYTES = 1 << 20
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     tools = _tools(path)
     known = tools[3]
     cut = bpe.Pieces(tools[1], texts)
-    if len(known.hashes) > REMEMBER:
+    if len(known.hashes) > REMEMBER_PIECES:
         known.clear()
     starts = cut.starts[cut.places]
     lengths = cut.stops[cut.places] - starts
@@ -237,7 +239,7 @@ def _rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set[bytes] = set()
         kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
-        for part in kernels.slices(batches, "__text"):
+        for part in kernels.slices(batches, "__text", SLICE_BYTES):
             if len(seen) > REMEMBER:
                 seen.clear()
             texts = [t or "" for t in kernels.column(part, "__text").to_pylist()]
