@@ -9,6 +9,8 @@ from cadenza.operators import bridge as B
 from cadenza.operators import identity as I
 from cadenza.operators import ingest as N
 from cadenza.plans.shared import frame, oracle, plain, run
+from cadenza.session import new_path
+from cadenza.streaming import positions as T
 
 # The stand-ins of several queries; both engines read them alike.
 OLD_REDIRECTS = "SELECT from_id, to_id, status FROM redirects WHERE from_id % 2 = 0"
@@ -165,6 +167,15 @@ def listen_counters(spark, d):
     return N.counters(N.parse(N.flatten(_lines(spark, d))))
 
 
+def stream_counters(spark, d):
+    source, out, check = (new_path(spark, f"lines-{x}") for x in ("in", "out", "check"))
+    rows = _lines(spark, d)
+    for k in range(2):  # the second run goes on after the position of the first
+        rows.filter(F.col("line") % 2 == k).select("value").write.text(f"{source}/run={k}")
+        T.ingest_listens(spark, source, out, check, suffixes=(".txt",))
+    return T.totals(spark, out).drop("position")
+
+
 def hashed_listens(spark, d):
     out = N.hashed(N.parse(N.flatten(_lines(spark, d))), "salt")
     return out.select("origin", "line", "entry", "session_key", "signature", I.canonical_key(F.col("identity")).alias("key"), X.partition_label(F.col("signature"), 128).alias("part"))
@@ -198,7 +209,7 @@ QUERIES = {f.__name__: f for f in (
     canonical_identities, alias_keys, provider_ids, safe_uuids, canonical_upsert, alias_conflicts, self_aliases, redirect_upsert,
     redirect_retirement, redirect_chains, expanded_seeds, redirected_plays, resolved_requests, first_plays, key_page, identity_mappings,
     dominant_mappings, resolved_conflicts, observation_report, clean_isrcs, isrc_report, unambiguous_isrcs, isrc_aliases, url_evidence, graph_expansion,
-    parsed_listens, listen_counters, hashed_listens, resumed_listens, session_items, merged_session_items, first_events,
+    parsed_listens, listen_counters, stream_counters, hashed_listens, resumed_listens, session_items, merged_session_items, first_events,
 )}
 
 
@@ -304,3 +315,4 @@ ORACLE_SQL = {
     "merged_session_items": oracle(_SESSIONS, "listens"),
     "first_events": oracle("SELECT sha256(concat_ws(chr(31), lower(user_name), lower(item))) AS signature, min(event_id) AS ref, arg_min(CAST(floor(epoch(ts)) AS BIGINT), event_id) AS at FROM listens GROUP BY 1", "listens"),
 }
+ORACLE_SQL["stream_counters"] = ORACLE_SQL["listen_counters"]

@@ -50,8 +50,9 @@ def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def listed(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, size) of a file, of the files in a folder, or of those that a pattern names, in order, with these suffixes."""
+def listed(path: str, suffixes: tuple[str, ...], below: bool = False) -> list[tuple[str, int]]:
+    """(path, size) of a file, of the files in a folder (and those below it), or of those that a pattern names, in order, with these
+    suffixes."""
     fs, at = file_system(path)
     if any(c in at for c in "*?["):
         base = at[: min(at.find(c) for c in "*?[" if c in at)].rpartition("/")[0]
@@ -59,7 +60,7 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     else:
         found = [fs.get_file_info(at)]
         if found[0].type == pyarrow.fs.FileType.Directory:
-            found = fs.get_file_info(pyarrow.fs.FileSelector(at))
+            found = fs.get_file_info(pyarrow.fs.FileSelector(at, recursive=below))
     scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
     files = [(scheme + x.path, x.size) for x in found if x.type == pyarrow.fs.FileType.File and x.path.endswith(suffixes)]
     if not files:

@@ -44,7 +44,7 @@ class LineStreamReader(DataSourceStreamReader):
 
     def _files(self) -> list[tuple[str, int]]:
         try:
-            return packed.listed(self.path, self.suffixes)
+            return packed.listed(self.path, self.suffixes, below=True)
         except FileNotFoundError:
             return []
 
@@ -99,13 +99,21 @@ class LineStream(DataSource):
         return LineStreamReader(self.options)
 
 
-def lines(spark: SparkSession, path: str, range_bytes: int = packed.RANGE_BYTES) -> DataFrame:
-    """The stream of (origin, block, at, value) of the files at a path; at counts from 1 within a range."""
+def lines(spark: SparkSession, path: str, range_bytes: int = packed.RANGE_BYTES, suffixes: tuple[str, ...] = packed.LISTEN_SUFFIXES) -> DataFrame:
+    """The stream of (origin, block, at, value) of the files at and below a path; at counts from 1 within a range."""
     spark.dataSource.register(LineStream)
-    return spark.readStream.format("line_stream").option("range_bytes", str(range_bytes)).load(path)
-
-
-def ingest_listens(spark: SparkSession, path: str, root: str, checkpoint: str, start: tuple[str, int, int] | None = None, range_bytes: int = packed.RANGE_BYTES) -> None:
+    return spark.readStream.format("line_stream").options(range_bytes=str(range_bytes), suffixes=",".join(suffixes)).load(path)
+
+
+def ingest_listens(
+    spark: SparkSession,
+    path: str,
+    root: str,
+    checkpoint: str,
+    start: tuple[str, int, int] | None = None,
+    range_bytes: int = packed.RANGE_BYTES,
+    suffixes: tuple[str, ...] = packed.LISTEN_SUFFIXES,
+) -> None:
     """Parse the listens of all whole lines that have come since the last run, and stop.
 
     Each batch is one version below root: its parsed rows (origin, line, entry, …), and a state that carries the number of
@@ -113,7 +121,7 @@ def ingest_listens(spark: SparkSession, path: str, root: str, checkpoint: str, s
     line, entry). A batch that is run again after a failure replaces what it had written. start is a position of an earlier
     load, of which rows up to it are neither kept nor counted; a first batch without its file is an error.
     """
-    stream = lines(spark, path, range_bytes)
+    stream = lines(spark, path, range_bytes, suffixes)
     states, rows_at = f"{root}/state", f"{root}/rows"
 
     def take(batch: DataFrame, number: int) -> None:
