@@ -61,9 +61,14 @@ def expired(events: DataFrame, seconds: int = 1800, late: str = "0 seconds") ->
 
 def run_available(spark: SparkSession, source: str, out: str, checkpoint: str, seconds: int = 1800) -> None:
     """Process the events (run, status, heartbeat) that have come to a folder, and append the expired runs to out."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    stream = spark.readStream.schema("run long, status string, heartbeat long").option("maxFilesPerTrigger", 8).parquet(source)
-    expired(stream, seconds).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)  # timers need it; a stream keeps the provider that it began with
+    try:
+        stream = spark.readStream.schema("run long, status string, heartbeat long").option("maxFilesPerTrigger", 8).parquet(source)
+        expired(stream, seconds).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
 
 
 def demo(spark: SparkSession, events: DataFrame, now: int, seconds: int) -> DataFrame:

@@ -56,8 +56,9 @@ def upsert_session_items(stream: DataFrame, root: str, checkpoint: str, buckets:
     """Keep session aggregates with no bound on lateness: each batch is merged into the buckets of sessions that it touches.
 
     A batch writes its buckets as version v=<batch> below root, and other buckets stay as they are; an index tells each
-    bucket's version, so no folders are listed. A version that no bucket needs is removed a batch later at the earliest, so readers of the last index can finish. A
-    batch that is run again after a failure finds its own index there and does nothing. A root is to keep its number of buckets.
+    bucket's version, so no folders are listed. What a batch replaces is removed by the next one, so readers of the last index
+    can finish. A batch that is run again after a failure finds its own index there and does nothing. A root is to keep its
+    number of buckets.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -76,20 +77,36 @@ def upsert_session_items(stream: DataFrame, root: str, checkpoint: str, buckets:
         batch.unpersist()
         now = have | dict.fromkeys(touched, number)
         versions.write(spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1), f"{root}/index", number)
-        _retire(spark, root, set(have.values()) - set(now.values()))
+        _retire(spark, root, [(have[b], b) for b in touched & set(have)])
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _retire(spark: SparkSession, root: str, gone: set[int]) -> None:
-    """Remove the versions that no bucket needed after the batch before, and note those that none needs after this one."""
+def _retire(spark: SparkSession, root: str, gone: list[tuple[int, int]]) -> None:
+    """Remove the buckets' versions that nobody needed after the batch before, and note those (version, bucket) that nobody
+    needs after this one. A version's folder goes with its last bucket."""
     files, left = versions.file_system(spark, f"{root}/left")
     files.mkdirs(left)
     for old in files.listStatus(left):
-        files.delete(versions.file_system(spark, f"{root}/v={old.getPath().getName()}")[1], True)
+        version, bucket = old.getPath().getName().split("-")
+        folder = versions.file_system(spark, f"{root}/v={version}")[1]
+        files.delete(versions.file_system(spark, f"{root}/v={version}/bucket={bucket}")[1], True)
+        if files.exists(folder) and not any(f.isDirectory() for f in files.listStatus(folder)):
+            files.delete(folder, True)
         files.delete(old.getPath(), True)
-    for version in gone:
-        files.create(versions.file_system(spark, f"{root}/left/{version}")[1], True).close()
+    for version, bucket in gone:
+        files.create(versions.file_system(spark, f"{root}/left/{version}-{bucket}")[1], True).close()
+
+
+def _buckets(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """The versions of each bucket that are there, ascending; for inspection, as reading and merging go by the index."""
+    found: dict[int, list[int]] = {}
+    for version in versions.numbers(spark, root):
+        files, folder = versions.file_system(spark, f"{root}/v={version}")
+        for f in files.listStatus(folder):
+            if f.isDirectory():
+                found.setdefault(int(f.getPath().getName().split("=")[1]), []).append(version)
+    return found
 
 
 def _index(spark: SparkSession, root: str) -> dict[int, int]:
