@@ -220,8 +220,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     with_ids also ids and decoded.
 
     path is the tokenizer's JSON file, which every executor can read. A special token's string inside a text becomes
-    its id. Null texts count as empty: no ids. One row for each input row; a null id stays null; other columns are
-    ignored.
+    its id. Null texts count as empty: no ids. One row for each input row, repeated ones included; a null id stays null; other columns are
+    ignored. A text of any length is encoded whole, by one task with some ten 8-byte values a character. Ids must be numbers.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"

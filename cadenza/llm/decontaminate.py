@@ -95,6 +95,7 @@ def contaminated(
     has: the evidence, which is small where an item has few tokens ("Paris" is found in every text with the word), so that
     the caller can ask for more. Null texts and items without a token match
     nothing; an empty benchmark gives an empty result. Other columns are ignored; rows without an id are not reported.
+    A text of any length is searched whole, by one task that holds its tokens. Ids must be numbers.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("__text")).filter("key is not null")
     items = benchmark.select(F.col(item_col).alias("key"), tokens(F.col(item_text)).alias("words"))

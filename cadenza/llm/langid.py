@@ -329,6 +329,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     from the model (one in CALIBRATION, from languages of CALIBRATE_FROM training texts and more). A text of one letter has no gram of its own: all languages are equal, and the first in name order is
     named. A null text, one without a letter, or an empty training set gives lang_pred 'und', score 0 and rejected. A null id
     is not held out, nor trained on. Repeated rows count as often as they occur; other columns are ignored.
+    A text of any length is read whole, by one task with some ten 8-byte values a character. Ids must be numbers.
     """
     id_ = F.col(id_col).cast("long")
     docs = docs.select(

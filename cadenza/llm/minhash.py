@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     over links; kept marks the row that bears it. Text is lower-cased for A-Z; fewer than k words make one shingle; null
     or wordless text has none and is linked with nothing. Equal sets are one class and are never expanded into pairs.
     Repeated rows stay, in the component of their id. A null id is never kept, and may belong to its class's component.
-    Other columns are ignored.
+    Other columns are ignored. A text of any length is read whole, by one task with some ten 8-byte values a byte. Ids must be numbers.
 
     Candidates come from min-max bands that miss a pair at the threshold with probability 1e-6; every link is confirmed on
     the full sets. In a bucket all members are first compared with the one that meets the most others, then with the

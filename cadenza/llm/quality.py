@@ -127,6 +127,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     over all documents of that language. A Jensen-Shannon distance over the limit rejects, if the text is long enough
     for that histogram. Null or empty texts have no words and fail; without a language there is no reference (distances
     null) and the base rules decide. Repeated rows are judged alike; other columns are ignored.
+    A text of any length is judged whole, by one task that holds its words.
     """
     docs = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
     found = materialize(features(docs), "quality")

@@ -96,7 +96,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     (24 or more). More kinds: forge tokens whose embedded base-62 crc32 holds, slack tokens, pem private keys, jwt.
     spans lists kind:start:end in code points by start and then kind; base_sha256 is the hash of the base ones joined
     alike. Null and empty texts have no spans; a null id stays null; repeated rows are scanned each; other columns are
-    ignored.
+    ignored. A text of any length is scanned whole, by one task. Ids must be numbers.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
 
@@ -123,7 +123,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """The same rows with every secret in the text replaced by a mark; overlapping spans become one. Null stays null."""
+    """The same rows with every secret in the text replaced by a mark; overlapping spans become one. Null stays null,
+    an empty text empty; repeated rows are changed alike, and an empty table stays empty. A text of any length is scanned whole, by one task."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -271,7 +271,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
 
     Documents are in ascending id order, rows without an id first; rows that repeat an id follow each other, each with
     a recipe of its own. Null and empty texts hold the end id alone. A chunk that any documents share is stored once.
-    Other columns are ignored; an empty table writes an empty store.
+    Other columns are ignored; an empty table writes an empty store. A text of any length is encoded whole, by one task.
+    Ids must be numbers.
 
     Chunks and recipes leave the encoding tasks in one shuffle, so texts are encoded once and chunks move once.
     """
