@@ -77,7 +77,8 @@ def secret_scan(spark, docs, sf_dir):
 
 
 def byte_bpe(spark, docs, sf_dir):
-    """The token ids of every text that is left, row by row; a null or empty text has none."""
+    """The token ids of every text that is left, row by row, repeated ones too; a null or empty text has none, and an empty table
+    no rows. A text of any length is encoded whole."""
     found = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
