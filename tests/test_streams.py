@@ -99,3 +99,12 @@ def test_sessions_leave_no_empty_versions(spark, tmp_path):
     got = {r.session_key: r.plays for r in listens.newest(spark, root).collect()}
     assert got == {"s0": 3, "s1": 3}
     assert len(list((tmp_path / "root").glob("v=*"))) <= 4
+
+
+def test_heartbeats_at_and_before_1970_are_not_late(spark):
+    """A watermark begins at 0: a heartbeat of that second, or an earlier one, was dropped, and its run never failed."""
+    from cadenza.streaming import heartbeats
+
+    rows = [(-1, "running", -50), (0, "running", 0), (1, "running", 1199), (2, "running", 1200), (3, "completed", 0), (4, "running", 9000)]
+    got = heartbeats.demo(spark, spark.createDataFrame(rows, "run long, status string, heartbeat long"), 3000, 1800).collect()
+    assert {r["run"]: r["status"] for r in got} == {-1: "failed", 0: "failed", 1: "failed", 2: "running", 3: "completed", 4: "running"}
