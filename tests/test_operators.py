@@ -276,3 +276,12 @@ def test_metadata_fills_from_lower_tiers(spark):
         for n, i in enumerate(sorted((i for i in scores if scores[i]), key=lambda i: (-scores[i], i))[:5], 1):
             want[r, i] = (scores[i], n)
     assert got == want
+
+
+def test_token_vector_shares_its_hashes(spark):
+    """The hashes and the norm were part of every place's expression: 32 norms of 20 sums each a row."""
+    from cadenza.functions import exprs
+
+    df = spark.createDataFrame([(["a", "b"],), ([],)], "t array<string>").select(exprs.token_vector(F.col("t")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    assert [round(sum(x * x for x in r["v"]), 9) for r in df.collect()] == [1.0, 1.0]
