@@ -19,15 +19,25 @@ def top_by_attribute(rows: DataFrame, group: str, attribute: str, tie: str, k: i
 
 
 def related(members: DataFrame, node: str, group: str, k: int = 5) -> DataFrame:
-    """(node, other, rank): the k others that share most groups with each node, then by name.
+    """(node, other, shared, rank): the k others that share most groups with each node, then by name.
 
-    Counted pairwise within a group; groups are genres or albums, whose number of members the catalog bounds.
+    Nodes of the same groups are one class, and classes meet instead of nodes: whatever node asks, of a class only its first
+    k + 1 members can be among the k best, so the work grows with the nodes and with the pairs of classes that share a group.
     """
-    a = members.select(F.col(node).alias("node"), group).distinct()
-    b = members.select(F.col(node).alias("other"), group).distinct()
-    shared = a.join(b, group).filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("node").orderBy(F.col("shared").desc(), "other")
-    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    pairs = members.select(F.col(node).alias("node"), F.col(group).alias("group")).filter("node is not null and group is not null")
+    classed = materialize(pairs.groupBy("node").agg(F.array_sort(F.collect_set("group")).alias("class")), "classes")
+    by_name = Window.partitionBy("class").orderBy("other")
+    firsts = classed.select("class", F.col("node").alias("other")).withColumn("at", F.row_number().over(by_name)).filter(F.col("at") <= k + 1)
+    firsts = firsts.groupBy("class").agg(F.collect_list("other").alias("firsts"))
+    member = firsts.select("class", F.explode("class").alias("group"))
+    meet = member.join(member.withColumnRenamed("class", "near"), "group").groupBy("class", "near").agg(F.count("*").alias("shared"))
+    near = meet.join(firsts.withColumnRenamed("class", "near"), "near").select("class", "shared", F.explode("firsts").alias("other"))
+    best = Window.partitionBy("class").orderBy(F.col("shared").desc(), "other")
+    near = near.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
+    near = near.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "other", "shared"))).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x["other"] != F.col("node")), 1, k)
+    found = classed.join(near, "class").select("node", F.posexplode(others).alias("at", "found"))
+    return found.select("node", "found.other", "found.shared", (F.col("at") + 1).alias("rank"))
 
 
 def newest(rows: DataFrame, group: str, date: str, number: str, k: int = 5) -> DataFrame:

@@ -285,3 +285,24 @@ def test_token_vector_shares_its_hashes(spark):
     df = spark.createDataFrame([(["a", "b"],), ([],)], "t array<string>").select(exprs.token_vector(F.col("t")).alias("v"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
     assert [round(sum(x * x for x in r["v"]), 9) for r in df.collect()] == [1.0, 1.0]
+
+
+def test_related_compares_classes_of_equal_groups(spark):
+    """Nodes of the same groups met each other one by one; the result is that of all pairs."""
+    import random
+    from collections import Counter
+
+    from cadenza.operators import catalog
+
+    random.seed(5)
+    rows = [(n, g) for n in range(60) for g in random.sample(range(4), random.randint(1, 3))] + [(1, None), (None, 2)]
+    has = {n: {g for m, g in rows if m == n and g is not None} for n in range(60)}
+    want = []
+    for n in range(60):
+        shared = Counter({m: len(has[n] & has[m]) for m in range(60) if m != n and has[n] & has[m]})
+        want += [(n, m, s, at + 1) for at, (m, s) in enumerate(sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    members = spark.createDataFrame(rows, "node long, genre int")
+    assert sorted(map(tuple, catalog.related(members, "node", "genre").collect())) == sorted(want)
+    # 20,000 nodes of one group have 400 million pairs
+    many = catalog.related(spark.range(20_000).selectExpr("id AS node", "1 AS genre"), "node", "genre")
+    assert many.count() == 100_000
