@@ -306,3 +306,17 @@ def test_related_compares_classes_of_equal_groups(spark):
     # 20,000 nodes of one group have 400 million pairs
     many = catalog.related(spark.range(20_000).selectExpr("id AS node", "1 AS genre"), "node", "genre")
     assert many.count() == 100_000
+
+
+def test_metadata_looks_deeper_where_the_first_items_are_gone(spark):
+    """Lists are cut to a few more items than k; a request that has or excludes all of these goes on, and pairs of requests and
+    groups, which were made and shuffled before, are not needed."""
+    features = spark.range(400).selectExpr("id AS item", "'a' AS album", "CAST(id % 2 AS INT) AS artist", "CAST(NULL AS INT) AS genre")
+    seeds = spark.createDataFrame([("even", 0), ("far", 0), ("all", 1)], "request string, item long")
+    gone = spark.createDataFrame([("far", i) for i in range(0, 300, 2)] + [("all", i) for i in range(1, 400, 2)], "request string, item long")
+    got = {}
+    for r in sorted(rankers.metadata(seeds, features, 3, gone).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["request"], []).append((r["item"], r["score"]))
+    assert got == {"even": [(2, 1.0), (4, 1.0), (6, 1.0)], "far": [(300, 1.0), (302, 1.0), (304, 1.0)], "all": [(0, 0.8), (2, 0.8), (4, 0.8)]}
+    lists = rankers._first_items(seeds, features, "artist", 9)
+    assert {r["request"]: r["list"] for r in lists.collect()} == {"even": list(range(0, 18, 2)), "far": list(range(0, 18, 2)), "all": list(range(1, 19, 2))}
