@@ -102,11 +102,14 @@ BROADCAST_KINDS = 100_000
 
 
 def url_evidence(urls: DataFrame, relations: DataFrame, links: DataFrame, kinds: DataFrame, recordings: DataFrame) -> DataFrame:
-    """(mbid, url, url_md5, provider, link_type): recordings' urls through their relations, the smallest link type first."""
-    joined = relations.join(urls, "url_id").join(links, "link_id").join(broadcast_up_to(kinds, BROADCAST_KINDS), "type_id").join(recordings, "recording_id")
-    first = Window.partitionBy("mbid", "url_md5").orderBy("type_id", "link_type")
-    out = joined.withColumn("url_md5", F.md5("url")).withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return out.select("mbid", "url", "url_md5", X.ordered_match(F.col("url")).alias("provider"), "link_type")
+    """(mbid, url, url_md5, provider, link_type): recordings' urls through their relations, the smallest link type first.
+
+    Types are few and come to the relations; of these each pair of recording and url keeps its smallest before it is dealt out.
+    """
+    typed = broadcast_up_to(links.join(broadcast_up_to(kinds, BROADCAST_KINDS), "type_id"), BROADCAST_KINDS)
+    mine = relations.join(typed, "link_id").groupBy("recording_id", "url_id").agg(F.min(F.struct("type_id", "link_type")).alias("least"))
+    least = mine.join(urls, "url_id").join(recordings, "recording_id").groupBy("mbid", "url").agg(F.min("least").alias("least"))
+    return least.select("mbid", "url", F.md5("url").alias("url_md5"), X.ordered_match(F.col("url")).alias("provider"), "least.link_type")
 
 
 def expand_graph(pairs: DataFrame, items: DataFrame) -> DataFrame:

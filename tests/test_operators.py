@@ -320,3 +320,14 @@ def test_metadata_looks_deeper_where_the_first_items_are_gone(spark):
     assert got == {"even": [(2, 1.0), (4, 1.0), (6, 1.0)], "far": [(300, 1.0), (302, 1.0), (304, 1.0)], "all": [(0, 0.8), (2, 0.8), (4, 0.8)]}
     lists = rankers._first_items(seeds, features, "artist", 9)
     assert {r["request"]: r["list"] for r in lists.collect()} == {"even": list(range(0, 18, 2)), "far": list(range(0, 18, 2)), "all": list(range(1, 19, 2))}
+
+
+def test_url_evidence_reduces_relations_before_they_are_dealt_out(spark):
+    """Relations were dealt out by the few link types and ranked in a window; now each pair keeps its smallest type first."""
+    urls = spark.createDataFrame([(1, "https://youtu.be/a"), (2, "https://youtu.be/a"), (3, None)], "url_id long, url string")
+    relations = spark.createDataFrame([(7, 1, 10), (7, 1, 11), (7, 2, 12), (7, 3, 10), (8, 1, 99)], "recording_id long, url_id long, link_id long")
+    links = spark.createDataFrame([(10, 3), (11, 2), (12, 1)], "link_id long, type_id int")
+    kinds = spark.createDataFrame([(1, "one"), (2, "two"), (3, None)], "type_id int, link_type string")
+    found = bridge.url_evidence(urls, relations, links, kinds, spark.createDataFrame([(7, "m")], "recording_id long, mbid string"))
+    assert {(r.mbid, r.url, r.link_type) for r in found.collect()} == {("m", "https://youtu.be/a", "one"), ("m", None, None)}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
