@@ -331,3 +331,24 @@ def test_url_evidence_reduces_relations_before_they_are_dealt_out(spark):
     found = bridge.url_evidence(urls, relations, links, kinds, spark.createDataFrame([(7, "m")], "recording_id long, mbid string"))
     assert {(r.mbid, r.url, r.link_type) for r in found.collect()} == {("m", "https://youtu.be/a", "one"), ("m", None, None)}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cooccurrence_sums_where_the_neighbours_lie(spark, monkeypatch):
+    """With many blocks: the same as one sum over all hits, and the settings are as before. Hits were dealt out by request."""
+    from collections import Counter
+
+    monkeypatch.setattr(rankers, "HITS", 10, raising=True)
+    near = [(a, b, 1, float((a * b) % 7)) for a in range(12) for b in range(12) if a != b]
+    seeds, gone = [("r", 1), ("r", 2), ("q", 5)], {("r", 3), ("r", 1), ("r", 2), ("q", 5)}
+    sums = Counter()
+    for request, item in seeds:
+        for a, b, _, pmi in near:
+            if a == item and (request, b) not in gone:
+                sums[request, b] += pmi
+    want = {(q, i, s) for r in "rq" for (q, i), s in sorted((x for x in sums.items() if x[0][0] == r), key=lambda x: (-x[1], x[0][1]))[:4]}
+    keys = [rankers.ALL_KEYS, "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(key) for key in keys]
+    asked, barred = (spark.createDataFrame(rows, "request string, item long") for rows in (seeds, [("r", 3)]))
+    found = rankers.cooccurrence(asked, spark.createDataFrame(near, "item long, neighbour long, co_count long, pmi double"), barred, 4)
+    assert {(x.request, x.item, x.score) for x in found.collect()} == want
+    assert [spark.conf.get(key) for key in keys] == before
