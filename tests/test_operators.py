@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import tarfile
 import uuid
 from difflib import SequenceMatcher
@@ -352,3 +353,40 @@ def test_cooccurrence_sums_where_the_neighbours_lie(spark, monkeypatch):
     found = rankers.cooccurrence(asked, spark.createDataFrame(near, "item long, neighbour long, co_count long, pmi double"), barred, 4)
     assert {(x.request, x.item, x.score) for x in found.collect()} == want
     assert [spark.conf.get(key) for key in keys] == before
+
+
+def shuffled(spark, stages=()):
+    """Ids of the finished stages, and the rows that those not in `stages` have dealt out."""
+    jvm = spark._jvm
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    rows = {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+    return set(rows), sum(n for k, n in rows.items() if k not in stages)
+
+
+def test_leave_one_out_deals_out_lists_not_hits(spark, monkeypatch):
+    r = random.Random(8)
+    near = {(a, b): (r.choice([1, 2]), r.choice([-1.0, 0.5, 0.5, 2.25])) for a in range(60) for b in range(60) if r.random() < 0.8}  # self-pairs too
+    neighbours = spark.createDataFrame([(a, b, n, v) for (a, b), (n, v) in near.items()], "item long, neighbour long, co_count long, pmi double")
+    baskets = [(s, x) for s in range(80) for x in r.sample(range(63), r.randint(1, 6))]  # 60 to 62 have no neighbours
+    rows = spark.createDataFrame(baskets, "session_key long, item long")
+    want = []
+    for s in range(80):
+        basket = {x for t, x in baskets if t == s}
+        for held in basket if len(basket) > 1 else ():
+            sums = {}
+            for (a, b), (n, v) in near.items():
+                if a in basket - {held} and b not in basket - {held}:
+                    exact, count = sums.get(b, (0, 0))
+                    sums[b] = exact + v, count + n
+            best = sorted(sums, key=lambda x: (-sums[x][0], x))[:7]
+            want += [(f"{s}-{held}", x, sums[x][0], sums[x][1], k) for k, x in enumerate(best, 1)]
+    hits = sum((x, b) in near for _, x in baskets for b in range(60))
+    before = shuffled(spark)[0]
+    assert sorted(map(tuple, rankers.leave_one_out(rows, neighbours, 7).collect())) == sorted(want)
+    assert shuffled(spark, before)[1] < hits
+    monkeypatch.setattr(rankers, "COMPARED", 200)  # lists in pieces
+    monkeypatch.setattr(rankers, "DEALT", 2000)
+    assert sorted(map(tuple, rankers.leave_one_out(rows, neighbours, 7).collect())) == sorted(want)
+    words = rows.selectExpr("session_key", "concat('é', item) item"), neighbours.selectExpr("concat('é', item) item", "concat('é', neighbour) neighbour", "co_count", "pmi")
+    assert rankers.leave_one_out(*words, 7).count() == len(want)
+    assert rankers.leave_one_out(rows.limit(0), neighbours).count() == 0 == rankers.leave_one_out(rows, neighbours.limit(0)).count()
