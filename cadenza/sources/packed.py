@@ -33,6 +33,8 @@ PACKED = (".tar", ".tar.zst", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")
 RANGE_BYTES, CHUNK_BYTES = 128 << 20, 1 << 20
 #: A frame with more content is not unpacked as a whole; its archive is a stream.
 FRAME_BYTES = 64 << 20
+#: Bytes of lines that a task sorts when it packs them, and what a row takes besides its value.
+PART_BYTES, ROW_BYTES = 64 << 20, 64
 #: Ranges whose line counts are broadcast; more are joined by a shuffle.
 BROADCAST_RANGES = 1_000_000
 
@@ -347,15 +349,34 @@ def tar_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LIST
 def pack(lines: DataFrame, path: str) -> None:
     """Write rows (archive, member, line, value) as path/<archive>.tar: members by name, lines by number, each ended by a line feed.
 
-    A task streams an archive; the members' sizes, which their headers need, are summed before. An archive appears under its name
-    when it is whole, so a repeated task leaves the same file.
+    Ranges of about PART_BYTES are sorted and written as parts, one for each member in a range; then a task streams the parts of an archive into
+    it, and holds none of them. An archive appears under its name when it is whole, so a repeated task leaves the same file.
     """
-    size = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("archive", "member"))
-    rows = lines.select("archive", "member", "line", "value", size.alias("size")).repartition("archive").sortWithinPartitions("archive", "member", "line")
+    total = lines.agg(F.sum(F.octet_length("value") + ROW_BYTES)).first()[0] or 0
+    key = ("archive", "member", "line")
+    rows = lines.select(*key, "value").repartitionByRange(max(1, -(-total // PART_BYTES)), *key).sortWithinPartitions(*key)
     fs, root = file_system(path)
-    fs.create_dir(root, recursive=True)
+    parts = f"{root}/.parts.{uuid.uuid4().hex}"
+    fs.create_dir(parts, recursive=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(path)
+        made, out = [], None
+        for batch in batches:
+            for archive, member, task, value in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "task", "value")), strict=True):
+                if out is None or (archive, member) != (made[-1]["archive"], made[-1]["member"]):
+                    if out is not None:
+                        out.close()
+                    made.append({"archive": archive, "member": member, "task": task, "part": uuid.uuid4().hex, "bytes": 0})
+                    out = fs.open_output_stream(f"{parts}/{made[-1]['part']}")
+                data = value.encode() + b"\n"
+                out.write(data)
+                made[-1]["bytes"] += len(data)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist(made)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
         archive = member = out = None
         left, written = 0, 0
@@ -371,23 +392,30 @@ def pack(lines: DataFrame, path: str) -> None:
                     fs.move(temporary, f"{root}/{archive}.tar")
 
         for batch in batches:
-            for name, part, value, size in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "value", "size")), strict=True):
-                if (name, part) != (archive, member):
+            for name, inner, part, size in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "part", "size")), strict=True):
+                if (name, inner) != (archive, member):
                     end(name != archive)
                     if name != archive:
                         temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
                         out = fs.open_output_stream(temporary)
-                    info = tarfile.TarInfo(part)
+                    info = tarfile.TarInfo(inner)
                     info.size = left = size
                     out.write(info.tobuf())
-                    archive, member = name, part
-                data = value.encode() + b"\n"
-                out.write(data)
-                written += len(data)
+                    archive, member = name, inner
+                with fs.open_input_stream(f"{parts}/{part}") as file:
+                    while data := file.read(CHUNK_BYTES):
+                        out.write(data)
+                        written += len(data)
         end(True)
         yield pa.RecordBatch.from_pydict({"bytes": pa.array([written], pa.int64())})
 
-    rows.mapInArrow(run, "bytes long").agg(F.sum("bytes")).collect()
+    try:
+        pieces = rows.withColumn("task", F.spark_partition_id()).mapInArrow(write, "archive string, member string, task long, part string, bytes long")
+        pieces = materialize(pieces, "parts").withColumn("size", F.sum("bytes").over(Window.partitionBy("archive", "member")))
+        pieces = pieces.repartition("archive").sortWithinPartitions("archive", "member", "task")
+        pieces.mapInArrow(join, "bytes long").agg(F.sum("bytes")).collect()
+    finally:
+        fs.delete_dir(parts)
 
 
 @dataclass

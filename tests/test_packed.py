@@ -116,6 +116,21 @@ def test_pack(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.tar", "b.tar"]
 
 
+def test_pack_in_parts_that_many_tasks_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packed, "PART_BYTES", 3000)
+    made, materialize = [], packed.materialize
+    monkeypatch.setattr(packed, "materialize", lambda df, name: made.append(materialize(df, name)) or made[-1])
+    rows = [("a", f"m/{k % 3}.json", k, f"é{k}" * (k % 5)) for k in range(600)]
+    packed.pack(spark.createDataFrame(rows[::-1], "archive string, member string, line long, value string").repartition(3), str(tmp_path / "out"))
+    assert made[0].select("task").distinct().count() > 8
+    with tarfile.open(tmp_path / "out" / "a.tar") as archive:
+        got = [(m.name, archive.extractfile(m).read().decode()) for m in archive]
+    assert got == [(f"m/{j}.json", "".join(v + "\n" for _, _, k, v in rows if k % 3 == j)) for j in range(3)]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.tar"]
+    packed.pack(spark.createDataFrame([], "archive string, member string, line long, value string"), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_dispatch_of_a_prefix(spark):
     rows = [("r", k, "succeeded" if k == 1 else "pending", 1, 1) for k in range(1, 6)]
     shards = spark.createDataFrame(rows, "run string, key int, status string, session int, current int")
