@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
@@ -16,12 +16,27 @@ def split(plays: DataFrame, part: str, buckets: int = 10) -> DataFrame:
     return plays.filter(bucket == 0 if part == "test" else bucket != 0)
 
 
-def baskets(plays: DataFrame, least: int = 2, most: int | None = 20) -> DataFrame:
-    """(session_key, item) of the sessions whose number of distinct items lies within bounds."""
-    items = plays.select("session_key", "item").filter("session_key is not null and item is not null").distinct()
-    size = items.groupBy("session_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    size = size.filter(F.col("n") <= most) if most else size
-    return items.join(size.select("session_key"), "session_key", "left_semi")
+#: Plays of a task. Adaptive execution joins partitions by their compressed bytes, of which a play has few.
+PLAYS = 1_000_000
+
+
+def tasks(plays: DataFrame) -> int | None:
+    """How many tasks baskets() needs for as many plays; None where Spark's own number is enough."""
+    needed = -(-plays.count() // PLAYS)
+    return needed if needed > int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def baskets(plays: DataFrame, least: int = 2, most: int | None = 20, tasks: int | None = None) -> DataFrame:
+    """(session_key, item) of the sessions whose number of distinct items lies within bounds; `tasks` bounds what one of them holds."""
+    items = plays.select("session_key", "item").filter("session_key is not null and item is not null")
+    items = items.repartition(tasks, "session_key", "item").distinct().repartition(tasks, "session_key") if tasks else items.distinct()
+    sized = items.withColumn("n", F.count("*").over(Window.partitionBy("session_key"))).filter(F.col("n") >= least)
+    return (sized.filter(F.col("n") <= most) if most else sized).select("session_key", "item")
+
+
+def item_counts(basket_items: DataFrame) -> DataFrame:
+    """(item, n): how many baskets have the item."""
+    return basket_items.groupBy("item").agg(F.count("*").alias("n"))
 
 
 def basket_report(plays: DataFrame, least: int = 2, most: int | None = 20) -> DataFrame:
@@ -64,7 +79,7 @@ def pmi(basket_items: DataFrame) -> DataFrame:
 
     Only the pair counts and the item counts are shuffled beyond the baskets; the number of baskets is one row.
     """
-    counts = basket_items.groupBy("item").agg(F.count("*").alias("n"))
+    counts = item_counts(basket_items)
     total = basket_items.agg(F.countDistinct("session_key").cast("double").alias("total"))
     return scored(pair_counts(basket_items), counts, total)
 

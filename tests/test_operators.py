@@ -355,6 +355,17 @@ def test_cooccurrence_sums_where_the_neighbours_lie(spark, monkeypatch):
     assert [spark.conf.get(key) for key in keys] == before
 
 
+def test_baskets_have_as_many_tasks_as_their_plays_need(spark, monkeypatch):
+    plays = spark.range(900).selectExpr("id % 100 session_key", "if(id % 100 < 30, id % 7, id) item").unionAll(spark.sql("SELECT null, 1L UNION ALL SELECT 1L, null"))
+    assert cooccurrence.tasks(plays) is None
+    monkeypatch.setattr(cooccurrence, "PLAYS", 100)
+    assert cooccurrence.tasks(plays) == 10
+    for least, most in ((2, 8), (1, None)):
+        few, many = cooccurrence.baskets(plays, least, most), cooccurrence.baskets(plays, least, most, tasks=10)
+        assert many.rdd.getNumPartitions() == 10 and sorted(few.collect()) == sorted(many.collect()) != []
+    assert cooccurrence.item_counts(cooccurrence.baskets(plays, tasks=10)).count() == evaluation.frequencies(cooccurrence.baskets(plays)).count()
+
+
 def shuffled(spark, stages=()):
     """Ids of the finished stages, and the rows that those not in `stages` have dealt out."""
     jvm = spark._jvm
