@@ -1,6 +1,7 @@
 """Tables that are read, merged, swapped and trained in parts."""
 
 import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -210,3 +211,19 @@ def test_attribute_values_and_fingerprints(spark, tmp_path):
     data = random.Random(1).randbytes((1 << 20) + 500)
     (tmp_path / "f").write_bytes(data)
     assert sinks.file_fingerprint(str(tmp_path / "f"), "1") == sinks.fingerprint(data[: 1 << 20], data[-(1 << 20) :], len(data), "1")
+
+
+def test_blocks_in_splits_meet_all_requests(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(r.normal(size=(400, 4)).round(2))]
+    df = spark.createDataFrame(rows, "item long, vector array<double>")
+    want = sorted(map(tuple, vectors.nearest(df.filter("item % 5 = 0"), df, 6, cells=3)[0].collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "ASKED", 16)
+    monkeypatch.setattr(vectors, "SPLIT", 2)
+    found = vectors.nearest(df.filter("item % 5 = 0"), df, 6, cells=3)[0]
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 480
+    # Pairs of blocks and requests go on to their comparison without an exchange.
+    text = found._jdf.queryExecution().executedPlan().toString()
+    compared = text.partition("MapInArrow")[2]
+    assert re.search(r"(Exchange|Join)\b", compared)[1] == "Join"
