@@ -401,3 +401,37 @@ def test_leave_one_out_deals_out_lists_not_hits(spark, monkeypatch):
     words = rows.selectExpr("session_key", "concat('é', item) item"), neighbours.selectExpr("concat('é', item) item", "concat('é', neighbour) neighbour", "co_count", "pmi")
     assert rankers.leave_one_out(*words, 7).count() == len(want)
     assert rankers.leave_one_out(rows.limit(0), neighbours).count() == 0 == rankers.leave_one_out(rows, neighbours.limit(0)).count()
+
+
+def test_cooccurrence_deals_out_requests_by_blocks_of_neighbours(spark, monkeypatch):
+    """Seeds were dealt out to as many blocks as there were hits for, so what was dealt out went by the hits."""
+    r = random.Random(4)
+    near = {(a, b): (r.choice([1, 2]), r.choice([-1.0, 0.5, 0.5, 2.25])) for a in range(60) for b in range(60) if r.random() < 0.9}  # self-pairs too
+    seeds = [(q, x) for q in range(40) for x in r.sample(range(63), 30)] + [(40, 61), (41, 5), (41, 5)]  # 60 to 62 have no neighbours; one seed twice
+    gone = [(q, x) for q in range(43) for x in r.sample(range(63), 3)]
+    want = []
+    for q in range(42):
+        sums, own = {}, [x for t, x in seeds if t == q]
+        for x in own:
+            for b in range(60):
+                if (x, b) in near and b not in own and (q, b) not in gone:
+                    count, exact = sums.get(b, (0, 0))
+                    sums[b] = count + near[x, b][0], exact + near[x, b][1]
+        best = sorted(sums, key=lambda b: (-sums[b][1], b))[:5]
+        want += [(q, b, sums[b][1], sums[b][0], k) for k, b in enumerate(best, 1)]
+    neighbours = spark.createDataFrame([(a, b, n, v) for (a, b), (n, v) in near.items()], "item long, neighbour long, co_count long, pmi double")
+    asked, barred = (spark.createDataFrame(rows, "request long, item long") for rows in (seeds, gone))
+    hits = sum((x, b) in near for _, x in seeds for b in range(60))
+    monkeypatch.setattr(rankers, "HITS", hits // 30)
+    before = shuffled(spark)[0]
+    assert sorted(map(tuple, rankers.cooccurrence(asked, neighbours, barred, 5).collect())) == sorted(want)
+    assert shuffled(spark, before)[1] < hits / 4
+    monkeypatch.setattr(rankers, "NEAR", 300)  # about ten blocks, several tasks for each
+    monkeypatch.setattr(rankers, "ASKED", 500)
+    monkeypatch.setattr(rankers, "COMPARED", 100)
+    monkeypatch.setattr(rankers, "BROADCAST_ITEMS", 10)
+    assert sorted(map(tuple, rankers.cooccurrence(asked, neighbours, barred, 5).collect())) == sorted(want)
+    word = "concat('é', item) item"
+    words = asked.selectExpr("concat('r', request) request", word), neighbours.selectExpr(word, "concat('é', neighbour) neighbour", "co_count", "pmi"), barred.selectExpr("concat('r', request) request", word)
+    assert rankers.cooccurrence(*words, 60).count() == rankers.cooccurrence(asked, neighbours, barred, 60).count() > len(want)
+    assert rankers.cooccurrence(asked.limit(0), neighbours).count() == 0 == rankers.cooccurrence(asked, neighbours.limit(0)).count()
