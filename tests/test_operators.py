@@ -435,3 +435,18 @@ def test_cooccurrence_deals_out_requests_by_blocks_of_neighbours(spark, monkeypa
     words = asked.selectExpr("concat('r', request) request", word), neighbours.selectExpr(word, "concat('é', neighbour) neighbour", "co_count", "pmi"), barred.selectExpr("concat('r', request) request", word)
     assert rankers.cooccurrence(*words, 60).count() == rankers.cooccurrence(asked, neighbours, barred, 60).count() > len(want)
     assert rankers.cooccurrence(asked.limit(0), neighbours).count() == 0 == rankers.cooccurrence(asked, neighbours.limit(0)).count()
+
+
+def test_cooccurrence_over_a_stored_table_deals_out_less_than_its_hits(spark, tmp_path, monkeypatch):
+    from cadenza.sources import served
+
+    rows = spark.range(2500).selectExpr("id % 50 item", "id div 50 neighbour", "1L co_count", "double(id % 7) pmi").filter("item <> neighbour")
+    served.write(rows, str(tmp_path), "v1", buckets=4)
+    seeds = spark.range(900).selectExpr("id % 30 request", "id div 30 item")  # 30 requests of the seeds 0 to 29
+    monkeypatch.setattr(rankers, "HITS", 1000)
+    before = shuffled(spark)[0]
+    got = rankers.cooccurrence(seeds, served.matching(spark, str(tmp_path), seeds, buckets=4), k=3).collect()
+    assert shuffled(spark, before)[1] < 900 * 49 / 4
+    sums = {n: sum((n * 50 + i) % 7 for i in range(30)) for n in range(30, 50)}
+    best = sorted(sums, key=lambda n: (-sums[n], n))[:3]
+    assert sorted((x.request, x["item"], x.score, x["rank"]) for x in got) == [(q, n, float(sums[n]), k) for q in range(30) for k, n in enumerate(best, 1)]
